@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules
+from . import mixing, packing, quality_rules, token_files
 
 QUERIES = {
     "op3_mixing": mixing.op3_mixing,
+    "op4_token_files": token_files.op4_token_files,
+    "op6_packing": packing.op6_packing,
     "op8_quality_rules": quality_rules.op8_quality_rules,
 }
 ORACLES = {
