@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import fingerprints, language_id, mixing, packing, quality_rules, token_files
+from . import fingerprints, language_id, mixing, packing, quality_knn, quality_rules, token_counts, token_files
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
+    "op2_token_counts": token_counts.op2_token_counts,
     "op3_mixing": mixing.op3_mixing,
     "op4_token_files": token_files.op4_token_files,
     "op5_fingerprints": fingerprints.op5_fingerprints,
     "op6_packing": packing.op6_packing,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op10_quality_knn": quality_knn.op10_quality_knn,
 }
 ORACLES = {
     "op3_mixing": mixing.oracle(),
