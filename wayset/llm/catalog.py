@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, language_id, mixing, packing, quality_knn, quality_rules, token_counts, token_files
+from . import fingerprints, language_id, mixing, near_dedup, packing, quality_knn, quality_rules, token_counts, token_files
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_token_files": token_files.op4_token_files,
     "op5_fingerprints": fingerprints.op5_fingerprints,
     "op6_packing": packing.op6_packing,
+    "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op10_quality_knn": quality_knn.op10_quality_knn,
 }
