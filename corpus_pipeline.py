@@ -1,8 +1,62 @@
-"""Corpus pipeline (stages follow)."""
+"""A corpus pipeline of five stages, each one of the corpus operators.
 
-STAGES = []
+A stage takes (spark, docs, sf_dir) and returns documents in the columns of ``documents`` (the last: packed pieces).
+Every stage works on all rows that its predecessor kept; results are written and read again between stages.
+Repeated rows stay or go together; an empty table passes through every stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wayset.llm import language_id, mixing, near_dedup, packing, suffix_dedup
+from wayset.llm._shared import documents, stored
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents whose language cannot be told: those without any letter. All others stay as they are."""
+    found = language_id.predict(docs, language_id.train(docs), COLUMNS)
+    return found.where(F.col("lang_pred") != language_id.UNKNOWN).select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays; null ids are never linked."""
+    gone = near_dedup.link_documents(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts lose the bytes that an earlier document has in a 50-byte string; no row is dropped."""
+    found = suffix_dedup.remove_repeats(docs, carry=["lang", "source"], with_text=True)
+    return found.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target asks; a document may go or come several times."""
+    return mixing.mixed_documents(docs).select(*COLUMNS)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token windows; each copy of a document is packed."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("near_dedup", drop_near_duplicates),
+    ("suffix_dedup", drop_repeated_passages),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+#: Prototypes, sketches, suffix sorting and token ids have no SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, language_id, mixing, near_dedup, packing, quality_knn, quality_rules, token_counts, token_files
+from . import fingerprints, language_id, mixing, near_dedup, packing, quality_knn, quality_rules, suffix_dedup, token_counts, token_files
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_packing": packing.op6_packing,
     "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_quality_knn": quality_knn.op10_quality_knn,
 }
 ORACLES = {

@@ -146,11 +146,11 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarra
     return list(table.index), prototypes / np.maximum(np.linalg.norm(prototypes, axis=1, keepdims=True), 1e-12)
 
 
-def _predictor(names: list[str], prototypes: np.ndarray):
+def _predictor(names: list[str], prototypes: np.ndarray, keep: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         labels = np.array([*names, UNKNOWN], dtype=object)
         for batch in batches:
-            texts = batch["__text"].tolist()
+            texts = ["" if t is None else t for t in batch["text"]]
             best, score = np.full(len(texts), len(names)), np.zeros(len(texts))
             for part in _chunks(texts):
                 vectors = text_vectors(texts[part]).astype(np.float64)
@@ -161,20 +161,22 @@ def _predictor(names: list[str], prototypes: np.ndarray):
                     at = np.flatnonzero(known) + part.start
                     best[at] = cosine.argmax(axis=1)
                     score[at] = np.clip(cosine.max(axis=1), 0, 1)
-            yield batch.drop(columns=["__text"]).assign(lang_pred=labels[best], score=score)
+            yield batch[keep].assign(lang_pred=labels[best], score=score)
 
     return run
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score for every row of ``docs``, from its whole text alone.
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns of ``keep``, lang_pred, score for every row of ``docs``, from its whole text alone.
 
     A null text or one without a letter (also: nothing learned) gives 'und' with score 0; the score is the cosine
     with the winning prototype, at least 0. Ties go to the first language by code point. Null ids pass through,
-    equal texts get equal results, an empty table gives none; no other column is read.
+    equal texts get equal results, an empty table gives none; columns outside ``keep`` are not read.
     """
-    rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    return rows.mapInPandas(_predictor(*model), "doc_id long, lang_pred string, score double")
+    keep = list(keep)
+    rows = docs.select(*keep, *(["text"] if "text" not in keep else []))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    return rows.mapInPandas(_predictor(*model, keep), f"{schema}, lang_pred string, score double")
 
 
 def op1_language_id(spark, sf_dir):

@@ -42,11 +42,27 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFra
 
 def _draw(k):
     """The k-th uniform number in [0, 1) of a document: eight hex digits of its id's md5."""
-    at = (k * 8 + 1) if isinstance(k, int) else k * 8 + 1
+    at = k * 8 + 1
     digest = F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     return F.conv(F.substring(digest, at, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+def _plan(docs: DataFrame, weights, cap: int) -> tuple[DataFrame, DataFrame]:
+    """Sizes per document, and per source what decides its documents' copies: target, rate and draw."""
+    sized = cut(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
+    rates = source_targets(sized, weights, cap).withColumn("rate", F.least(F.lit(float(cap)), F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))))
+    rated = sized.join(rates.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+    whole, part = F.floor("rate"), F.col("rate") - F.floor("rate")
+    words = [F.sum(F.when(_draw(k) < part, F.col("size") * (whole + 1)).otherwise(F.col("size") * whole)).alias(f"w{k}") for k in range(DRAWS)]
+    totals = rated.groupBy(F.col("source").alias("__source"), "source_size", "target", "rate").agg(*words)
+    best = F.array_min(F.array(*(F.struct(F.abs(F.col(f"w{k}") - F.col("target")).alias("off"), F.lit(k).alias("k")) for k in range(DRAWS))))["k"]
+    return sized, totals.select("__source", "source_size", "target", "rate", best.alias("__draw"))
+
+
+def _copies():
+    return (F.floor("rate") + F.when(_draw(F.col("__draw")) < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long")
+
+
 def mix_ledger(docs: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     """doc_id, source, size, source_size, target, rate, copies, taken for every row of ``docs``.
 
@@ -56,29 +72,22 @@ def mix_ledger(docs: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     than ``cap`` times. Each source's words are summed under every draw before one is chosen, so the choice needs
     one row per source and no document moves for it.
     """
-    sized = cut(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
-    rates = source_targets(sized, weights, cap).withColumn("rate", F.least(F.lit(float(cap)), F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))))
-    rated = sized.alias("d").join(rates.alias("r"), F.col("d.source").eqNullSafe(F.col("r.source"))).select("d.*", "source_size", "target", "rate")
-    whole, part = F.floor("rate"), F.col("rate") - F.floor("rate")
-    words = [F.sum(F.when(_draw(k) < part, F.col("size") * (whole + 1)).otherwise(F.col("size") * whole)).alias(f"w{k}") for k in range(DRAWS)]
-    totals = rated.groupBy("source").agg(*words, F.first("target").alias("aim"))
-    chosen = totals.select(F.col("source").alias("s"), F.array_min(F.array(*(F.struct(F.abs(F.col(f"w{k}") - F.col("aim")).alias("off"), F.lit(k).alias("k")) for k in range(DRAWS))))["k"].alias("draw"))
-    drawn = rated.join(chosen, F.col("source").eqNullSafe(F.col("s")))
-    copies = (whole + F.when(_draw(F.col("draw")) < part, 1).otherwise(0)).cast("long")
-    return drawn.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    sized, plan = _plan(docs, weights, cap)
+    drawn = sized.join(plan, F.col("source").eqNullSafe(F.col("__source"))).withColumn("copies", _copies())
+    return drawn.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
-    """The mix itself: each row of ``docs``, all its columns, as often as it is taken.
+    """The mix itself: each row of ``docs``, all its columns, as often as ``mix_ledger`` takes it.
 
-    Documents without words have size 0 and add none; they stay once where their source is taken at all (rate above
-    0). Ids are taken as unique; rows that share doc_id and source share their copies.
+    Texts meet one row per source, which Spark broadcasts while it is small, so they need not be shuffled.
     """
-    ledger = mix_ledger(docs, weights, cap)
-    plan = ledger.groupBy("doc_id", "source").agg(F.max("copies").alias("copies"), F.max("size").alias("size"), F.max("rate").alias("rate"))
-    plan = plan.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("copies")).cast("int").alias("__copies")).where("__copies > 0")
-    joined = docs.join(plan, docs["doc_id"].eqNullSafe(F.col("__id")) & docs["source"].eqNullSafe(F.col("__source")))
-    return joined.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*(docs[c] for c in docs.columns))
+    _, plan = _plan(docs, weights, cap)
+    plan = plan.select("__source", F.col("rate").alias("__rate"), "__draw")
+    part = F.col("__rate") - F.floor("__rate")
+    copies = (F.floor("__rate") + F.when(_draw(F.col("__draw")) < part, 1).otherwise(0)).cast("int")
+    taken = docs.join(plan, docs["source"].eqNullSafe(F.col("__source"))).withColumn("__copies", copies).where("__copies > 0")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*(docs[c] for c in docs.columns))
 
 
 def op3_mixing(spark, sf_dir):
