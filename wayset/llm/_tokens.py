@@ -3,17 +3,14 @@
 from __future__ import annotations
 
 import os
-import re
 import zlib
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: A space after a non-space always begins a new pre-token of a byte-level tokenizer, so texts may be cut there.
-_SAFE, _UNSAFE = re.compile(r"(?<=\S) "), re.compile(r"\s ")
 #: Pieces and ids that a worker remembers at most; beyond that it starts anew.
-MEMO_PIECES, MEMO_IDS = 400_000, 4_000_000
+MEMO_PIECES, MEMO_IDS = 800_000, 8_000_000
 _made: dict[str, Encoder] = {}
 
 
@@ -29,8 +26,25 @@ def vocabulary_size(path: str) -> int:
     return Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)
 
 
+class _Places(dict):
+    """Numbers strings in the order they are first met, and lists those that are new."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self)
+        self.new.append(piece)
+        return n
+
+
 class Encoder:
-    """Encodes texts to ids exactly as the tokenizer does, remembering the ids of space-delimited pieces."""
+    """Encodes texts to ids exactly as the tokenizer does, remembering the ids of space-delimited pieces.
+
+    A space after a sign that is no white space always begins a new pre-token of a byte-level tokenizer, so a text
+    may be cut there. A text with white space before a space is encoded as a whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -43,59 +57,74 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.first, self.later = _Places(), _Places()  # pieces that begin a text, and those that follow a space
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
-        self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.start, self.length, self.loose = (np.zeros((2, 1 << 14), t) for t in (np.int64, np.int64, bool))
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _add(self, pieces: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        n = len(self.known)
+    def _store(self, kind: int, places: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n + len(pieces) > len(self.start):
-            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
         self.flat[self.used : self.used + len(ids)] = ids
-        self.start[n : n + len(pieces)] = self.used + np.cumsum(lengths) - lengths
-        self.length[n : n + len(pieces)] = lengths
+        self.start[kind, places] = self.used + np.cumsum(lengths) - lengths
+        self.length[kind, places] = lengths
         self.used += len(ids)
-        self.known.update(zip(pieces, range(n, n + len(pieces)), strict=True))
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Pieces, each keyed with its leading space if it has one."""
-        plain = [p for p in pieces if p[:1] == " " and len(p) > 1 and p.count(" ") == 1 and not any(map(str.isspace, p[1:]))]
+    def _learn(self, kind: int, memo: _Places) -> None:
+        pieces, memo.new = memo.new, []
+        if not pieces:
+            return
+        base = len(memo) - len(pieces)
+        while len(memo) > self.start.shape[1]:
+            self.start, self.length, self.loose = (np.concatenate([x, np.zeros_like(x)], axis=1) for x in (self.start, self.length, self.loose))
+        plain = [k for k, p in enumerate(pieces) if kind and p and not p[-1].isspace()]
         for i in range(0, len(plain), 2048):
             some = plain[i : i + 2048]
-            ids = np.array(self._ids("".join(some)), dtype=np.int32)
+            ids = np.array(self._ids("".join([" " + pieces[k] for k in some])), dtype=np.int32)
             at = np.flatnonzero(self.begins[ids])
             if len(at) != len(some) or at[0]:
                 raise ValueError("the tokenizer is not a byte-level one whose spaces begin tokens")
-            self._add(some, ids, np.diff(np.append(at, len(ids))))
-        odd = sorted(set(pieces) - set(plain))
-        for p in odd:
-            ids = self._ids(p)
-            self._add([p], np.array(ids, dtype=np.int32), np.array([len(ids)]))
+            self._store(kind, np.array(some) + base, ids, np.diff(np.append(at, len(ids))))
+        for k in sorted(set(range(len(pieces))) - set(plain)):
+            p = pieces[k]
+            ids = self._ids(" " + p if kind else p)
+            self._store(kind, np.array([base + k]), np.array(ids, dtype=np.int32), np.array([len(ids)]))
+            self.loose[kind, base + k] = p[-1:].isspace() or (kind == 1 and not p)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and how many each text has."""
-        if len(self.known) > MEMO_PIECES or self.used > MEMO_IDS:
+        if not texts:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        if len(self.later) > MEMO_PIECES or self.used > MEMO_IDS:
             self._forget()
-        rows = []
+        place, parts, sizes = self.later.__getitem__, [], []
         for text in texts:
-            parts = _SAFE.split(text) if _UNSAFE.search(text) else text.split(" ")
-            rows.append([parts[0], *[" " + p for p in parts[1:]]])
-        known = self.known
-        if new := {p for row in rows for p in row if p not in known}:
-            self._learn(sorted(new))
-        pieces = np.array([len(r) for r in rows])
-        at = np.fromiter((known[p] for row in rows for p in row), np.int64, pieces.sum())
-        lengths = self.length[at]
+            first, *rest = text.split(" ")
+            parts.append(self.first[first])
+            parts += map(place, rest)
+            sizes.append(1 + len(rest))
+        self._learn(0, self.first)
+        self._learn(1, self.later)
+        pieces = np.array(sizes)
+        last = np.cumsum(pieces)
+        at, kind = np.array(parts), np.ones(last[-1], dtype=np.int64)
+        kind[last - pieces] = 0
+        lengths, starts, loose = self.length[kind, at], self.start[kind, at], self.loose[kind, at]
+        loose[last - 1] = False  # nothing follows
         ends = np.cumsum(lengths)
-        flat = self.flat[np.repeat(self.start[at] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        flat = self.flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1])]
         total = np.concatenate([[0], ends])
-        last = np.cumsum(pieces)
-        return flat, total[last] - total[last - pieces]
+        counts = total[last] - total[last - pieces]
+        if loose.any():
+            rows = np.unique(np.searchsorted(last, np.flatnonzero(loose), side="right"))
+            parts = np.split(flat, np.cumsum(counts)[:-1])
+            for r in rows:
+                parts[r] = np.array(self._ids(texts[r]), dtype=np.int32)
+                counts[r] = len(parts[r])
+            flat = np.concatenate(parts)
+        return flat, counts
 
 
 def encoder(path: str) -> Encoder:
