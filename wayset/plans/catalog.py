@@ -1,4 +1,479 @@
-"""Names, queries and SQL of the engine's own operators."""
+"""Names, queries and SQL of the engine's own operators.
 
-QUERIES = {}
-ORACLES = {}
+Every entry is a function of (spark, sf_dir) and the DuckDB statement that gives the same rows from the same tables.
+Sets are given as joined text and lengths as doubles of exact decimals, so that both engines' values compare.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import codec, scalar
+from ..operators import aggregate, filters, sets
+from ..sources.segments import ENDPOINTS_SQL, endpoints, segments, segments_sql, table
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str):
+    def add(function):
+        QUERIES[name] = function
+        ORACLES[name] = sql
+        return function
+
+    return add
+
+
+joined = lambda c: F.array_join(c, ",").alias("refs")
+km = lambda: F.col("km").cast("double").alias("km")
+LIST, NATIONS = "array_to_string(refs, ',') AS refs", segments_sql("nation")
+REGIONS = segments_sql("region")
+COMBOS = "combos AS (SELECT refs, max(n) AS n, sum(km)::DECIMAL(18,2) AS km, count(*) AS arcs, list_sort(list_distinct(list(nullif(name, '')))) AS names, min(w) AS w, min(s) AS s, max(e) AS e, max(t) AS t FROM seg GROUP BY refs)"
+REGION_COMBOS, NATION_COMBOS = f"{REGIONS}, {COMBOS}\n", f"{NATIONS}, {COMBOS}\n"
+
+
+def sums(spark, sf_dir, by="region"):
+    return aggregate.sums_by_set(segments(spark, sf_dir, by))
+
+
+def rows(spark, schema: str, *values):
+    return spark.createDataFrame(list(values), schema)
+
+
+# Roll-up by set, and the two sums over it
+
+
+for by, head in (("region", REGION_COMBOS), ("nation", NATION_COMBOS)):
+
+    @query(f"combos_{by}", head + f"SELECT {LIST}, n, km::DOUBLE AS km, arcs, len(names)::BIGINT AS n_names, names[1] AS first_name, w, s, e, t FROM combos")
+    def combos(spark, sf_dir, by=by):
+        found = aggregate.combine(segments(spark, sf_dir, by))
+        return found.select(joined("refs"), "n", km(), "arcs", F.size("names").cast("long").alias("n_names"), F.get("names", F.lit(0)).alias("first_name"), "w", "s", "e", "t")
+
+    @query(f"routes_of_{by}", head + "SELECT ref, (floor(sum(km) * 10 + 0.5) / 10)::DOUBLE AS km, sum(arcs)::BIGINT AS arcs, greatest(1, max(n))::INTEGER AS max_n FROM (SELECT unnest(refs) AS ref, km, arcs, n FROM combos) GROUP BY ref ORDER BY ref")
+    def routes_of(spark, sf_dir, by=by):
+        return aggregate.routes_of(sums(spark, sf_dir, by))
+
+
+def _stats_sql(where: str) -> str:
+    return REGION_COMBOS + f"SELECT coalesce(sum(arcs), 0)::BIGINT AS arcs, coalesce(sum(km), 0)::DOUBLE AS km, coalesce(sum(CASE WHEN n >= 2 THEN arcs ELSE 0 END), 0)::BIGINT AS conc FROM combos WHERE {where}"
+
+
+for label, chosen in (("all", ()), ("one", (3,)), ("two", (1, 2)), ("unknown", (999,))):
+
+    @query(f"stats_{label}", _stats_sql(f"list_has_any(refs, {list(chosen)})" if chosen else "true"))
+    def stats(spark, sf_dir, chosen=chosen):
+        return aggregate.stats_for(sums(spark, sf_dir), chosen)
+
+
+@query("conc_ranking", NATION_COMBOS + f"SELECT {LIST}, n, km::DOUBLE AS km FROM (SELECT * FROM combos WHERE n >= 2 ORDER BY n DESC, km DESC, refs LIMIT 25)")
+def conc_ranking(spark, sf_dir):
+    return aggregate.ranking(sums(spark, sf_dir, "nation"), ()).select(joined("refs"), "n", km())
+
+
+@query("conc_ranking_selected", NATION_COMBOS + f"SELECT {LIST}, n, km::DOUBLE AS km FROM (SELECT * FROM combos WHERE n >= 2 AND list_has_any(refs, [4, 7]) ORDER BY n DESC, km DESC, refs LIMIT 25)")
+def conc_ranking_selected(spark, sf_dir):
+    return aggregate.ranking(sums(spark, sf_dir, "nation"), (4, 7)).select(joined("refs"), "n", km())
+
+
+@query("conc_count", NATION_COMBOS + "SELECT least(count(*), 25)::BIGINT AS shown, count(*)::BIGINT AS total FROM combos WHERE n >= 2")
+def conc_count(spark, sf_dir):
+    return aggregate.shown_of_total(aggregate.concurrencies(sums(spark, sf_dir, "nation"), ()), 25)
+
+
+@query("depth_histogram", NATIONS + "SELECT n, count(*)::BIGINT AS arcs FROM seg GROUP BY n")
+def depth_histogram(spark, sf_dir):
+    return aggregate.depth_histogram(segments(spark, sf_dir, "nation"))
+
+
+@query("max_depth", NATIONS + "SELECT n, count(*)::BIGINT AS arcs FROM seg WHERE n = (SELECT max(n) FROM seg) GROUP BY n")
+def max_depth(spark, sf_dir):
+    return aggregate.depth_histogram(segments(spark, sf_dir, "nation")).orderBy(F.desc("n")).limit(1)
+
+
+@query("length_identity", REGION_COMBOS + "SELECT sum(km)::DOUBLE AS real_km, sum(km * n)::DOUBLE AS designated_km FROM combos")
+def length_identity(spark, sf_dir):
+    return aggregate.lengths(sums(spark, sf_dir))
+
+
+for column in ("kind", "src"):
+
+    @query(f"{column}_counts", REGIONS + f"SELECT coalesce({column}, 'unknown') AS {column}, count(*)::BIGINT AS arcs, count(*) FILTER (former)::BIGINT AS former FROM seg GROUP BY 1")
+    def counts(spark, sf_dir, column=column):
+        return aggregate.counts_by(segments(spark, sf_dir), column)
+
+
+@query("extent", REGIONS + "SELECT min(w) AS w, min(s) AS s, max(e) AS e, max(t) AS t FROM seg")
+def extent(spark, sf_dir):
+    return aggregate.extent(segments(spark, sf_dir))
+
+
+@query("edit_range", REGIONS + "SELECT min(updated)::VARCHAR AS oldest_edit, max(updated)::VARCHAR AS newest_edit FROM seg")
+def edit_range(spark, sf_dir):
+    return aggregate.edit_range(segments(spark, sf_dir))
+
+
+@query("last_wins", "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
+def last_wins(spark, sf_dir):
+    return aggregate.last_wins(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id")
+
+
+@query("bucket_group", "SELECT (p_partkey // 256 * 256)::BIGINT AS bucket, count(*)::BIGINT AS n, min(p_partkey) AS first, max(p_partkey) AS last FROM part GROUP BY 1")
+def bucket_group(spark, sf_dir):
+    found = aggregate.bucketed(table(spark, sf_dir, "part"), "p_partkey")
+    return found.select("bucket", F.size("members").cast("long").alias("n"), F.array_min("members").alias("first"), F.array_max("members").alias("last"))
+
+
+@query("alphabet_check", "SELECT DISTINCT c FROM (SELECT unnest(string_split(p_brand, '')) AS c FROM part) WHERE c <> '' AND c NOT IN ('0','1','2','3','4','5','6','7','8','9','#')")
+def alphabet_check(spark, sf_dir):
+    signs = table(spark, sf_dir, "part").select(F.explode(F.split("p_brand", "")).alias("c")).where("c <> ''").distinct()
+    return signs.join(rows(spark, "c string", *((c,) for c in "0123456789#")), "c", "left_anti")
+
+
+# Filters
+
+
+def _filtered(name: str, where: str, make, by: str = "nation"):
+    @query(name, segments_sql(by) + f"SELECT id, {LIST}, n, kind FROM seg WHERE {where}")
+    def filtered(spark, sf_dir):
+        return segments(spark, sf_dir, by).where(make()).select("id", joined("refs"), "n", "kind")
+
+
+_filtered("filter_member", "list_contains(refs, 4)", lambda: filters.has_ref(4))
+_filtered("filter_any", "list_has_any(refs, [4, 14])", lambda: filters.shared_filter((4, 14)))
+_filtered("filter_none", "true", lambda: filters.shared_filter(()))
+_filtered("filter_conc", "n >= 2", lambda: filters.shared_filter((), "all"))
+_filtered("filter_both", "n >= 2 AND list_has_any(refs, [18])", lambda: filters.shared_filter((18,), "all"))
+_filtered("filter_kind", "coalesce(kind IN ('ferry', 'construction'), false)", lambda: filters.of_kind(["ferry", "construction"]))
+_filtered("filter_not_kind", "NOT coalesce(kind IN ('ferry', 'construction'), false)", lambda: filters.of_kind(["ferry", "construction"], negate=True))
+_filtered("filter_nothing", "false", filters.nothing)
+_filtered("filter_picked", "id = 7", lambda: filters.picked(F.lit(True), 7))
+_filtered("filter_picked_base", "id = 7 AND n >= 2", lambda: filters.picked(filters.shared_filter((), "all"), 7))
+
+
+@query("filter_member_text", NATIONS + "SELECT id FROM seg WHERE contains(',' || array_to_string(refs, ',') || ',', ',4,')")
+def filter_member_text(spark, sf_dir):
+    return segments(spark, sf_dir, "nation").withColumn("refs_s", codec.wrap_refs(F.col("refs"))).where(filters.has_ref_text(4)).select("id")
+
+
+@query("filter_expression", NATIONS + "SELECT id, CASE n WHEN 1 THEN 'a' WHEN 2 THEN 'b' ELSE 'c' END AS style FROM seg WHERE n >= 2 AND (contains(',' || array_to_string(refs, ',') || ',', ',4,') OR contains(',' || array_to_string(refs, ',') || ',', ',18,')) AND NOT coalesce(kind IN ('ferry'), false)")
+def filter_expression(spark, sf_dir):
+    segs = segments(spark, sf_dir, "nation").withColumn("refs_s", codec.wrap_refs(F.col("refs")))
+    tree = ["all", ["any", ["in", ",4,", ["get", "refs_s"]], ["in", ",18,", ["get", "refs_s"]]], [">=", ["get", "n"], 2], ["!", ["in", ["get", "kind"], ["literal", ["ferry"]]]]]
+    style = ["match", ["get", "n"], 1, "a", 2, "b", "c"]
+    return segs.where(filters.compile_expr(tree)).select("id", filters.compile_expr(style).alias("style"))
+
+
+def _layer_sql(toggles: dict[str, bool]) -> str:
+    parts = []
+    for name, kinds, negate, toggle in filters.LAYERS:
+        test = "true"
+        if toggle is not None and not toggles.get(toggle, True):
+            test = "false"
+        elif kinds is not None:
+            test = f"coalesce(kind IN ({', '.join(repr(k) for k in kinds)}), false)"
+            test = f"NOT {test}" if negate else test
+        parts.append(f"SELECT '{name}' AS layer, id FROM seg WHERE n >= 2 AND {test}")
+    return NATIONS + "SELECT layer, count(*)::BIGINT AS arcs, sum(id)::BIGINT AS ids FROM (" + " UNION ALL ".join(parts) + ") GROUP BY layer"
+
+
+for label, toggles in (("", {}), ("_toggled", {"ferry": False, "special": False})):
+
+    @query(f"layer_dispatch{label}", _layer_sql(toggles))
+    def layer_dispatch(spark, sf_dir, toggles=toggles):
+        drawn = filters.dispatch(segments(spark, sf_dir, "nation"), filters.shared_filter((), "all"), toggles)
+        return drawn.groupBy("layer").agg(F.count("*").alias("arcs"), F.sum("id").alias("ids"))
+
+
+@query("clickable_layers", _layer_sql({}).replace("GROUP BY layer", f"WHERE layer IN ({', '.join(repr(c) for c in filters.CLICKABLE)}) GROUP BY layer"))
+def clickable_layers(spark, sf_dir):
+    drawn = filters.dispatch(segments(spark, sf_dir, "nation"), filters.shared_filter((), "all")).where(F.col("layer").isin(filters.CLICKABLE))
+    return drawn.groupBy("layer").agg(F.count("*").alias("arcs"), F.sum("id").alias("ids"))
+
+
+@query("label_order", NATIONS + "SELECT n, id FROM (SELECT n, id FROM seg ORDER BY n DESC, id LIMIT 50)")
+def label_order(spark, sf_dir):
+    """Labels of a zoom that shows them, deepest placed first."""
+    return segments(spark, sf_dir, "nation").where(filters.visible(10, "route-labels")).orderBy(F.desc("n"), "id").select("n", "id").limit(50)
+
+
+@query("prefix_search", "SELECT p_partkey FROM part WHERE starts_with(p_partkey::VARCHAR, '15')")
+def prefix_search(spark, sf_dir):
+    return table(spark, sf_dir, "part").where(filters.prefix_search("p_partkey", " 15 ")).select("p_partkey")
+
+
+@query("preference", "SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN event_type ELSE 'view' END AS kept FROM events")
+def preference(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", filters.allowed(F.col("event_type"), ["click", "view"], "view").alias("kept"))
+
+
+# Lookups, joins, sets
+
+
+@query("deepest_per_cell", NATIONS + "SELECT cell, id, n FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY n DESC, id) AS r FROM (SELECT id % 50 AS cell, id, n FROM seg)) WHERE r = 1")
+def deepest_per_cell(spark, sf_dir):
+    return aggregate.deepest(segments(spark, sf_dir, "nation").select((F.col("id") % 50).alias("cell"), "id", "n"))
+
+
+@query("point_hits", NATIONS + "SELECT p.p_partkey AS point, seg.id FROM (SELECT p_partkey, (p_size)::DOUBLE AS x, (p_partkey % 10) / 100.0::DOUBLE AS y FROM part WHERE p_partkey % 100 = 0) p JOIN seg ON x BETWEEN w AND e AND y BETWEEN s AND t")
+def point_hits(spark, sf_dir):
+    points = table(spark, sf_dir, "part").where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("point"), F.col("p_size").cast("double").alias("x"), ((F.col("p_partkey") % 10).cast("double") / 100.0).alias("y"))
+    return sets.point_hits(points, segments(spark, sf_dir, "nation")).select("point", "id")
+
+
+@query("known_semi", "SELECT ref FROM (VALUES (3), (7), (24), (25), (999)) v(ref) WHERE ref IN (SELECT n_nationkey FROM nation)")
+def known_semi(spark, sf_dir):
+    known = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("ref"))
+    return sets.known_only(rows(spark, "ref int", (3,), (7,), (24,), (25,), (999,)), known)
+
+
+@query("label_lookup", REGIONS + "SELECT id, kind, CASE kind WHEN 'road' THEN 'R' WHEN 'ferry' THEN 'F' ELSE kind END AS label FROM seg")
+def label_lookup(spark, sf_dir):
+    names = rows(spark, "key string, label string", ("road", "R"), ("ferry", "F"))
+    return sets.with_label(segments(spark, sf_dir).select("id", "kind"), names, "kind")
+
+
+@query("region_fallback", "WITH boxes AS (SELECT r_name AS region, r_regionkey::DOUBLE AS w, 0.0::DOUBLE AS s, (r_regionkey + 1)::DOUBLE AS e, 1.0::DOUBLE AS t FROM region), whole AS (SELECT min(w) AS w, min(s) AS s, max(e) AS e, max(t) AS t FROM boxes) SELECT region, coalesce(b.w, a.w) AS w, coalesce(b.s, a.s) AS s, coalesce(b.e, a.e) AS e, coalesce(b.t, a.t) AS t FROM (VALUES ('ASIA'), ('NOWHERE')) v(region) LEFT JOIN boxes b USING (region), whole a")
+def region_fallback(spark, sf_dir):
+    boxes = table(spark, sf_dir, "region").select(F.col("r_name").alias("region"), F.col("r_regionkey").cast("double").alias("w"), F.lit(0.0).alias("s"), (F.col("r_regionkey") + 1).cast("double").alias("e"), F.lit(1.0).alias("t"))
+    return sets.region_or_default(rows(spark, "region string", ("ASIA",), ("NOWHERE",)), boxes, aggregate.extent(boxes))
+
+
+@query("set_intersect", "SELECT s_nationkey AS ref FROM supplier INTERSECT SELECT c_nationkey FROM customer WHERE c_acctbal < 0")
+def set_intersect(spark, sf_dir):
+    owing = table(spark, sf_dir, "customer").where("c_acctbal < 0").select("c_nationkey")
+    return table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("ref")).intersect(owing)
+
+
+@query("set_except", "SELECT p_partkey AS ref FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 25")
+def set_except(spark, sf_dir):
+    sold = table(spark, sf_dir, "lineitem").where("l_quantity > 25").select("l_partkey")
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ref")).subtract(sold)
+
+
+@query("full_outer_diff", "SELECT coalesce(a.id, b.id) AS id, a.v AS old, b.v AS new, CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed' WHEN a.v IS NOT DISTINCT FROM b.v THEN 'same' ELSE 'changed' END AS state FROM (SELECT o_orderkey AS id, o_orderstatus AS v FROM orders WHERE o_orderkey % 7 <> 0) a FULL JOIN (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS v FROM orders WHERE o_orderkey % 11 <> 0) b ON a.id = b.id")
+def full_outer_diff(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("v"))
+    new = orders.where("id % 11 <> 0").withColumn("v", F.when(F.col("id") % 5 == 0, F.lit("X")).otherwise(F.col("v")))
+    return sets.full_compare(orders.where("id % 7 <> 0"), new, "id", "v")
+
+
+@query("seam_dedup", "SELECT id, min(region) AS region FROM (SELECT o_orderkey AS id, o_orderkey % 4 AS region FROM orders UNION ALL SELECT o_orderkey, o_orderkey % 3 FROM orders) GROUP BY id")
+def seam_dedup(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    builds = [orders.select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % k).alias("region")) for k in (4, 3)]
+    return sets.seam_dedup(builds[0].unionByName(builds[1]))
+
+
+@query("kind_union", "SELECT unnest(['construction', 'unopened', 'foot', 'steps', 'ferry', 'expressway']) AS kind")
+def kind_union(spark, sf_dir):
+    lists = rows(spark, "a array<string>, b array<string>", (filters.SPECIAL, filters.EXPRESSWAY))
+    return lists.select(F.explode(F.array_union("a", "b")).alias("kind"))
+
+
+@query("kind_coverage", "SELECT 0::BIGINT AS uncovered")
+def kind_coverage(spark, sf_dir):
+    """Kinds that the road layers leave out and no other layer shows."""
+    left_out = rows(spark, "kind string", *((k,) for k in filters.NOT_ROADS))
+    shown = rows(spark, "kind string", *((k,) for _, kinds, negate, _ in filters.LAYERS if kinds and not negate for k in kinds))
+    return left_out.join(shown, "kind", "left_anti").agg(F.count("*").alias("uncovered"))
+
+
+_SHARED = ENDPOINTS_SQL + ", met AS (SELECT place, list_sort(list_distinct(list(ref))) AS refs FROM points GROUP BY place)\n"
+
+
+@query("shared_termini", _SHARED + f"SELECT place, {LIST}, len(refs)::INTEGER AS n FROM met WHERE len(refs) >= 2")
+def shared_termini(spark, sf_dir):
+    return sets.shared_ends(endpoints(spark, sf_dir)).select("place", joined("refs"), F.size("refs").alias("n"))
+
+
+@query("shared_ranking", _SHARED + f"SELECT place, {LIST} FROM (SELECT * FROM met WHERE len(refs) >= 2 ORDER BY len(refs) DESC, place LIMIT 20)")
+def shared_ranking(spark, sf_dir):
+    return sets.shared_ends(endpoints(spark, sf_dir)).orderBy(F.desc(F.size("refs")), "place").limit(20).select("place", joined("refs"))
+
+
+@query("termini_union", _SHARED + "SELECT place, array_to_string(refs, '・') AS label, CASE WHEN len(refs) >= 2 THEN 1 ELSE 0 END::INTEGER AS shared, len(refs)::INTEGER AS count FROM met")
+def termini_union(spark, sf_dir):
+    ends = endpoints(spark, sf_dir)
+    every = sets.all_ends(sets.shared_ends(ends), sets.single_ends(ends))
+    return every.orderBy(F.desc("shared"), "place").select("place", codec.label_refs(F.col("refs")).alias("label"), "shared", "count")
+
+
+@query("termini_filter", _SHARED + f"SELECT place, {LIST} FROM met WHERE list_has_any(refs, ['click', 'signup'])")
+def termini_filter(spark, sf_dir):
+    ends = endpoints(spark, sf_dir)
+    every = sets.all_ends(sets.shared_ends(ends), sets.single_ends(ends))
+    return every.where(filters.ends_filter(("click", "signup"))).select("place", joined("refs"))
+
+
+@query("judgement", "SELECT o_orderkey AS id, coalesce(a, b, c)::VARCHAR AS value, CASE WHEN a IS NOT NULL THEN 'relation' WHEN b IS NOT NULL THEN 'name' WHEN c IS NOT NULL THEN 'tag' END AS src FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 1 END::INTEGER AS a, CASE WHEN o_orderkey % 3 = 0 THEN 2 END::INTEGER AS b, CASE WHEN o_orderkey % 5 = 0 THEN 3 END::INTEGER AS c FROM orders)")
+def judgement(spark, sf_dir):
+    k = F.col("o_orderkey")
+    value, src = sets.judge(F.when(k % 2 == 0, 1), F.when(k % 3 == 0, 2), F.when(k % 5 == 0, 3))
+    return table(spark, sf_dir, "orders").select(k.alias("id"), value.cast("string").alias("value"), src.alias("src"))
+
+
+_CLAIMS = "claims AS (SELECT c_custkey AS id, c_nationkey % 5 AS region, c_nationkey AS ref FROM customer)"
+
+
+@query("corroborate", f"WITH {_CLAIMS}, sure AS (SELECT region, ref FROM claims GROUP BY 1, 2 HAVING count(*) >= 60) SELECT id, region, ref FROM claims JOIN sure USING (region, ref)")
+def corroborate(spark, sf_dir):
+    claims = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_nationkey") % 5).alias("region"), F.col("c_nationkey").alias("ref"))
+    return sets.corroborate(claims, least=60).select("id", "region", "ref")
+
+
+@query("route_extent_leak", "SELECT s_nationkey AS ref, min(s_acctbal) AS lo, max(s_acctbal) AS hi FROM supplier GROUP BY 1 HAVING min(s_acctbal) < -500 OR max(s_acctbal) > 9000")
+def route_extent_leak(spark, sf_dir):
+    found = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("ref"), F.col("s_acctbal").alias("x"))
+    expected = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("ref"), F.lit(-500.0).alias("lo"), F.lit(9000.0).alias("hi"))
+    return sets.leaked(found, expected)
+
+
+@query("broken_chain", "WITH edges AS (SELECT o_orderstatus AS ref, o_custkey % 500 AS a, o_custkey % 501 + 1 AS b FROM orders), nodes AS (SELECT ref, unnest([a, b]) AS node FROM edges) SELECT ref, count(*)::BIGINT AS open_ends FROM (SELECT ref, node FROM nodes GROUP BY 1, 2 HAVING count(*) = 1) GROUP BY ref")
+def broken_chain(spark, sf_dir):
+    edges = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("ref"), (F.col("o_custkey") % 500).alias("a"), (F.col("o_custkey") % 501 + 1).alias("b"))
+    return sets.broken_chains(edges)
+
+
+# Codecs
+
+
+@query("encode_ranges", "WITH r AS (SELECT DISTINCT c_nationkey AS k, c_custkey AS ref FROM customer), i AS (SELECT k, ref, ref - row_number() OVER (PARTITION BY k ORDER BY ref) AS g FROM r), runs AS (SELECT k, min(ref) AS a, max(ref) AS b FROM i GROUP BY k, g) SELECT k, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, ',' ORDER BY a) AS ranges FROM runs GROUP BY k")
+def encode_ranges(spark, sf_dir):
+    return codec.encode_ranges(table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_custkey").alias("ref")), "k")
+
+
+@query("encode_array", "WITH r AS (SELECT id, unnest(refs) AS ref FROM seg), i AS (SELECT id, ref, ref - row_number() OVER (PARTITION BY id ORDER BY ref) AS g FROM r), runs AS (SELECT id, min(ref) AS a, max(ref) AS b FROM i GROUP BY id, g) SELECT id, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, ',' ORDER BY a) AS ranges FROM runs GROUP BY id".replace("WITH r", NATIONS + ", r"))
+def encode_array(spark, sf_dir):
+    return segments(spark, sf_dir, "nation").select("id", codec.encode_array(F.col("refs")).alias("ranges"))
+
+
+_RANGES = "1-3,5,7-9", "1-3,abc,,9-8,18", "1, 2", "1-3,2", "", "4\n", "246"
+_RANGE_VALUES = "(VALUES (0, '1-3,5,7-9'), (1, '1-3,abc,,9-8,18'), (2, '1, 2'), (3, '1-3,2'), (4, ''), (5, '4' || chr(10)), (6, '246'))"
+
+
+@query("decode_ranges", f"WITH p AS (SELECT i, unnest(string_split(t, ',')) AS p, generate_subscripts(string_split(t, ','), 1) AS o FROM {_RANGE_VALUES} v(i, t)), b AS (SELECT i, o, split_part(p, '-', 1)::INTEGER AS a, CASE WHEN contains(p, '-') THEN split_part(p, '-', 2) ELSE p END::INTEGER AS b FROM p WHERE regexp_full_match(p, '[0-9]+(-[0-9]+)?')), x AS (SELECT i, o, unnest(generate_series(a, b)) AS n FROM b WHERE b >= a) SELECT v.i, coalesce(string_agg(n::VARCHAR, ',' ORDER BY o, n), '') AS refs FROM {_RANGE_VALUES} v(i, t) LEFT JOIN x ON x.i = v.i GROUP BY v.i")
+def decode_ranges(spark, sf_dir):
+    given = rows(spark, "i int, t string", *enumerate(_RANGES))
+    return given.select("i", joined(codec.decode_ranges(F.col("t"))))
+
+
+@query("decode_known", "SELECT i, n_nationkey AS ref FROM (VALUES (0, 3, 5), (0, 24, 24), (1, 20, 999999999)) v(i, a, b) JOIN nation ON n_nationkey BETWEEN a AND b")
+def decode_known(spark, sf_dir):
+    given = rows(spark, "i int, t string", (0, "3-5,24"), (1, "20-999999999"))
+    known = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("ref"))
+    return codec.decode_known(given, "t", known).select("i", "ref")
+
+
+@query("refs_parse", "SELECT i, array_to_string(list_transform(list_filter(string_split(coalesce(t, ''), ','), lambda x: x <> ''), lambda x: try_cast(x AS INTEGER)), ',') AS refs, len(list_filter(string_split(coalesce(t, ''), ','), lambda x: x <> ''))::INTEGER AS n FROM (VALUES (0, ',7,8,17,'), (1, ',18,'), (2, ''), (3, NULL)) v(i, t)")
+def refs_parse(spark, sf_dir):
+    given = rows(spark, "i int, t string", (0, ",7,8,17,"), (1, ",18,"), (2, ""), (3, None))
+    return given.select("i", joined(codec.parse_refs(F.col("t"))), F.size(codec.parse_refs(F.col("t"))).alias("n"))
+
+
+_STATES = ("routes=1-3%2C18&conc=all", "?conc=nonsense&labels=0", "labels&ferry=1&labels=0", "", "routes=&special=", "other=1&routes=5")
+
+
+@query("state_decode", "SELECT * FROM (VALUES (0, '1,2,3,18', 'all', NULL::BOOLEAN, NULL::BOOLEAN, NULL::BOOLEAN, NULL::BOOLEAN, NULL::BOOLEAN), (1, NULL, NULL, false, NULL, NULL, NULL, NULL), (2, NULL, NULL, true, NULL, NULL, NULL, true), (3, NULL, NULL, NULL, NULL, NULL, NULL, NULL), (4, NULL, NULL, NULL, NULL, NULL, true, NULL), (5, '5', NULL, NULL, NULL, NULL, NULL, NULL)) v(i, selected, conc, labels, termini, expressway, special, ferry)")
+def state_decode(spark, sf_dir):
+    return rows(spark, "i int, q string", *enumerate(_STATES)).select("i", *codec.decode_state(F.col("q")))
+
+
+@query("state_encode", NATIONS + ", r AS (SELECT id, n, unnest(refs) AS ref FROM seg), g AS (SELECT id, n, ref, ref - row_number() OVER (PARTITION BY id ORDER BY ref) AS g FROM r), runs AS (SELECT id, n, min(ref) AS a, max(ref) AS b FROM g GROUP BY id, n, g), t AS (SELECT id, n, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, '%2C' ORDER BY a) AS x FROM runs GROUP BY id, n) SELECT id, 'routes=' || x || CASE WHEN n >= 4 THEN '&conc=all' ELSE '' END || CASE WHEN n % 2 = 0 THEN '&ferry=0' ELSE '' END AS query FROM t")
+def state_encode(spark, sf_dir):
+    on = F.lit(True)
+    toggles = dict.fromkeys(codec.TOGGLES, on) | {"ferry": F.col("n") % 2 != 0}
+    conc = F.when(F.col("n") >= 4, "all").otherwise("off")
+    return segments(spark, sf_dir, "nation").select("id", codec.encode_state(F.col("refs"), conc, toggles).alias("query"))
+
+
+@query("state_merge", "SELECT * FROM (VALUES (0, 'region=x&routes=7'), (1, 'routes=7'), (2, 'a=1&b&routes=7'), (3, 'routes=7')) v(i, query)")
+def state_merge(spark, sf_dir):
+    given = rows(spark, "i int, q string", (0, "?routes=1&region=x&conc=all"), (1, ""), (2, "a=1&b&labels=0"), (3, None))
+    return given.select("i", codec.replace_managed(F.col("q"), F.lit("routes=7")).alias("query"))
+
+
+@query("state_overlay", "SELECT event_id, coalesce(CASE WHEN event_id % 3 = 0 THEN 'all' END, 'off') AS conc FROM events")
+def state_overlay(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", codec.overlay(F.when(F.col("event_id") % 3 == 0, "all"), F.lit("off")).alias("conc"))
+
+
+# Scalars
+
+
+@query("escape_text", "SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS html FROM pages")
+def escape_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", scalar.escape(F.col("html")).alias("html"))
+
+
+@query("format_stats", REGION_COMBOS + "SELECT array_to_string(refs, ',') AS refs, format('{:,}', round(km, 0)::BIGINT) AS km, format('{:,}', arcs) AS arcs, round(km, 1)::DECIMAL(28,1)::VARCHAR AS km1, round(km, 2)::DECIMAL(28,2)::VARCHAR AS km2 FROM combos")
+def format_stats(spark, sf_dir):
+    return sums(spark, sf_dir).select(joined("refs"), scalar.grouped(F.col("km")).alias("km"), scalar.grouped(F.col("arcs")).alias("arcs"), scalar.fixed(F.col("km"), 1).alias("km1"), scalar.fixed(F.col("km"), 2).alias("km2"))
+
+
+@query("labels_text", "SELECT c_custkey AS id, CASE WHEN c > 0 THEN least(c, 25) || ' / ' || c || ' 組' ELSE '' END AS counted, CASE WHEN c > 0 THEN c || ' 路線を選択解除' ELSE '選択解除' END AS clear, coalesce(nullif(c, 0), 459)::BIGINT AS selected, CASE WHEN c > 1 THEN '×' || c END AS badge FROM (SELECT c_custkey, c_custkey % 40 AS c FROM customer)")
+def labels_text(spark, sf_dir):
+    c = F.col("c_custkey") % 40
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), scalar.count_label(F.least(c, F.lit(25)), c).alias("counted"), scalar.clear_label(c).alias("clear"), scalar.selected_or_all(c, F.lit(459)).cast("long").alias("selected"), scalar.depth_badge(c).alias("badge"))
+
+
+def _labels_case(column: str, labels: dict[str, str]) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in labels.items()) + f" ELSE {column} END"
+
+
+@query("describe", NATIONS + f"SELECT id, CASE WHEN name = '' THEN '—' ELSE name END AS name, {_labels_case('kind', scalar.KIND_LABELS)} AS kind, {_labels_case('src', scalar.SOURCE_LABELS)} AS src, km::VARCHAR || ' km' AS length, CASE WHEN n > 1 THEN n || ' 重用' ELSE '単独指定' END AS depth, CASE WHEN former THEN '旧道（指定解除前）' END AS remark, 'https://www.openstreetmap.org/way/' || id AS url, array_to_string(refs, '・') AS label, updated::VARCHAR AS updated FROM seg")
+def describe(spark, sf_dir):
+    segs = segments(spark, sf_dir, "nation")
+    return segs.select(
+        "id", scalar.or_dash(F.col("name")).alias("name"), scalar.label_of(F.col("kind"), scalar.KIND_LABELS).alias("kind"), scalar.label_of(F.col("src"), scalar.SOURCE_LABELS).alias("src"),
+        F.concat(scalar.fixed(F.col("km"), 2), F.lit(" km")).alias("length"), scalar.depth_text(F.col("refs")).alias("depth"), F.when(F.col("former"), "旧道（指定解除前）").alias("remark"),
+        scalar.way_url(F.col("id")).alias("url"), codec.label_refs(F.col("refs")).alias("label"), scalar.or_dash(F.col("updated")).alias("updated"),
+    )
+
+
+@query("freshness", "SELECT i, d::BIGINT AS days, CASE WHEN d <= 0 THEN '当日' WHEN d = 1 THEN '1 日前' ELSE d || ' 日前' END AS age, d > 7 AS stale, strftime(b, '%Y-%m-%d %H:%M') || 'Z' AS shown FROM (SELECT i, b, floor((epoch_ms(n) - epoch_ms(b)) / 86400000.0)::BIGINT AS d FROM (SELECT i, (SELECT max(ts) FROM events) AS b, (SELECT max(ts) FROM events) + to_hours(i * 12) AS n FROM range(0, 20) r(i)))")
+def freshness(spark, sf_dir):
+    base = table(spark, sf_dir, "events").agg(F.max("ts").cast("timestamp").alias("b"))
+    each = base.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))).alias("i"), "b")
+    days = scalar.age_days(F.col("b") + F.make_dt_interval(F.lit(0), (F.col("i") * 12).cast("int")), F.col("b"))
+    return each.select("i", days.cast("long").alias("days"), scalar.age_text(days).alias("age"), scalar.is_stale(days).alias("stale"), scalar.utc_minute(F.col("b")).alias("shown"))
+
+
+def _depth_case(values: list) -> str:
+    return "CASE n WHEN 1 THEN {} WHEN 2 THEN {} WHEN 3 THEN {} ELSE {} END".format(*(repr(v) for v in values))
+
+
+@query("depth_style", f"SELECT n::VARCHAR AS n, {_depth_case(scalar.DEPTH_COLORS)} AS color, {_depth_case(scalar.DEPTH_LABELS)} AS label, ({_depth_case(scalar.DEPTH_WIDTHS)})::DOUBLE AS width FROM (VALUES (0), (1), (2), (3), (4), (6), (NULL)) v(n)")
+def depth_style(spark, sf_dir):
+    n = F.col("n")
+    given = rows(spark, "n int", (0,), (1,), (2,), (3,), (4,), (6,), (None,))
+    return given.select(n.cast("string").alias("n"), scalar.by_depth(n, scalar.DEPTH_COLORS).alias("color"), scalar.by_depth(n, scalar.DEPTH_LABELS).alias("label"), scalar.by_depth(n, scalar.DEPTH_WIDTHS).alias("width"))
+
+
+@query("line_width", "SELECT z, n, round(CASE WHEN z <= 6 THEN 0.9 * m WHEN z <= 9 THEN 0.9 * m + (1.8 * m - 0.9 * m) * ((z - 6) / 3.0) WHEN z <= 12 THEN 1.8 * m + (3.2 * m - 1.8 * m) * ((z - 9) / 3.0) WHEN z <= 15 THEN 3.2 * m + (6 * m - 3.2 * m) * ((z - 12) / 3.0) ELSE 6 * m END, 6) AS width FROM (SELECT z::DOUBLE AS z, n::INTEGER AS n, (CASE n WHEN 1 THEN 1 WHEN 2 THEN 1.5 WHEN 3 THEN 2 ELSE 2.4 END)::DOUBLE AS m FROM range(4, 18) a(z), range(1, 6) b(n))")
+def line_width(spark, sf_dir):
+    grid = spark.range(4, 18).select(F.col("id").cast("double").alias("z"), F.explode(F.sequence(F.lit(1), F.lit(5))).alias("n"))
+    return grid.select("z", "n", F.round(scalar.line_width(F.col("z"), F.col("n")), 6).alias("width"))
+
+
+@query("text_styles", "SELECT z::DOUBLE AS z, round(CASE WHEN z <= 8 THEN 12 WHEN z >= 13 THEN 16 ELSE 12 + 4 * (z - 8) / 5.0 END, 6)::DOUBLE AS size, round(CASE WHEN z <= 7 THEN 5 WHEN z >= 13 THEN 9 ELSE 5 + 4 * (z - 7) / 6.0 END, 6)::DOUBLE AS shared, round(CASE WHEN z <= 7 THEN 3 WHEN z >= 13 THEN 5 ELSE 3 + 2 * (z - 7) / 6.0 END, 6)::DOUBLE AS single FROM range(4, 18) a(z)")
+def text_styles(spark, sf_dir):
+    z = F.col("id").cast("double")
+    return spark.range(4, 18).select(z.alias("z"), F.round(scalar.text_size(z), 6).alias("size"), F.round(scalar.end_radius(z, F.lit(1)), 6).alias("shared"), F.round(scalar.end_radius(z, F.lit(0)), 6).alias("single"))
+
+
+@query("sign_width", "SELECT p_partkey AS ref, CASE WHEN length(p_partkey::VARCHAR) >= 3 THEN 332 WHEN length(p_partkey::VARCHAR) = 2 THEN 247 ELSE 115 END::INTEGER AS width FROM part")
+def sign_width(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ref"), scalar.sign_width(F.col("p_partkey")).alias("width"))
+
+
+@query("link_extract", "SELECT page_id, array_to_string(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1), ' ') AS links FROM pages")
+def link_extract(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1), " ").alias("links"))
+
+
+@query("code_points", "SELECT c, lpad(lower(printf('%x', unicode(c))), 4, '0') AS hex FROM (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM documents) WHERE c <> '' AND unicode(c) < 65536")
+def code_points(spark, sf_dir):
+    signs = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(F.split("text", ""))).alias("c")).where("c <> ''").distinct()
+    return signs.select("c", scalar.code_point_hex(F.col("c")).alias("hex"))
