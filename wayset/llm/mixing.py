@@ -14,7 +14,7 @@ from ._shared import WORD, cut, documents
 WEIGHTS = (5, 2, 1)
 CAP = 3
 #: Independent hash draws that a document's id gives; each source uses the one whose total is nearest its target.
-DRAWS = 4
+DRAWS = 16
 
 
 def source_targets(sized: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -41,10 +41,10 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFra
 
 
 def _draw(k):
-    """The k-th uniform number in [0, 1) of a document: eight hex digits of its id's md5."""
-    at = k * 8 + 1
-    digest = F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    return F.conv(F.substring(digest, at, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    """The k-th uniform number in [0, 1) of a document: eight hex digits of an md5 of its id; each md5 gives four."""
+    k = F.lit(k) if isinstance(k, int) else k
+    digest = F.md5(F.concat_ws(":", F.lit("mix"), F.floor(k / 4), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    return F.conv(F.substring(digest, k % 4 * 8 + 1, F.lit(8)), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
 def _plan(docs: DataFrame, weights, cap: int) -> tuple[DataFrame, DataFrame]:
@@ -94,11 +94,11 @@ def op3_mixing(spark, sf_dir):
     return mix_ledger(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
-_DRAW_SQL = "('0x' || substr(md5('mix:' || coalesce(cast(doc_id AS VARCHAR), 'null')), {at}, 8))::BIGINT::DOUBLE / 4294967296.0"
+_DRAW_SQL = "('0x' || substr(md5('mix:' || ({k} // 4) || ':' || coalesce(cast(doc_id AS VARCHAR), 'null')), ({k} % 4 * 8 + 1)::BIGINT, 8))::BIGINT::DOUBLE / 4294967296.0"
 
 
 def oracle(table: str = "documents") -> str:
-    words = ", ".join(f"sum(CASE WHEN {_DRAW_SQL.format(at=8 * k + 1)} < rate - floor(rate) THEN size * (floor(rate) + 1) ELSE size * floor(rate) END) AS w{k}" for k in range(DRAWS))
+    words = ", ".join(f"sum(CASE WHEN {_DRAW_SQL.format(k=k)} < rate - floor(rate) THEN size * (floor(rate) + 1) ELSE size * floor(rate) END) AS w{k}" for k in range(DRAWS))
     best = " ".join(f"WHEN {' AND '.join(f'abs(w{k} - aim) <= abs(w{j} - aim)' for j in range(DRAWS) if j != k)} THEN {k}" for k in range(DRAWS))
     return f"""
 WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM {table}),
@@ -113,6 +113,6 @@ rated AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, least(3.0:
   FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
 totals AS (SELECT source, first(target) AS aim, {words} FROM rated GROUP BY source),
 chosen AS (SELECT source, CASE {best} END AS draw FROM totals),
-counted AS (SELECT r.*, (floor(rate) + CASE WHEN {_DRAW_SQL.format(at='8 * c.draw + 1')} < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS copies
+counted AS (SELECT r.*, (floor(rate) + CASE WHEN {_DRAW_SQL.format(k='c.draw')} < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS copies
   FROM rated r JOIN chosen c ON r.source IS NOT DISTINCT FROM c.source)
 SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, source, copies FROM counted"""
