@@ -31,7 +31,7 @@ def test_measurements(odd, docs):
 
 def test_overlapping_windows_count_once(spark):
     rows = spark.createDataFrame([(1, "a b c a b c x"), (2, "a a a a"), (3, "a b"), (4, "x y z q x y z y z q")], "doc_id long, text string")
-    assert {r["doc_id"]: r["n_repeat_words"] for r in op.measure(rows).collect()} == {1: 6, 2: 4, 3: 0, 4: 9}
+    assert {r["doc_id"]: r["n_repeat_words"] for r in op.measure(rows).collect()} == {1: 6, 2: 4, 3: 0, 4: 10}
 
 
 def test_policies_and_ablation(odd):
