@@ -145,10 +145,6 @@ def shingles(texts: list[bytes], width: int = 5) -> tuple[np.ndarray, np.ndarray
     return mix64(out), n
 
 
-def lower_ascii(texts: list[bytes]) -> list[bytes]:
-    return [t.lower() for t in texts]  # bytes.lower() maps A-Z only
-
-
 def in_chunks(sizes, most: int):
     """Slices of consecutive items whose sizes add up to ``most`` or are one item."""
     start, total = 0, 0
@@ -159,7 +155,3 @@ def in_chunks(sizes, most: int):
         total += s
     if start < len(sizes):
         yield slice(start, len(sizes))
-
-
-def key(column: Column) -> Column:
-    return F.xxhash64(column)
