@@ -30,7 +30,7 @@ from ._shared import documents, mix64, partitions, seeds
 
 WINDOW, GRAM = 50, 20
 #: Bytes of text in a group of documents, and anchors in a bucket, about.
-GROUP_BYTES, BUCKET_ANCHORS = 4_000_000, 800_000
+GROUP_BYTES, BUCKET_ANCHORS = 3_000_000, 300_000
 #: Documents that are looked at for hot anchors, and in how many of them an anchor must be to be hot.
 HOT_SAMPLE, HOT_FROM = 10_000, 6
 _U = np.uint64
@@ -422,7 +422,7 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None, with_text: b
     by_group = dealt.groupBy("grp")
     runs = by_group.applyInPandas(_send_runs(int(buckets), hot), _ROUTED)
     settled = runs.groupBy("key").applyInPandas(_settle, _ROUTED)
-    sent = by_group.cogroup(settled.groupBy("grp")).applyInPandas(_answer(int(buckets)), _ROUTED)
+    sent = by_group.cogroup(settled.groupBy("grp")).applyInPandas(_answer(3 * int(buckets)), _ROUTED)
     told = sent.groupBy("key").applyInPandas(_sort_suffixes, _ROUTED)
     schema = [f"{f.name} {f.dataType.simpleString()}" for f in rows.select("doc_id", *carry).schema]
     schema += ["n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string", *(["kept_text string", "spans array<array<long>>"] if with_text else [])]
