@@ -375,9 +375,10 @@ def refs_parse(spark, sf_dir):
 _STATES = ("routes=1-3%2C18&conc=all", "?conc=nonsense&labels=0", "labels&ferry=1&labels=0", "", "routes=&special=", "other=1&routes=5")
 
 
-@query("state_decode", "SELECT * FROM (VALUES (0, '1,2,3,18', 'all', NULL::BOOLEAN, NULL::BOOLEAN, NULL::BOOLEAN, NULL::BOOLEAN, NULL::BOOLEAN), (1, NULL, NULL, false, NULL, NULL, NULL, NULL), (2, NULL, NULL, true, NULL, NULL, NULL, true), (3, NULL, NULL, NULL, NULL, NULL, NULL, NULL), (4, NULL, NULL, NULL, NULL, NULL, true, NULL), (5, '5', NULL, NULL, NULL, NULL, NULL, NULL)) v(i, selected, conc, labels, termini, expressway, special, ferry)")
+@query("state_decode", "SELECT i, selected, conc, labels::VARCHAR AS labels, termini::VARCHAR AS termini, expressway::VARCHAR AS expressway, special::VARCHAR AS special, ferry::VARCHAR AS ferry FROM (VALUES (0, '1,2,3,18', 'all', NULL::BOOLEAN, NULL::BOOLEAN, NULL::BOOLEAN, NULL::BOOLEAN, NULL::BOOLEAN), (1, NULL, NULL, false, NULL, NULL, NULL, NULL), (2, NULL, NULL, true, NULL, NULL, NULL, true), (3, NULL, NULL, NULL, NULL, NULL, NULL, NULL), (4, NULL, NULL, NULL, NULL, NULL, true, NULL), (5, '5', NULL, NULL, NULL, NULL, NULL, NULL)) v(i, selected, conc, labels, termini, expressway, special, ferry)")
 def state_decode(spark, sf_dir):
-    return rows(spark, "i int, q string", *enumerate(_STATES)).select("i", *codec.decode_state(F.col("q")))
+    found = rows(spark, "i int, q string", *enumerate(_STATES)).select("i", *codec.decode_state(F.col("q")))
+    return found.select("i", "selected", "conc", *(F.col(k).cast("string").alias(k) for k in codec.TOGGLES))
 
 
 @query("state_encode", NATIONS + ", r AS (SELECT id, n, unnest(refs) AS ref FROM seg), g AS (SELECT id, n, ref, ref - row_number() OVER (PARTITION BY id ORDER BY ref) AS g FROM r), runs AS (SELECT id, n, min(ref) AS a, max(ref) AS b FROM g GROUP BY id, n, g), t AS (SELECT id, n, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, '%2C' ORDER BY a) AS x FROM runs GROUP BY id, n) SELECT id, 'routes=' || x || CASE WHEN n >= 4 THEN '&conc=all' ELSE '' END || CASE WHEN n % 2 = 0 THEN '&ferry=0' ELSE '' END AS query FROM t")
