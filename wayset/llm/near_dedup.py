@@ -8,8 +8,9 @@ the cost of little more than one hash a shingle.
 Texts with equal shingle sets are one node. Nodes that agree in a band of ROWS coordinates are candidates, and every
 candidate that is accepted was confirmed on full shingle sets. Candidates are not expanded into all pairs of a bucket:
 
-1. each node is compared with one hub, the smallest node of its buckets with which it shares most bands;
-2. confirmed links give components, and only pairs that still lie in different components are compared one by one.
+1. every bucket has a hub, its smallest node, and each node is compared with the hubs it shares most bands with;
+   confirmed links give components;
+2. where a bucket's nodes still lie in different components, each node searches the others in blocks.
 
 What pairs inside a component would add is the same component again, so nothing is lost by not comparing them.
 """
@@ -31,6 +32,8 @@ ROWS, BANDS = 5, 64
 SKETCH = ROWS * BANDS
 #: Bands that two sets of similarity 0.75 share in all but 1 of 100,000 cases; fewer make no candidate.
 SHARED_BANDS = 3
+#: Hubs that a node is compared with before the search in blocks.
+HUBS = 3
 #: Members of a hub that one group of a task compares; larger hubs are split.
 GROUP = 256
 #: Bits of the fixed-size bitmap that keeps texts out of the exact join before they are shuffled (1 MB).
@@ -168,6 +171,144 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
+def _mixed(entries: DataFrame, label: DataFrame) -> DataFrame:
+    """Entries of the buckets whose nodes lie in several components, with their labels."""
+    now = entries.join(label, "node", "left").select("band", "node", "n_shingles", F.coalesce("label", "node").alias("label"))
+    mixed = now.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
+    return now.join(mixed, "band", "left_semi")
+
+
+def _sizes_fit(a: str, b: str):
+    """Sets whose sizes differ too much cannot be similar enough."""
+    return 100 * F.least(a, b) >= SIMILARITY * F.greatest(a, b)
+
+
+def _relabel(label: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after links between nodes: their components are joined."""
+    known = label.select(F.col("node").alias("k"), F.col("label").alias("l"))
+    named = links.join(known, F.col("node") == F.col("k"), "left").select(F.coalesce("l", "node").alias("node"), "hub").join(known, F.col("hub") == F.col("k"), "left").select("node", F.coalesce("l", "hub").alias("hub"))
+    joined = components(named).select(F.col("node").alias("k"), F.col("label").alias("l"))
+    old = label.join(joined, F.col("label") == F.col("k"), "left").select("node", F.coalesce("l", "label").alias("label"))
+    return cut(old.unionByName(joined.select(F.col("k").alias("node"), F.col("l").alias("label"))).distinct())
+
+
+def _list_candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows come by bucket and chunk, a chunk's targets first; each query lists the targets of smaller label."""
+    at, held = None, []
+    ids = labels = sizes = np.zeros(0, np.int64)
+    for batch in batches:
+        found = []
+        for r in batch.itertuples():
+            if (r.band, r.chunk) != at:
+                at, held, ids = (r.band, r.chunk), [], None
+            if r.role == 0:
+                held.append((r.node, r.label, r.n_shingles))
+                continue
+            if ids is None:
+                ids, labels, sizes = np.array(held, dtype=np.int64).reshape(-1, 3).T
+            fit = (labels < r.label) & (100 * np.minimum(sizes, r.n_shingles) >= SIMILARITY * np.maximum(sizes, r.n_shingles))
+            if fit.any():
+                found.append((r.node, ids[fit].tobytes()))
+        yield pd.DataFrame(found, columns=["node", "targets"])
+
+
+def _block(nodes: np.ndarray, blocks: int) -> np.ndarray:
+    return (mix64(nodes.view(np.uint64) ^ _BAND[2]) % np.uint64(blocks)).astype(np.int64)
+
+
+def _join_lists(blocks: int):
+    """Rows come by node; its lists over all buckets give the targets that it shares enough bands with."""
+
+    def joined(node: int, parts: list[np.ndarray]) -> list[tuple]:
+        ids, n = np.unique(np.concatenate(parts), return_counts=True)
+        ids = ids[n >= SHARED_BANDS]
+        to = _block(ids, blocks)
+        return [(int(b), node, ids[to == b].tobytes()) for b in np.unique(to)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        node, parts = None, []
+        for batch in batches:
+            found = []
+            for r in batch.itertuples():
+                if parts and r.node != node:
+                    found += joined(node, parts)
+                    parts = []
+                node = r.node
+                parts.append(np.frombuffer(r.targets, np.int64))
+            yield pd.DataFrame(found, columns=["block", "node", "targets"])
+        if parts:
+            yield pd.DataFrame(joined(node, parts), columns=["block", "node", "targets"])
+
+    return run
+
+
+def _search_block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows come by block, its targets' sets first; each query's set is compared with those that it lists."""
+    at, sets = None, {}
+    for batch in batches:
+        links = []
+        for r in batch.itertuples():
+            if r.block != at:
+                at, sets = r.block, {}
+            own = np.frombuffer(r.shingles, np.uint64)
+            if r.role == 0:
+                sets[r.node] = own
+                continue
+            targets = np.frombuffer(r.targets, np.int64)
+            for part in in_chunks([len(sets[t]) for t in targets.tolist()], 1_000_000):
+                others = [sets[t] for t in targets[part].tolist()]
+                sizes = np.array([len(o) for o in others])
+                every = np.concatenate(others)
+                hit = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
+                common = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes) - sizes)
+                close = 100 * common >= SIMILARITY * (len(own) + sizes - common)
+                links += [(r.node, int(t)) for t in targets[part][close]]
+        yield pd.DataFrame(links, columns=["node", "hub"])
+
+
+#: Entries of a bucket that one group lists as targets, and sets that one block holds, about.
+CHUNK, BLOCK_SETS = 1024, 512
+
+
+def apart_links(texts: DataFrame, mixed: DataFrame) -> DataFrame:
+    """Links (node, hub) between nodes of different components that share SHARED_BANDS buckets or more.
+
+    A search in blocks: candidates travel as one list per node and block, never as pairs. A bucket's targets are
+    split into chunks that each see all of the bucket's queries, and the sets of all nodes are split into blocks, to
+    which a query's set goes with the targets that it has there.
+    """
+    spark = texts.sparkSession
+    many = partitions(spark)
+    nodes = cut(mixed.select("node").distinct())
+    blocks = max(1, nodes.count() // BLOCK_SETS)
+    chunks = mixed.groupBy("band").agg((F.floor(F.count("*") / CHUNK) + 1).alias("chunks"))
+    sized = mixed.join(chunks, "band")
+    columns = ["band", "chunk", "role", "node", "n_shingles", "label"]
+    targets = sized.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks"))).withColumn("role", F.lit(0)).select(*columns)
+    queries = sized.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).withColumn("role", F.lit(1)).select(*columns)
+    dealt = targets.unionByName(queries).repartition(many, "band", "chunk").sortWithinPartitions("band", "chunk", "role")
+    lists = dealt.mapInPandas(_list_candidates, "node long, targets binary").repartition(many, "node").sortWithinPartitions("node")
+    asked = lists.mapInPandas(_join_lists(blocks), "block long, node long, targets binary")
+    sets = stored(_within(texts, nodes).join(nodes, F.col("doc_id") == F.col("node")).drop("doc_id").mapInPandas(_sets, "node long, shingles binary"), "sets")
+
+    @F.pandas_udf("long")
+    def block_of(node: pd.Series) -> pd.Series:
+        return pd.Series(_block(node.to_numpy(), blocks))
+
+    held = sets.select(block_of("node").alias("block"), F.lit(0).alias("role"), "node", "shingles", F.lit(None).cast("binary").alias("targets"))
+    sent = asked.join(sets, "node").select("block", F.lit(1).alias("role"), "node", "shingles", "targets")
+    return held.unionByName(sent).repartition(many, "block").sortWithinPartitions("block", "role").mapInPandas(_search_block, "node long, hub long")
+
+
+def nodes_by_label(texts: DataFrame, entries: DataFrame) -> DataFrame:
+    """node, label: the smallest node of its component, for every node with a link."""
+    hubs = entries.groupBy("band").agg(F.min(F.struct("node", "n_shingles")).alias("h")).select("band", F.col("h.node").alias("hub"), F.col("h.n_shingles").alias("hub_n"))
+    votes = entries.join(hubs, "band").where((F.col("node") != F.col("hub")) & _sizes_fit("n_shingles", "hub_n")).groupBy("node", "hub").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED_BANDS)
+    best = votes.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "hub")), asc=False), 1, HUBS).alias("b"))  # BANDS hubs at most
+    label = components(confirmed(texts, cut(best.select("node", F.explode("b.hub").alias("hub")))))
+    return _relabel(label, apart_links(texts, cut(_mixed(entries, label))))
+
+
 def link_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``.
 
@@ -183,27 +324,12 @@ def link_documents(docs: DataFrame) -> DataFrame:
     classes = usable.groupBy(*content).agg(F.min("doc_id").alias("node"))
     nodes = usable.join(classes.select("node").distinct(), F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "n_shingles", "bands").distinct()
     entries = nodes.select("node", "n_shingles", F.explode("bands").alias("band"))
-    shared = entries.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("band", "hub")
+    shared = entries.groupBy("band").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("band")
     entries = stored(entries.join(shared, "band"), "bands")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
-    votes = entries.where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("n"))
-    first = votes.where(F.col("n") >= SHARED_BANDS).groupBy("node").agg(F.max(F.struct("n", (-F.col("hub")).alias("h"))).alias("best")).select("node", (-F.col("best.h")).alias("hub"))
-    label = components(confirmed(rows, cut(first)))
-
-    now = entries.join(label, "node", "left").select("band", "node", "n_shingles", F.coalesce("label", "node").alias("label"))
-    mixed = now.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
-    now = now.join(mixed, "band", "left_semi")
-    a, b = now.alias("a"), now.alias("b")
-    apart = (F.col("a.band") == F.col("b.band")) & (F.col("a.label") != F.col("b.label")) & (F.col("a.node") < F.col("b.node")) & (100 * F.least("a.n_shingles", "b.n_shingles") >= SIMILARITY * F.greatest("a.n_shingles", "b.n_shingles"))
-    pairs = a.join(b, apart).select(F.col("b.node").alias("node"), F.col("a.node").alias("hub")).groupBy("node", "hub").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED_BANDS).select("node", "hub")
-    links = confirmed(rows, cut(pairs))
-    known = label.select(F.col("node").alias("k"), F.col("label").alias("l"))
-    named = links.join(known, F.col("node") == F.col("k"), "left").select(F.coalesce("l", "node").alias("node"), "hub").join(known, F.col("hub") == F.col("k"), "left").select("node", F.coalesce("l", "hub").alias("hub"))
-    joined = components(named)
-
-    final = classes.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")).join(joined.select(F.col("node").alias("k"), F.col("label").alias("l")), F.col("label") == F.col("k"), "left")
-    final = final.select(*(F.col(c).alias(f"__{c}") for c in content), F.coalesce("l", "label").alias("__component"))
+    label = nodes_by_label(rows, entries)
+    final = classes.join(label, "node", "left").select(*(F.col(c).alias(f"__{c}") for c in content), F.coalesce("label", "node").alias("__component"))
     at = [F.col(c) == F.col(f"__{c}") for c in content]
     found = signed.select("doc_id", *content).join(final, at, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("__component", "doc_id"))
