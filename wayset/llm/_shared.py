@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +73,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Functions that drop what an operator's tasks remember in a worker.
+REMEMBERED: list[Callable[[], None]] = []
+
+
+def fresh() -> None:
+    """Begin a task or group in a worker that Spark reuses, with no more memory than it needs.
+
+    Drops what other operators' tasks remembered there, and returns freed memory to the system: Arrow's pool, and
+    the C library's where it is one that can (elsewhere nothing happens).
+    """
+    for drop in REMEMBERED:
+        drop()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

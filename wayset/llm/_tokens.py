@@ -7,6 +7,8 @@ import zlib
 
 import numpy as np
 
+from ._shared import REMEMBERED
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces and ids that a worker remembers at most; beyond that it starts anew.
@@ -54,9 +56,9 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.begins = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.begins[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.first, self.later = _Places(), _Places()  # pieces that begin a text, and those that follow a space
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
         self.start, self.length, self.loose = (np.zeros((2, 1 << 14), t) for t in (np.int64, np.int64, bool))
@@ -98,7 +100,7 @@ class Encoder:
         if not texts:
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
         if len(self.later) > MEMO_PIECES or self.used > MEMO_IDS:
-            self._forget()
+            self.forget()
         place, parts, sizes = self.later.__getitem__, [], []
         for text in texts:
             first, *rest = text.split(" ")
@@ -134,6 +136,14 @@ def encoder(path: str) -> Encoder:
     return _made[path]
 
 
+def _forget_pieces() -> None:
+    for one in _made.values():
+        one.forget()
+
+
+REMEMBERED.append(_forget_pieces)
+
+
 def crc(ids: np.ndarray) -> int:
     """Unsigned crc32 of ids as little-endian unsigned 32-bit integers."""
     return zlib.crc32(ids.astype("<u4").tobytes())

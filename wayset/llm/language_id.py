@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import documents, in_chunks, mix64, seeds
+from ._shared import documents, fresh, in_chunks, mix64, seeds
 
 DIMENSIONS = 1024
 GRAM = 3
@@ -113,6 +113,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _bundle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    fresh()
     sums: dict[str, np.ndarray] = {}
     for batch in batches:
         texts, langs = batch["text"].tolist(), batch["lang"].to_numpy()
@@ -148,6 +149,7 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarra
 
 def _predictor(names: list[str], prototypes: np.ndarray, keep: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fresh()
         labels = np.array([*names, UNKNOWN], dtype=object)
         for batch in batches:
             texts = ["" if t is None else t for t in batch["text"]]

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import cut, documents, in_chunks, mix64, partitions, seeds, shingles, stored
+from ._shared import cut, documents, fresh, in_chunks, mix64, partitions, seeds, shingles, stored
 
 WIDTH = 5
 SIMILARITY = 75  # per cent
@@ -85,10 +85,11 @@ _SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<lon
 
 
 def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    fresh()
     for batch in batches:
-        texts = [t.encode("utf-8", "surrogatepass") for t in batch["text"]]
+        texts = batch["text"].tolist()
         for part in in_chunks([len(t) + 64 for t in texts], 1_000_000):
-            hashes, sizes = shingle_sets(texts[part])
+            hashes, sizes = shingle_sets([t.encode("utf-8", "surrogatepass") for t in texts[part]])
             ends = np.concatenate([[0], np.cumsum(sizes)])
             total = lambda x: np.diff(np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])[ends])  # noqa: B023, E731
             bands = band_hashes(sketches(hashes, sizes)).view(np.int64)
@@ -109,16 +110,18 @@ def _within(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    fresh()
     for batch in batches:
-        texts = [t.encode("utf-8", "surrogatepass") for t in batch["text"]]
+        texts = batch["text"].tolist()
         for part in in_chunks([len(t) + 64 for t in texts], 1_000_000):
-            hashes, sizes = shingle_sets(texts[part])
+            hashes, sizes = shingle_sets([t.encode("utf-8", "surrogatepass") for t in texts[part]])
             ends = np.cumsum(sizes)
             yield batch.iloc[part].drop(columns=["text"]).assign(shingles=[hashes[e - s : e].tobytes() for e, s in zip(ends, sizes, strict=True)])
 
 
 def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows come by hub and split, the hub's own set first."""
+    fresh()
     hub, own = None, np.zeros(0, np.uint64)
     for batch in batches:
         links = []
@@ -194,6 +197,7 @@ def _relabel(label: DataFrame, links: DataFrame) -> DataFrame:
 
 def _list_candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows come by bucket and chunk, a chunk's targets first; each query lists the targets of smaller label."""
+    fresh()
     at, held = None, []
     ids = labels = sizes = np.zeros(0, np.int64)
     for batch in batches:
@@ -226,6 +230,7 @@ def _join_lists(blocks: int):
         return [(int(b), node, ids[to == b].tobytes()) for b in np.unique(to)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fresh()
         node, parts = None, []
         for batch in batches:
             found = []
@@ -244,6 +249,7 @@ def _join_lists(blocks: int):
 
 def _search_block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows come by block, its targets' sets first; each query's set is compared with those that it lists."""
+    fresh()
     at, sets = None, {}
     for batch in batches:
         links = []

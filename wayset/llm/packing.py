@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import cut, documents, partitions
+from ._shared import cut, documents, fresh, partitions
 from ._tokens import crc, default_tokenizer, encoder, text_chunks
 
 WINDOW = 2048
@@ -145,6 +145,7 @@ def _cutter(path: str, end_id: int, window: int):
 
 def _placer(table: dict[int, dict[str, np.ndarray]]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fresh()
         for batch in batches:
             sequence, slot = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
             classes, ranks = batch["__class"].to_numpy(), batch["__rank"].to_numpy()

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import documents, mix64, partitions, seeds
+from ._shared import documents, fresh, mix64, partitions, seeds
 
 WINDOW, GRAM = 50, 20
 #: Bytes of text in a group of documents, and anchors in a bucket, about.
@@ -230,6 +230,7 @@ def _routed(rows: list[tuple]) -> pd.DataFrame:
 
 def _group(pdf: pd.DataFrame) -> tuple[pd.DataFrame, list[bytes], np.ndarray]:
     """A group's rows in one order that every step finds again, their bytes, and ids (null: the largest number)."""
+    fresh()
     texts = [bytes(t) for t in pdf["bytes"]]
     ids = pdf["at"].to_numpy()
     order = sorted(range(len(pdf)), key=lambda i: (ids[i], texts[i]))
@@ -277,6 +278,7 @@ def _settle(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     b = int(key[0])
     if b < 0:
         return pdf
+    fresh()
     parts = [_unpack_all(p, _RUN_WIDTHS) for p in pdf["payload"]]
     grp = np.repeat(pdf["grp"].to_numpy(), [len(p[0]) for p in parts])
     doc, ids, anchor, content, start, count = (np.concatenate(c) for c in zip(*parts, strict=True))
@@ -328,6 +330,7 @@ def _sort_suffixes(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """One bucket of runs that differ: windows that a smaller document's run has too."""
     if int(key[0]) < 0:
         return pdf
+    fresh()
     texts: list[bytes] = []
     parts = []
     for payload in pdf["payload"]:
