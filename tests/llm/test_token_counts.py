@@ -39,3 +39,16 @@ def test_odd_documents(odd, none):
     assert (by_id[4]["n_words"], by_id[4]["n_tokens"]) == (0, 0) == (by_id[6]["n_words"], by_id[6]["n_tokens"])
     assert by_id[1]["n_tokens"] == by_id[3]["n_tokens"] > 0 and None in by_id
     assert op.count_tokens(none).count() == 0
+
+
+def test_long_words_are_segmented_whole(monkeypatch):
+    unigram = op.model(op.default_vocabulary())
+    words = ["x" * 300, "日本語" * 100, "https://example.org/" + "path/to/thing?key=value&" * 20, "é" * 150, "\U0001f389" * 40, "a" * op.LONGEST, "ab" * op.LONGEST]
+    texts = [w.encode() for w in words] + [" ".join(["ab", *words, "b"]).encode()]
+    expected = [brute(w.encode(), unigram) for w in words]
+    assert expected[0] != sum(brute(p, unigram) for p in op._split(texts[0]))
+    for block in (op._BLOCK, 7, 50):
+        monkeypatch.setattr(op, "_BLOCK", block)
+        counts, tokens = op.text_tokens(texts, unigram)
+        assert counts.tolist() == [1] * len(words) + [len(words) + 2]
+        assert tokens.tolist() == [*expected, sum(expected) + brute(b"ab", unigram) + brute(b"b", unigram)]

@@ -3,6 +3,7 @@
 The pre-tokens of many documents share prefixes. Distinct ones are sorted into a trie; for each trie node the best
 unigram segmentation of its prefix follows from the best ones of its ancestors, so a prefix is scored once however
 many pre-tokens begin with it. Each pre-token's end node stores its token count, and documents add those up.
+Long pre-tokens hardly share prefixes; they are segmented one by one, from the pieces found in them.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ from pyspark.sql import functions as F
 
 from ._shared import SPACES, documents, in_chunks, seeds, word_hashes
 
-#: Bytes of a pre-token at most; a longer word is divided into runs of this many (fewer at a character's border).
+#: Bytes of a word at most that goes through the trie; ``long_counts`` takes the others, of any length.
 LONGEST = 96
+#: Bytes of long words whose pieces are looked up at once.
+_BLOCK = 1 << 17
 #: Log probability of a byte that no piece covers.
 BYTE_COST = -16.0
 _ROOT = "▁".encode()
@@ -46,12 +49,25 @@ class Unigram:
         names = [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
         scale = np.log(np.sum(1 / np.arange(1, len(names) + 1)))
         self.pieces = {n.encode(): -float(np.log(k + 1) + scale) for k, n in enumerate(names)}
+        self._beginnings: list[np.ndarray] | None = None
         self.table: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for size in sorted({len(p) for p in self.pieces}):
             own = sorted((byte_hash(p), s) for p, s in self.pieces.items() if len(p) == size)
             self.table[size] = np.array([h for h, _ in own], dtype=np.uint64), np.array([s for _, s in own])
         self.longest = max(self.table)
 
+    def beginnings(self) -> list[np.ndarray]:
+        """Sorted hashes of what pieces begin with, by length (the first for one byte)."""
+        if self._beginnings is None:
+            found: list[set[int]] = [set() for _ in range(self.longest)]
+            for piece in self.pieces:
+                h = 0
+                for k, b in enumerate(piece):
+                    h = (h * _BASE + int(_KEY[b])) & 0xFFFFFFFFFFFFFFFF
+                    found[k].add(h)
+            self._beginnings = [np.array(sorted(hashes), dtype=np.uint64) for hashes in found]
+        return self._beginnings
+
 
 def byte_hash(data: bytes) -> int:
     h = 0
@@ -117,7 +133,74 @@ def trie_counts(words: list[bytes], unigram: Unigram) -> np.ndarray:
     return out
 
 
+def _pieces_within(blob: np.ndarray, room: np.ndarray, unigram: Unigram) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Last byte, size and weight of every piece in ``blob``, ordered by last byte and size.
+
+    ``room`` is how many bytes of its word begin at each byte; a start is followed only while pieces begin like it.
+    """
+    start, h = np.arange(len(blob)), np.zeros(len(blob), dtype=np.uint64)
+    found = []
+    for size, begin in enumerate(unigram.beginnings(), 1):
+        go = room[start] >= size
+        start, h = start[go], h[go]
+        h = h * np.uint64(_BASE) + _KEY[blob[start + size - 1]]
+        go = begin[np.minimum(np.searchsorted(begin, h), len(begin) - 1)] == h
+        start, h = start[go], h[go]
+        if not len(start):
+            break
+        if size in unigram.table:
+            names, weights = unigram.table[size]
+            at = np.minimum(np.searchsorted(names, h), len(names) - 1)
+            whole = names[at] == h
+            found.append((start[whole] + size - 1, np.full(int(whole.sum()), size), weights[at[whole]]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    ends, sizes, weights = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(ends, kind="stable")
+    return ends[order], sizes[order], weights[order]
+
+
+def long_counts(words: list[bytes], unigram: Unigram) -> np.ndarray:
+    """The same as ``trie_counts`` for words of any length in any order, each with one word mark.
+
+    Pieces are looked up in blocks of bytes; scores and counts go on from block to block, as far back as the longest
+    piece, so a block's border is none for the segmentation.
+    """
+    out = np.zeros(len(words), dtype=np.int64)
+    marked = [_ROOT + w for w in words]
+    lengths = np.fromiter(map(len, marked), np.int64, len(marked))
+    blob = np.frombuffer(b"".join(marked), np.uint8)
+    stops = np.cumsum(lengths)
+    word, back = 0, unigram.longest
+    scores, counts = [0.0], [0]  # of the prefixes of the word, the latest last
+    for first in range(0, len(blob), _BLOCK):
+        stop = min(first + _BLOCK, len(blob))
+        low = max(0, first - back + 1)
+        room = stops[np.searchsorted(stops, np.arange(low, stop), side="right")]
+        ends, sizes, weights = _pieces_within(blob[low:stop], np.minimum(room, stop) - np.arange(low, stop), unigram)
+        own = ends >= first - low
+        upto = np.searchsorted(ends[own], np.arange(first - low, stop - low), side="right").tolist()
+        sizes, weights = sizes[own].tolist(), weights[own].tolist()
+        at = 0
+        for place, last in enumerate(upto, first + 1):
+            best, many = scores[-1] + BYTE_COST, counts[-1] + 1
+            for k in range(at, last):
+                value = scores[-sizes[k]] + weights[k]
+                if value >= best:
+                    best, many = value, counts[-sizes[k]] + 1
+            at = last
+            scores.append(best)
+            counts.append(many)
+            if place == stops[word]:
+                out[word] = many
+                word += 1
+                scores, counts = [0.0], [0]
+        scores, counts = scores[-back:], counts[-back:]
+    return out
+
+
 def _split(word: bytes) -> list[bytes]:
+    """Runs of at most LONGEST bytes that end at characters' borders. No count is made from them."""
     parts = []
     while len(word) > LONGEST:
         n = LONGEST
@@ -129,7 +212,7 @@ def _split(word: bytes) -> list[bytes]:
 
 
 def text_tokens(texts: list[bytes], unigram: Unigram) -> tuple[np.ndarray, np.ndarray]:
-    """Words and tokens of each text; the texts' distinct pre-tokens go through one trie."""
+    """Words and tokens of each text; the texts' distinct pre-tokens go through one trie, long ones apart."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     joined = b" ".join(texts) + b" "
     blob = np.frombuffer(joined, dtype=np.uint8)
@@ -141,10 +224,14 @@ def text_tokens(texts: list[bytes], unigram: Unigram) -> tuple[np.ndarray, np.nd
     starts, stops = edge[0::2], edge[1::2]
     _, place, which = np.unique(hashes, return_index=True, return_inverse=True)
     distinct = [joined[starts[p] : stops[p]] for p in place]
-    parts = [_split(w) for w in distinct]
-    short = sorted({p for ps in parts for p in ps})
-    tokens = dict(zip(short, trie_counts(short, unigram).tolist(), strict=True))
-    each = np.array([sum(tokens[p] for p in ps) for ps in parts], dtype=np.int64)
+    size = np.fromiter(map(len, distinct), np.int64, len(distinct))
+    each = np.zeros(len(distinct), dtype=np.int64)
+    short = sorted(np.flatnonzero(size <= LONGEST).tolist(), key=distinct.__getitem__)
+    if short:
+        each[short] = trie_counts([distinct[i] for i in short], unigram)
+    long = np.flatnonzero(size > LONGEST).tolist()
+    if long:
+        each[long] = long_counts([distinct[i] for i in long], unigram)
     owner = np.repeat(np.arange(len(texts)), counts)
     return counts, np.bincount(owner, weights=each[which], minlength=len(texts)).astype(np.int64)
 
@@ -164,7 +251,7 @@ def _counter(path: str):
 def count_tokens(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """doc_id, n_words, n_tokens for every row of ``docs``, over whole texts.
 
-    A pre-token is a word with the vocabulary's word mark before it. Null and empty texts have none. Null ids pass
+    A pre-token is a word of any length with the vocabulary's word mark before it. Null and empty texts have none. Null ids pass
     through, equal texts count alike, an empty table gives none; only doc_id and text are read. Nothing is shuffled:
     tries are made per task over a few MB of text at a time.
     """
