@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayset.operators import aggregate, filters, sets
+from wayset.plans import catalog
 from wayset.sources import segments as model
 from wayset.streaming import refresh
 
@@ -183,3 +184,9 @@ def test_streamed_sums(spark, sf_dir, tmp_path):
 def test_windowed_counts(spark, sf_dir):
     events = model.table(spark, sf_dir, "events")
     assert refresh.windowed_counts(events).agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_every_label_has_its_place(spark, sf_dir):
+    expected = sorted(((r["n"], r["id"]) for r in model.segments(spark, sf_dir, "nation").collect()), key=lambda r: (-r[0], r[1]))
+    assert len(expected) > 50
+    assert [tuple(r) for r in catalog.QUERIES["label_order"](spark, sf_dir).collect()] == expected

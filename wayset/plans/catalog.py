@@ -194,8 +194,8 @@ def clickable_layers(spark, sf_dir):
 
 @query("label_order", NATIONS + "SELECT n, id FROM (SELECT n, id FROM seg ORDER BY n DESC, id LIMIT 50)")
 def label_order(spark, sf_dir):
-    """Labels of a zoom that shows them, deepest placed first."""
-    return segments(spark, sf_dir, "nation").where(filters.visible(10, "route-labels")).orderBy(F.desc("n"), "id").select("n", "id").limit(50)
+    """All labels of a zoom that shows them, deepest placed first."""
+    return segments(spark, sf_dir, "nation").where(filters.visible(10, "route-labels")).orderBy(F.desc("n"), "id").select("n", "id")
 
 
 @query("prefix_search", "SELECT p_partkey FROM part WHERE starts_with(p_partkey::VARCHAR, '15')")
