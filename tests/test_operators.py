@@ -190,3 +190,11 @@ def test_every_label_has_its_place(spark, sf_dir):
     expected = sorted(((r["n"], r["id"]) for r in model.segments(spark, sf_dir, "nation").collect()), key=lambda r: (-r[0], r[1]))
     assert len(expected) > 50
     assert [tuple(r) for r in catalog.QUERIES["label_order"](spark, sf_dir).collect()] == expected
+
+
+def test_every_point_is_probed(spark, sf_dir):
+    points = [(r["p_partkey"], float(r["p_size"]), r["p_partkey"] % 10 / 100.0) for r in model.table(spark, sf_dir, "part").collect()]
+    segs = [(r["id"], r["w"], r["s"], r["e"], r["t"]) for r in model.segments(spark, sf_dir, "nation").collect()]
+    expected = sorted((p, i) for p, x, y in points for i, w, s, e, t in segs if w <= x <= e and s <= y <= t)
+    assert len({p for p, _ in expected}) > 100
+    assert sorted(tuple(r) for r in catalog.QUERIES["point_hits"](spark, sf_dir).collect()) == expected
