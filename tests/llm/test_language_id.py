@@ -49,3 +49,13 @@ def test_labels_are_not_inputs(odd):
     shuffled = odd.withColumn("lang", F.lit("zz")).withColumn("source", F.lit("zz"))
     key = lambda rows: sorted((str(r["doc_id"]), r["lang_pred"], r["score"]) for r in rows)
     assert key(op.predict(odd, model).collect()) == key(op.predict(shuffled, model).collect())
+
+
+def test_rare_language_is_learned_whole(spark):
+    own = [(20_000_000 + i, f"żółć gęśl jaźń {chr(97 + i) * 9} {chr(98 + i) * 5}", "pl") for i in range(20)]
+    many = spark.range(60_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("the word "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    rare = spark.createDataFrame(own, "doc_id long, text string, lang string")
+    names, vectors = op.train(many.unionByName(rare))
+    alone = op.train(rare)
+    assert names == ["en", "pl"] and alone[0] == ["pl"]
+    assert np.abs(vectors[1] - alone[1][0]).max() < 1e-5

@@ -18,8 +18,6 @@ from ._shared import documents, fresh, in_chunks, mix64, seeds
 
 DIMENSIONS = 1024
 GRAM = 3
-#: Training rows are bounded: about this many, chosen by a hash of the id among all that may be used.
-TRAIN_ROWS = 20_000
 UNKNOWN = "und"
 _BORDER = 0x20
 #: Distinct n-grams whose vectors are held at once.
@@ -127,16 +125,13 @@ def _bundle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"lang": lang, "dimension": np.arange(len(total)), "total": total})
 
 
-def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
+def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Language names in order and their unit prototypes, from rows with text and lang whose id is not held out.
 
-    About ``rows`` rows at most are used, drawn by a hash of the id; each text counts with unit length. Nothing but
-    languages times dimensions numbers reaches the driver.
+    All such rows are used, so that no language is too rare to be learned; each text counts with unit length. Sums
+    are made per task, and nothing but languages times dimensions numbers reaches the driver.
     """
     usable = docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    share = rows / max(1, usable.select("doc_id").count())
-    if share < 1:
-        usable = usable.where(F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     parts = usable.select("text", "lang").mapInPandas(_bundle, "lang string, dimension int, total double")
     found = parts.groupBy("lang", "dimension").agg(F.sum("total").alias("total")).toPandas()
     if not len(found):
