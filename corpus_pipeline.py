@@ -17,9 +17,9 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents whose language cannot be told: those without any letter. All others stay as they are."""
+    """Rejects documents whose language cannot be told: those without any letter. All others stay, whatever was learned."""
     found = language_id.predict(docs, language_id.train(docs), COLUMNS)
-    return found.where(F.col("lang_pred") != language_id.UNKNOWN).select(*COLUMNS)
+    return found.where("has_letter").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -57,3 +58,10 @@ def test_run_and_odd_documents(spark, odd, none, sf_dir):
 def test_rejected_language(spark, odd):
     model = language_id.train(odd)
     assert {r["doc_id"] for r in language_id.predict(odd, model).where("lang_pred = 'und'").collect()} == {4, 5, 6, 8}
+
+
+def test_documents_stay_where_no_language_is_given(spark, odd):
+    docs = odd.select(*corpus_pipeline.COLUMNS).withColumn("lang", F.lit(None).cast("string"))
+    found = corpus_pipeline.identify_language(spark, docs, "").collect()
+    expected = [r for r in docs.collect() if any(c.isalpha() for c in r["text"] or "")]
+    assert len(expected) > 5 and sorted(map(repr, found)) == sorted(map(repr, expected))

@@ -148,32 +148,34 @@ def _predictor(names: list[str], prototypes: np.ndarray, keep: list[str]):
         labels = np.array([*names, UNKNOWN], dtype=object)
         for batch in batches:
             texts = ["" if t is None else t for t in batch["text"]]
-            best, score = np.full(len(texts), len(names)), np.zeros(len(texts))
+            best, score, lettered = np.full(len(texts), len(names)), np.zeros(len(texts)), np.zeros(len(texts), dtype=bool)
             for part in _chunks(texts):
                 vectors = text_vectors(texts[part]).astype(np.float64)
                 size = np.linalg.norm(vectors, axis=1)
+                lettered[part] = size > 0
                 known = (size > 0) & bool(names)
                 if known.any():
                     cosine = vectors[known] @ prototypes.T / size[known, None]
                     at = np.flatnonzero(known) + part.start
                     best[at] = cosine.argmax(axis=1)
                     score[at] = np.clip(cosine.max(axis=1), 0, 1)
-            yield batch[keep].assign(lang_pred=labels[best], score=score)
+            yield batch[keep].assign(lang_pred=labels[best], score=score, has_letter=lettered)
 
     return run
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of ``keep``, lang_pred, score for every row of ``docs``, from its whole text alone.
+    """The columns of ``keep``, lang_pred, score, has_letter for every row of ``docs``, from its whole text alone.
 
     A null text or one without a letter (also: nothing learned) gives 'und' with score 0; the score is the cosine
-    with the winning prototype, at least 0. Ties go to the first language by code point. Null ids pass through,
-    equal texts get equal results, an empty table gives none; columns outside ``keep`` are not read.
+    with the winning prototype, at least 0. has_letter tells the two apart: it is of the text, not of the model. Ties
+    go to the first language by code point. Null ids pass through, equal texts get equal results, an empty table gives
+    none; columns outside ``keep`` are not read.
     """
     keep = list(keep)
     rows = docs.select(*keep, *(["text"] if "text" not in keep else []))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return rows.mapInPandas(_predictor(*model, keep), f"{schema}, lang_pred string, score double")
+    return rows.mapInPandas(_predictor(*model, keep), f"{schema}, lang_pred string, score double, has_letter boolean")
 
 
 def op1_language_id(spark, sf_dir):
