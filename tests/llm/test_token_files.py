@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -35,16 +36,22 @@ def test_memo_changes_no_id(monkeypatch):
     random.seed(5)
     monkeypatch.setattr(_tokens, "MEMO_PIECES", 50)
     plain = Tokenizer.from_file(_tokens.default_tokenizer())
-    plain.encode_special_tokens = True
     enc = _tokens.Encoder(_tokens.default_tokenizer())
-    signs = [" ", "  ", "\n", " \n", "\n ", "a", "Bc", "é", "日本", "123", "!", "'s", "\t", " ", "don't", "<|endoftext|>", ""]
+    signs = [" ", "  ", "\n", " \n", "\n ", "a", "Bc", "é", "日本", "123", "!", "'s", "\t", " ", "don't", "<|endoftext|>", "\u3000", "\x1c", "\r\n", "     ", ""]
     texts = ["".join(random.choice(signs) for _ in range(random.randint(0, 25))) for _ in range(2000)]
     for i in range(0, len(texts), 100):
-        flat, counts = enc.encode(texts[i : i + 100])
+        flat, counts = enc.encode(pa.array(texts[i : i + 100]))
         for text, part in zip(texts[i : i + 100], np.split(flat, np.cumsum(counts)[:-1]), strict=True):
             assert part.tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_are_as_the_library_has_them():
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "plain  text", "a<|endoftext|>b " + "x" * 100, ""]
+    flat, counts = _tokens.Encoder(_tokens.default_tokenizer()).encode(pa.array(texts))
+    plain = Tokenizer.from_file(_tokens.default_tokenizer())
+    assert flat.tolist() == [i for t in texts for i in plain.encode(t, add_special_tokens=False).ids] and counts[0] == 4
+
+
 def expected(rows):
     tokenizer = Tokenizer.from_file(_tokens.default_tokenizer())
     start, out = 0, []

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,10 +126,11 @@ def places(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, dict[str, n
 
 
 def _cutter(path: str, end_id: int, window: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         enc = encoder(path)
         for batch in batches:
-            names, texts = batch["doc_id"], batch["text"].tolist()
+            names, texts = batch.column("doc_id"), batch.column("text")
             for part in text_chunks(texts):
                 flat, counts = enc.encode(texts[part])
                 flat = np.insert(flat, np.cumsum(counts), end_id).astype("<u4")
@@ -138,7 +140,8 @@ def _cutter(path: str, end_id: int, window: int):
                 start = (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * window
                 length = np.minimum(window, counts[row] - start)
                 at = np.repeat(np.cumsum(counts) - counts, pieces) + start
-                yield pd.DataFrame({"doc_id": names.iloc[part].array[row], "start": start, "length": length, "ids_crc32": [crc(flat[a : a + n]) for a, n in zip(at, length, strict=True)], "doc_tokens": counts[row]})
+                crcs = np.fromiter((crc(flat[a:b]) for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)), np.int64, len(at))
+                yield pa.RecordBatch.from_arrays([names[part].take(pa.array(row)), *map(pa.array, (start, length, crcs, counts[row]))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return run
 
@@ -174,7 +177,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
     """
     units, shards = window // unit, 4 * partitions(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    pieces = cut(rows.mapInPandas(_cutter(tokenizer or default_tokenizer(), end_id, window), PIECES))
+    pieces = cut(rows.mapInArrow(_cutter(tokenizer or default_tokenizer(), end_id, window), PIECES))
     classed = pieces.withColumn("__class", F.ceil(F.col("length") / unit).cast("int")).withColumn("__shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards)).cast("int"))
     sizes = classed.groupBy("__class", "__shard").agg(F.count("*").alias("n"))
     histogram = {r["__class"]: r["n"] for r in sizes.groupBy("__class").agg(F.sum("n").alias("n")).collect()}  # window // unit rows at most

@@ -13,11 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import documents, fresh_path, partitions
+from ._shared import documents, fresh, fresh_path, partitions
 from ._tokens import crc, default_tokenizer, encoder, text_chunks, vocabulary_size
 
 MAGIC = b"WTK1"
@@ -27,6 +28,7 @@ END_ID = 0
 SEGMENT_IDS = 262_144
 _HEAD = struct.Struct("<4sBxxxIQQ")  # magic, bits, block, ids, documents
 SEGMENT_SCHEMA = "shard int, segment int, first_id long, n_ids long, n_docs long, payload binary"
+_SEGMENT = pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("first_id", pa.int64()), ("n_ids", pa.int64()), ("n_docs", pa.int64()), ("payload", pa.binary())])
 
 
 def pack_bits(ids: np.ndarray, bits: int) -> bytes:
@@ -92,25 +94,23 @@ class Segment:
 
 
 def _packer(path: str, bits: int, end_id: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         shard, enc = TaskContext.get().partitionId(), encoder(path)
         doc_ids: list = []
         lengths: list[np.ndarray] = []
         ids: list[np.ndarray] = []
         first = held = segment = 0
 
-        def close() -> pd.DataFrame:
-            n = np.concatenate(lengths)
-            payload = encode_segment(doc_ids, n, np.concatenate(ids), bits)
-            return pd.DataFrame({"shard": [shard], "segment": [segment], "first_id": [first], "n_ids": [held], "n_docs": [len(doc_ids)], "payload": [payload]})
+        def close() -> pa.RecordBatch:
+            payload = encode_segment(doc_ids, np.concatenate(lengths), np.concatenate(ids), bits)
+            return pa.RecordBatch.from_pylist([{"shard": shard, "segment": segment, "first_id": first, "n_ids": held, "n_docs": len(doc_ids), "payload": payload}], _SEGMENT)
 
         for batch in batches:
-            names = [None if pd.isna(d) else int(d) for d in batch["doc_id"]]
-            texts = batch["text"].tolist()
+            names, texts = batch.column("doc_id").to_pylist(), batch.column("text")
             for part in text_chunks(texts):
                 flat, counts = enc.encode(texts[part])
-                ends = np.cumsum(counts)
-                flat = np.insert(flat, ends, end_id)
+                flat = np.insert(flat, np.cumsum(counts), end_id)
                 doc_ids += names[part]
                 lengths.append(counts + 1)
                 ids.append(flat)
@@ -136,7 +136,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     bits = max(1, (vocabulary_size(tokenizer) - 1).bit_length())
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     ordered = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInPandas(_packer(tokenizer, bits, end_id), SEGMENT_SCHEMA).write.parquet(path)
+    ordered.mapInArrow(_packer(tokenizer, bits, end_id), SEGMENT_SCHEMA).write.parquet(path)
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
