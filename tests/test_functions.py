@@ -107,3 +107,23 @@ def test_bare_tasks(spark):
 
 def test_sign_widths(spark):
     assert [one(spark, scalar.sign_width(F.lit(n))) for n in (4, 18, 117, 2459)] == [115, 247, 332, 332]
+
+
+@pytest.mark.parametrize(("text", "merged"), [("routes=1-999999999,5", "1-999999999"), ("x=1&%ZZ=3&routes=5", "5"), ("routes=%E0%A4%A,7", "7"), ("routes=123456789012", "123456789012"), ("routes=9-2,4-6,1-3,11", "1-6,11"), ("routes=99999999999999999999", None)])
+def test_state_of_any_text(spark, text, merged):
+    rows = spark.createDataFrame([(text,)], "q string")
+    assert rows.select(*codec.decode_state(F.col("q"))).first()["selected"] == merged
+
+
+def test_known_numbers_in_ranges_of_any_width(spark):
+    known = [*range(0, 200, 3), 2**31 - 1]
+    ranges = [(0, "0-7,5,9-3"), (1, "190-99999999999"), (2, "66-66"), (3, None), (4, "1-2147483647")]
+    found = codec.decode_known(spark.createDataFrame(ranges, "i int, t string"), "t", spark.createDataFrame([(k,) for k in known], "ref int"))
+    bounds = {0: [(0, 7), (5, 5)], 1: [(190, 2**40)], 2: [(66, 66)], 3: [], 4: [(1, 2**31)]}
+    assert sorted((r["i"], r["ref"]) for r in found.collect()) == sorted((i, k) for i, many in bounds.items() for k in known if any(a <= k <= b for a, b in many))
+
+
+def test_numbers_there_and_back(spark):
+    rows = spark.createDataFrame([(138.5, 36, "a,1,,2.5"), (None, -1, None)], "x double, y int, t string")
+    found = rows.select(scalar.numbers_text(F.col("x"), F.col("y")).alias("s"), scalar.parse_numbers(F.col("t")).alias("v")).collect()
+    assert [(r["s"], r["v"]) for r in found] == [("138.5,36", [None, 1.0, 2.5]), ("-1", [])]

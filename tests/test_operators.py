@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wayset.operators import aggregate, filters, sets
 from wayset.plans import catalog
 from wayset.sources import segments as model
+from wayset.sources import store
 from wayset.streaming import refresh
 
 COMBOS = [([7], 1, 100, 1000), ([8], 1, 200, 2000), ([17], 1, 300, 3000), ([7, 8], 2, 10, 100), ([7, 8, 17, 49, 403, 459], 6, 4, 40)]
@@ -198,3 +199,46 @@ def test_every_point_is_probed(spark, sf_dir):
     expected = sorted((p, i) for p, x, y in points for i, w, s, e, t in segs if w <= x <= e and s <= y <= t)
     assert len({p for p, _ in expected}) > 100
     assert sorted(tuple(r) for r in catalog.QUERIES["point_hits"](spark, sf_dir).collect()) == expected
+
+
+def test_written_once_follows_its_inputs(spark, tmp_path):
+    given = str(tmp_path / "in.parquet")
+    read = lambda: store.written_once(spark, "t", [given], lambda: spark.read.parquet(given)).count()
+    spark.range(3).write.parquet(given)
+    assert read() == 3 == read()
+    spark.range(5).write.mode("overwrite").parquet(given)
+    assert read() == 5
+
+
+def test_no_folder_on_a_cluster(spark, monkeypatch):
+    class Away:
+        conf = {}
+        sparkContext = type("C", (), {"master": "spark://far:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        store.shared_dir(Away)
+
+
+def test_selection_table(spark):
+    combos = spark.createDataFrame([([7], 1), ([7, 8], 2), ([9], 3)], "refs array<int>, arcs int")
+    routes = spark.createDataFrame([(7,), (8,), (9,)], "ref int")
+    found = lambda *chosen: sorted(r["arcs"] for r in sets.touched(combos, spark.createDataFrame([(c,) for c in chosen], "ref int"), routes).collect())
+    assert found(7, 8, 999) == [1, 2] and found(8) == [2] and found(999) == [1, 2, 3] and found() == [1, 2, 3]
+
+
+def test_deepest_and_seams_keep_whole_rows(spark):
+    hits = spark.createDataFrame([(1, "2", 4), (1, "10", 9), (1, "10", 3), (2, None, 1), (None, "1", 5)], "cell int, n string, id int")
+    assert sorted((r["cell"] or 0, r["id"]) for r in aggregate.deepest(hits).collect()) == [(0, 5), (1, 3), (2, 1)]
+    builds = spark.createDataFrame([(1, "b", None), (1, "a", "x"), (2, "c", "y")], "id int, region string, name string")
+    assert sorted(map(tuple, sets.seam_dedup(builds).collect())) == [(1, "a", "x"), (2, "c", "y")]
+
+
+def test_chain_ends_without_cuts(spark):
+    edges = spark.createDataFrame([("r", 1, 0.0, 2, 5.0), ("r", 2, 5.0, 3, 6.0), ("s", 3, 6.0, 4, 10.0)], "ref string, a int, ax double, b int, bx double")
+    assert sorted(map(tuple, sets.chain_ends(edges, 0, 10).collect())) == [("r", 3, 6.0), ("s", 3, 6.0)]
+
+
+def test_telling_queries_give_rows(spark, sf_dir):
+    for name in ("set_except", "broken_chain", "kind_coverage", "missing_both_ways", "chain_ends", "selection_all_dropped"):
+        assert catalog.QUERIES[name](spark, sf_dir).count() > 0, name
+    assert {r["state"] for r in catalog.QUERIES["region_expectations"](spark, sf_dir).collect()} >= {"low", "high"}

@@ -120,6 +120,21 @@ def way_url(id_: Column) -> Column:
     return F.concat(F.lit("https://www.openstreetmap.org/way/"), escape(id_))
 
 
+def numbers_text(*values: Column) -> Column:
+    """Numbers as a comma list ('138,36,139,37' or 'lon,lat')."""
+    return F.concat_ws(",", *(F.regexp_replace(v.cast("string"), r"\.0$", "") for v in values))
+
+
+def parse_numbers(text: Column) -> Column:
+    """A comma list back to its numbers; what is no number is null, an empty text has none."""
+    parts = F.filter(F.split(F.coalesce(text, F.lit("")), ","), lambda p: p != "")
+    return F.transform(parts, lambda p: p.try_cast("double"))
+
+
+#: The closest zoom for a place and for a box, which may have no extent.
+PLACE_ZOOM, BOX_ZOOM = 12, 14
+
+
 def names_text(names: Column) -> Column:
     return F.when(F.size(names) > 0, F.array_join(names, " / "))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .filters import any_ref
@@ -11,13 +11,24 @@ LENGTH = "decimal(18,2)"
 
 
 def combine(segs: DataFrame) -> DataFrame:
-    """One row per distinct set: refs, n, km, arcs, names, extent. Sets must be sorted and without repeats."""
+    """One row per distinct set: refs, n, km, arcs, distinct names and the first of them, extent.
+
+    Sets must be sorted and without repeats. Names are counted, not gathered; ``with_names`` lists those of rows that
+    are shown.
+    """
+    name = F.nullif("name", F.lit(""))
     return segs.groupBy("refs").agg(
-        F.max("n").alias("n"), F.sum("km").cast(LENGTH).alias("km"), F.count("*").alias("arcs"), F.array_sort(F.collect_set(F.nullif("name", F.lit("")))).alias("names"),
+        F.max("n").alias("n"), F.sum("km").cast(LENGTH).alias("km"), F.count("*").alias("arcs"), F.count_distinct(name).alias("n_names"), F.min(name).alias("first_name"),
         F.min("w").alias("w"), F.min("s").alias("s"), F.max("e").alias("e"), F.max("t").alias("t"),
     )
 
 
+def with_names(shown: DataFrame, segs: DataFrame) -> DataFrame:
+    """Rows of a display prefix with the sorted distinct names of their sets; only those sets' names are gathered."""
+    named = segs.select("refs", F.nullif("name", F.lit("")).alias("name")).join(shown.select("refs"), "refs", "left_semi")
+    return shown.join(named.groupBy("refs").agg(F.array_sort(F.collect_set("name")).alias("names")), "refs", "left")
+
+
 def sums_by_set(segs: DataFrame) -> DataFrame:
     """refs, n, km, arcs only: what sums need. No list is gathered, so it aggregates partially and in hash maps."""
     return segs.groupBy("refs").agg(F.max("n").alias("n"), F.sum("km").cast(LENGTH).alias("km"), F.count("*").alias("arcs"))
@@ -77,8 +88,8 @@ def bucketed(rows: DataFrame, column: str, width: int = 256) -> DataFrame:
 def deepest(hits: DataFrame, key: str = "cell", order: str = "id") -> DataFrame:
     """The hit with most designations per key, the first on a tie; depths may come as text."""
     depth = F.col("n").try_cast("int")
-    w = Window.partitionBy(key).orderBy(depth.desc_nulls_last(), order)
-    return hits.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+    first = F.min_by(F.struct(*hits.columns), F.struct(depth.isNull(), -depth, order))
+    return hits.groupBy(F.col(key).alias("__key")).agg(first.alias("__first")).select("__first.*")
 
 
 def concurrencies(combos: DataFrame, selected) -> DataFrame:
@@ -94,3 +105,11 @@ def ranking(combos: DataFrame, selected, rows: int = 25) -> DataFrame:
 def shown_of_total(matching: DataFrame, rows: int) -> DataFrame:
     total = F.count("*")
     return matching.agg(F.least(total, F.lit(rows)).cast("long").alias("shown"), total.alias("total"))
+
+
+def tally(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
+    """rule, passed, failed: how many rows pass each check, in one pass; a null is a failure."""
+    counts = [F.count_if(F.coalesce(c, F.lit(False))).alias(name) for name, c in checks.items()]
+    seen = rows.agg(F.count("*").alias("__all"), *counts)
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("rule"), F.col(name).alias("passed"), (F.col("__all") - F.col(name)).alias("failed")) for name in checks)))
+    return seen.select(each.alias("c")).select("c.*")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -11,6 +11,25 @@ def known_only(selection: DataFrame, routes: DataFrame) -> DataFrame:
     return selection.join(routes.select("ref"), "ref", "left_semi")
 
 
+def touched(combos: DataFrame, selection: DataFrame, routes: DataFrame) -> DataFrame:
+    """Sets that hold a selected designation, each once; all of them where no selected designation exists.
+
+    ``selection`` is a table (ref), so it may be large: members meet it in a semi-join. Whether any of it is known
+    is one number, joined to every row.
+    """
+    known = known_only(selection, routes)
+    hit = combos.select("refs", F.explode("refs").alias("ref")).join(known, "ref", "left_semi").select("refs").distinct().withColumn("__hit", F.lit(True))
+    any_known = known.agg((F.count("*") > 0).alias("__any"))
+    held = combos.join(hit, "refs", "left").join(F.broadcast(any_known))  # one row
+    return held.where(F.coalesce("__hit", F.lit(False)) | ~F.col("__any")).drop("__hit", "__any")
+
+
+def missing_both_ways(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Keys that only one side has, and which side that is; null keys are one key."""
+    left, right = a.select(key).distinct(), b.select(key).distinct()
+    return left.subtract(right).withColumn("only_in", F.lit("first")).unionByName(right.subtract(left).withColumn("only_in", F.lit("second")))
+
+
 def with_label(rows: DataFrame, names: DataFrame, key: str) -> DataFrame:
     """Rows with the label of ``key``; one without a label shows the key itself."""
     labels = names.select(F.col("key").alias(key), "label")
@@ -39,8 +58,8 @@ def full_compare(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFr
 
 def seam_dedup(builds: DataFrame, key: str = "id", order: str = "region") -> DataFrame:
     """One row per key over overlapping regional builds: the first region's."""
-    w = Window.partitionBy(key).orderBy(order)
-    return builds.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+    first = F.min_by(F.struct(*builds.columns), F.col(order))
+    return builds.groupBy(F.col(key).alias("__key")).agg(first.alias("__first")).select("__first.*")
 
 
 def all_ends(shared: DataFrame, single: DataFrame) -> DataFrame:
@@ -83,3 +102,38 @@ def broken_chains(edges: DataFrame) -> DataFrame:
     """Open ends per designation: nodes that only one of its edges touches; more than two mean a broken chain."""
     nodes = edges.select("ref", F.explode(F.array("a", "b")).alias("node")).groupBy("ref", "node").agg(F.count("*").alias("degree"))
     return nodes.where("degree = 1").groupBy("ref").agg(F.count("*").alias("open_ends"))
+
+
+def extract(segs: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Segments of each region: those whose extent meets the region's box, borders included, so overlaps come twice.
+
+    ``boxes`` (region, w, s, e, t) is the region index, some dozens of rows, which Spark broadcasts by its size.
+    """
+    b = boxes.select("region", *(F.col(c).alias(f"__{c}") for c in "wset"))
+    return segs.join(b, F.expr("w <= __e and e >= __w and s <= __t and t >= __s")).drop("__w", "__s", "__e", "__t")
+
+
+def usable_box(w: Column, s: Column, e: Column, t: Column) -> Column:
+    """A box may be a line or a point; only a reversed or incomplete one is unusable."""
+    return F.coalesce((w <= e) & (s <= t), F.lit(False))
+
+
+def against_expected(found: DataFrame, expected: DataFrame) -> DataFrame:
+    """region, fact, found, expected, state for every expectation; another region is another row of ``expected``.
+
+    ``found`` and ``expected`` are (region, fact, value). A fact that was not found counts as 0.
+    """
+    f, e = found.select("region", "fact", F.col("value").alias("found")), expected.select("region", "fact", F.col("value").alias("expected"))
+    both = e.join(f, ["region", "fact"], "left").withColumn("found", F.coalesce("found", F.lit(0)))
+    return both.withColumn("state", F.when(F.col("found") < F.col("expected"), "low").when(F.col("found") > F.col("expected"), "high").otherwise("ok"))
+
+
+def chain_ends(edges: DataFrame, low: float, high: float) -> DataFrame:
+    """ref, node, x of chain ends: nodes that one edge of a designation touches, but for cuts at the box's edge.
+
+    ``edges`` are (ref, a, ax, b, bx): two nodes and where each lies. A node at or beyond ``low`` or ``high`` was cut
+    off there and is no end.
+    """
+    each = edges.select("ref", F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("ax").alias("x")), F.struct(F.col("b").alias("node"), F.col("bx").alias("x")))).alias("p"))
+    met = each.groupBy("ref", F.col("p.node").alias("node")).agg(F.count("*").alias("degree"), F.min("p.x").alias("x"))
+    return met.where((F.col("degree") == 1) & (F.col("x") > low) & (F.col("x") < high)).select("ref", "node", "x")

@@ -10,35 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions import codec, scalar
 from ..operators import aggregate, filters, sets
-from ..sources.segments import ENDPOINTS_SQL, endpoints, segments, segments_sql, table
+from ..sources.segments import ENDPOINTS_SQL, endpoints, members, segments, segments_sql, sums, table
+from . import builds  # noqa: F401  registers its queries
+from .registry import LIST, NATION_COMBOS, NATIONS, ORACLES, QUERIES, REGION_COMBOS, REGIONS, joined, km, query, rows
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str):
-    def add(function):
-        QUERIES[name] = function
-        ORACLES[name] = sql
-        return function
-
-    return add
-
-
-joined = lambda c: F.array_join(c, ",").alias("refs")
-km = lambda: F.col("km").cast("double").alias("km")
-LIST, NATIONS = "array_to_string(refs, ',') AS refs", segments_sql("nation")
-REGIONS = segments_sql("region")
-COMBOS = "combos AS (SELECT refs, max(n) AS n, sum(km)::DECIMAL(18,2) AS km, count(*) AS arcs, list_sort(list_distinct(list(nullif(name, '')))) AS names, min(w) AS w, min(s) AS s, max(e) AS e, max(t) AS t FROM seg GROUP BY refs)"
-REGION_COMBOS, NATION_COMBOS = f"{REGIONS}, {COMBOS}\n", f"{NATIONS}, {COMBOS}\n"
-
-
-def sums(spark, sf_dir, by="region"):
-    return aggregate.sums_by_set(segments(spark, sf_dir, by))
-
-
-def rows(spark, schema: str, *values):
-    return spark.createDataFrame(list(values), schema)
+__all__ = ["ORACLES", "QUERIES"]
 
 
 # Roll-up by set, and the two sums over it
@@ -49,7 +25,7 @@ for by, head in (("region", REGION_COMBOS), ("nation", NATION_COMBOS)):
     @query(f"combos_{by}", head + f"SELECT {LIST}, n, km::DOUBLE AS km, arcs, len(names)::BIGINT AS n_names, names[1] AS first_name, w, s, e, t FROM combos")
     def combos(spark, sf_dir, by=by):
         found = aggregate.combine(segments(spark, sf_dir, by))
-        return found.select(joined("refs"), "n", km(), "arcs", F.size("names").cast("long").alias("n_names"), F.get("names", F.lit(0)).alias("first_name"), "w", "s", "e", "t")
+        return found.select(joined("refs"), "n", km(), "arcs", "n_names", "first_name", "w", "s", "e", "t")
 
     @query(f"routes_of_{by}", head + "SELECT ref, (floor(sum(km) * 10 + 0.5) / 10)::DOUBLE AS km, sum(arcs)::BIGINT AS arcs, greatest(1, max(n))::INTEGER AS max_n FROM (SELECT unnest(refs) AS ref, km, arcs, n FROM combos) GROUP BY ref ORDER BY ref")
     def routes_of(spark, sf_dir, by=by):
@@ -140,7 +116,6 @@ def _filtered(name: str, where: str, make, by: str = "nation"):
         return segments(spark, sf_dir, by).where(make()).select("id", joined("refs"), "n", "kind")
 
 
-_filtered("filter_member", "list_contains(refs, 4)", lambda: filters.has_ref(4))
 _filtered("filter_any", "list_has_any(refs, [4, 14])", lambda: filters.shared_filter((4, 14)))
 _filtered("filter_none", "true", lambda: filters.shared_filter(()))
 _filtered("filter_conc", "n >= 2", lambda: filters.shared_filter((), "all"))
@@ -152,6 +127,11 @@ _filtered("filter_picked", "id = 7", lambda: filters.picked(F.lit(True), 7))
 _filtered("filter_picked_base", "id = 7 AND n >= 2", lambda: filters.picked(filters.shared_filter((), "all"), 7))
 
 
+@query("filter_member", NATIONS + f"SELECT id, {LIST}, n, kind FROM seg WHERE list_contains(refs, 4)")
+def filter_member(spark, sf_dir):
+    return members(spark, sf_dir, "nation").where("ref = 4").select("id", joined("refs"), "n", "kind")
+
+
 @query("filter_member_text", NATIONS + "SELECT id FROM seg WHERE contains(',' || array_to_string(refs, ',') || ',', ',4,')")
 def filter_member_text(spark, sf_dir):
     return segments(spark, sf_dir, "nation").withColumn("refs_s", codec.wrap_refs(F.col("refs"))).where(filters.has_ref_text(4)).select("id")
@@ -192,7 +172,7 @@ def clickable_layers(spark, sf_dir):
     return drawn.groupBy("layer").agg(F.count("*").alias("arcs"), F.sum("id").alias("ids"))
 
 
-@query("label_order", NATIONS + "SELECT n, id FROM (SELECT n, id FROM seg ORDER BY n DESC, id LIMIT 50)")
+@query("label_order", NATIONS + "SELECT n, id FROM seg ORDER BY n DESC, id")
 def label_order(spark, sf_dir):
     """All labels of a zoom that shows them, deepest placed first."""
     return segments(spark, sf_dir, "nation").where(filters.visible(10, "route-labels")).orderBy(F.desc("n"), "id").select("n", "id")
@@ -216,7 +196,7 @@ def deepest_per_cell(spark, sf_dir):
     return aggregate.deepest(segments(spark, sf_dir, "nation").select((F.col("id") % 50).alias("cell"), "id", "n"))
 
 
-@query("point_hits", NATIONS + "SELECT p.p_partkey AS point, seg.id FROM (SELECT p_partkey, (p_size)::DOUBLE AS x, (p_partkey % 10) / 100.0::DOUBLE AS y FROM part WHERE p_partkey % 100 = 0) p JOIN seg ON x BETWEEN w AND e AND y BETWEEN s AND t")
+@query("point_hits", NATIONS + "SELECT p.p_partkey AS point, seg.id FROM (SELECT p_partkey, (p_size)::DOUBLE AS x, (p_partkey % 10) / 100.0::DOUBLE AS y FROM part) p JOIN seg ON x BETWEEN w AND e AND y BETWEEN s AND t")
 def point_hits(spark, sf_dir):
     points = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("point"), F.col("p_size").cast("double").alias("x"), ((F.col("p_partkey") % 10).cast("double") / 100.0).alias("y"))
     return sets.point_hits(points, segments(spark, sf_dir, "nation")).select("point", "id")
@@ -246,9 +226,9 @@ def set_intersect(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("ref")).intersect(owing)
 
 
-@query("set_except", "SELECT p_partkey AS ref FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 25")
+@query("set_except", "SELECT p_partkey AS ref FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 48")
 def set_except(spark, sf_dir):
-    sold = table(spark, sf_dir, "lineitem").where("l_quantity > 25").select("l_partkey")
+    sold = table(spark, sf_dir, "lineitem").where("l_quantity > 48").select("l_partkey")
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ref")).subtract(sold)
 
 
@@ -266,18 +246,23 @@ def seam_dedup(spark, sf_dir):
     return sets.seam_dedup(builds[0].unionByName(builds[1]))
 
 
-@query("kind_union", "SELECT unnest(['construction', 'unopened', 'foot', 'steps', 'ferry', 'expressway']) AS kind")
+@query("kind_union", REGIONS + "SELECT cell, array_to_string(list_sort(list_distinct(list_concat(coalesce(a, []), coalesce(b, [])))), ',') AS kinds FROM (SELECT id % 50 AS cell, list(DISTINCT kind) FILTER (src = 'tag' AND kind IS NOT NULL) AS a, list(DISTINCT kind) FILTER (former AND kind IS NOT NULL) AS b FROM seg GROUP BY 1)")
 def kind_union(spark, sf_dir):
-    lists = rows(spark, "a array<string>, b array<string>", (filters.SPECIAL, filters.EXPRESSWAY))
-    return lists.select(F.explode(F.array_union("a", "b")).alias("kind"))
+    """Kinds of each cell that are known from tags or belong to former roads."""
+    some = lambda test: F.collect_set(F.when(test, F.col("kind")))  # noqa: E731  a handful of kinds
+    lists = segments(spark, sf_dir).groupBy((F.col("id") % 50).alias("cell")).agg(some(F.col("src") == "tag").alias("a"), some(F.col("former")).alias("b"))
+    return lists.select("cell", F.array_join(F.array_sort(F.array_union("a", "b")), ",").alias("kinds"))
+
+
+_COVERED = " UNION ALL ".join(f"SELECT id FROM seg WHERE {test}" for test in (f"{'NOT ' if negate else ''}coalesce(kind IN ({', '.join(map(repr, kinds))}), false)" for _, kinds, negate, toggle in filters.LAYERS if kinds is not None and toggle != "ferry"))
 
 
-@query("kind_coverage", "SELECT 0::BIGINT AS uncovered")
+@query("kind_coverage", REGIONS + f"SELECT coalesce(kind, 'unknown') AS kind, count(*)::BIGINT AS arcs, count(*) FILTER (id NOT IN ({_COVERED}))::BIGINT AS uncovered FROM seg GROUP BY 1")
 def kind_coverage(spark, sf_dir):
-    """Kinds that the road layers leave out and no other layer shows."""
-    left_out = rows(spark, "kind string", *((k,) for k in filters.NOT_ROADS))
-    shown = rows(spark, "kind string", *((k,) for _, kinds, negate, _ in filters.LAYERS if kinds and not negate for k in kinds))
-    return left_out.join(shown, "kind", "left_anti").agg(F.count("*").alias("uncovered"))
+    """Segments of each kind, and those that no layer of a kind shows while the ferry switch is off."""
+    shown = [filters.layer_filter(layer, F.lit(True), {"ferry": False}) for layer in filters.LAYERS if layer[1] is not None]
+    covered = F.exists(F.array(*shown), lambda x: x)
+    return segments(spark, sf_dir).groupBy(F.coalesce("kind", F.lit("unknown")).alias("kind")).agg(F.count("*").alias("arcs"), F.count_if(~covered).alias("uncovered"))
 
 
 _SHARED = ENDPOINTS_SQL + ", met AS (SELECT place, list_sort(list_distinct(list(ref))) AS refs FROM points GROUP BY place)\n"
@@ -330,9 +315,9 @@ def route_extent_leak(spark, sf_dir):
     return sets.leaked(found, expected)
 
 
-@query("broken_chain", "WITH edges AS (SELECT o_orderstatus AS ref, o_custkey % 500 AS a, o_custkey % 501 + 1 AS b FROM orders), nodes AS (SELECT ref, unnest([a, b]) AS node FROM edges) SELECT ref, count(*)::BIGINT AS open_ends FROM (SELECT ref, node FROM nodes GROUP BY 1, 2 HAVING count(*) = 1) GROUP BY ref")
+@query("broken_chain", "WITH edges AS (SELECT o_orderstatus AS ref, o_orderkey AS a, o_orderkey + o_custkey % 3 AS b FROM orders), nodes AS (SELECT ref, unnest([a, b]) AS node FROM edges) SELECT ref, count(*)::BIGINT AS open_ends FROM (SELECT ref, node FROM nodes GROUP BY 1, 2 HAVING count(*) = 1) GROUP BY ref")
 def broken_chain(spark, sf_dir):
-    edges = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("ref"), (F.col("o_custkey") % 500).alias("a"), (F.col("o_custkey") % 501 + 1).alias("b"))
+    edges = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("ref"), F.col("o_orderkey").alias("a"), (F.col("o_orderkey") + F.col("o_custkey") % 3).alias("b"))
     return sets.broken_chains(edges)
 
 
@@ -349,21 +334,24 @@ def encode_array(spark, sf_dir):
     return segments(spark, sf_dir, "nation").select("id", codec.encode_array(F.col("refs")).alias("ranges"))
 
 
-_RANGES = "1-3,5,7-9", "1-3,abc,,9-8,18", "1, 2", "1-3,2", "", "4\n", "246"
-_RANGE_VALUES = "(VALUES (0, '1-3,5,7-9'), (1, '1-3,abc,,9-8,18'), (2, '1, 2'), (3, '1-3,2'), (4, ''), (5, '4' || chr(10)), (6, '246'))"
+_RANGES = "1-3,5,7-9", "1-3,abc,,9-8,18", "1, 2", "1-3,2", "", "4\n", "246", "9990-999999999", "123456789012,7", "5-99999999999999999999,10000"
+_RANGE_VALUES = "(VALUES " + ", ".join(f"({i}, {t!r})" if "\n" not in t else f"({i}, '4' || chr(10))" for i, t in enumerate(_RANGES)) + ")"
+_BOUNDS = "SELECT i, o, split_part(p, '-', 1)::HUGEINT AS a, split_part(p, '-', CASE WHEN contains(p, '-') THEN 2 ELSE 1 END)::HUGEINT AS b FROM (SELECT i, unnest(string_split(t, ',')) AS p, generate_subscripts(string_split(t, ','), 1) AS o FROM {source}) WHERE regexp_full_match(p, '[0-9]+(-[0-9]+)?')"
 
 
-@query("decode_ranges", f"WITH p AS (SELECT i, unnest(string_split(t, ',')) AS p, generate_subscripts(string_split(t, ','), 1) AS o FROM {_RANGE_VALUES} v(i, t)), b AS (SELECT i, o, split_part(p, '-', 1)::INTEGER AS a, CASE WHEN contains(p, '-') THEN split_part(p, '-', 2) ELSE p END::INTEGER AS b FROM p WHERE regexp_full_match(p, '[0-9]+(-[0-9]+)?')), x AS (SELECT i, o, unnest(generate_series(a, b)) AS n FROM b WHERE b >= a) SELECT v.i, coalesce(string_agg(n::VARCHAR, ',' ORDER BY o, n), '') AS refs FROM {_RANGE_VALUES} v(i, t) LEFT JOIN x ON x.i = v.i GROUP BY v.i")
+@query("decode_ranges", f"WITH b AS ({_BOUNDS.format(source=_RANGE_VALUES + ' v(i, t)')}), x AS (SELECT i, o, unnest(generate_series(a::BIGINT, least(b, 9999)::BIGINT)) AS n FROM b WHERE b >= a AND a <= 9999), g AS (SELECT i, string_agg(n::VARCHAR, ',' ORDER BY o, n) AS refs FROM x GROUP BY i) SELECT v.i, coalesce(refs, '') AS refs FROM {_RANGE_VALUES} v(i, t) LEFT JOIN g ON g.i = v.i")
 def decode_ranges(spark, sf_dir):
     given = rows(spark, "i int, t string", *enumerate(_RANGES))
     return given.select("i", joined(codec.decode_ranges(F.col("t"))))
 
 
-@query("decode_known", "SELECT i, n_nationkey AS ref FROM (VALUES (0, 3, 5), (0, 24, 24), (1, 20, 999999999)) v(i, a, b) JOIN nation ON n_nationkey BETWEEN a AND b")
+@query("decode_known", "SELECT DISTINCT c_custkey AS id, n_nationkey AS ref FROM (SELECT c_custkey, c_nationkey AS a, c_nationkey + c_custkey % 7 AS b FROM customer UNION ALL SELECT c_custkey, 20, 999999999999 FROM customer WHERE c_custkey % 3 = 0) JOIN nation ON n_nationkey BETWEEN a AND b")
 def decode_known(spark, sf_dir):
-    given = rows(spark, "i int, t string", (0, "3-5,24"), (1, "20-999999999"))
+    key, first = F.col("c_custkey"), F.col("c_nationkey")
+    wide = F.when(key % 3 == 0, F.lit("20-999999999999"))
+    given = table(spark, sf_dir, "customer").select(key.alias("id"), F.concat_ws(",", F.concat_ws("-", first, first + key % 7), F.lit("x"), wide).alias("t"))
     known = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("ref"))
-    return codec.decode_known(given, "t", known).select("i", "ref")
+    return codec.decode_known(given, "t", known).select("id", "ref")
 
 
 @query("refs_parse", "SELECT i, array_to_string(list_transform(list_filter(string_split(coalesce(t, ''), ','), lambda x: x <> ''), lambda x: try_cast(x AS INTEGER)), ',') AS refs, len(list_filter(string_split(coalesce(t, ''), ','), lambda x: x <> ''))::INTEGER AS n FROM (VALUES (0, ',7,8,17,'), (1, ',18,'), (2, ''), (3, NULL)) v(i, t)")
@@ -372,10 +360,27 @@ def refs_parse(spark, sf_dir):
     return given.select("i", joined(codec.parse_refs(F.col("t"))), F.size(codec.parse_refs(F.col("t"))).alias("n"))
 
 
-_STATES = ("routes=1-3%2C18&conc=all", "?conc=nonsense&labels=0", "labels&ferry=1&labels=0", "", "routes=&special=", "other=1&routes=5")
-
-
-@query("state_decode", "SELECT i, selected, conc, labels::VARCHAR AS labels, termini::VARCHAR AS termini, expressway::VARCHAR AS expressway, special::VARCHAR AS special, ferry::VARCHAR AS ferry FROM (VALUES (0, '1,2,3,18', 'all', NULL::BOOLEAN, NULL::BOOLEAN, NULL::BOOLEAN, NULL::BOOLEAN, NULL::BOOLEAN), (1, NULL, NULL, false, NULL, NULL, NULL, NULL), (2, NULL, NULL, true, NULL, NULL, NULL, true), (3, NULL, NULL, NULL, NULL, NULL, NULL, NULL), (4, NULL, NULL, NULL, NULL, NULL, true, NULL), (5, '5', NULL, NULL, NULL, NULL, NULL, NULL)) v(i, selected, conc, labels, termini, expressway, special, ferry)")
+_STATES = (
+    "routes=1-3%2C18&conc=all", "?conc=nonsense&labels=0", "labels&ferry=1&labels=0", "", "routes=&special=", "other=1&routes=5", "x=1&%ZZ=3&routes=5&routes=6", "x=%E0%A4%A&routes=7,8,9-12&termini=0",
+    "routes=1-999999999,5&conc=all", "routes=123456789012,%ZZ,3", "routes=9-2,4-6,1-3,11", "expressway=%30&a=b=c&special=%",
+)
+_STATE_VALUES = "(VALUES " + ", ".join(f"({i}, {t!r})" for i, t in enumerate(_STATES)) + ")"
+#: Escapes that are whole and give UTF-8 are decoded; a text with any other stays as it is.
+_DECODED = "CASE WHEN regexp_full_match({0}, '([^%]|%[0-9A-Fa-f]{{2}})*') THEN url_decode(replace({0}, '+', ' ')) ELSE {0} END"
+_STATE_SQL = f"""WITH given AS (SELECT * FROM {_STATE_VALUES} v(i, q)),
+pairs AS (SELECT i, o, {_DECODED.format("split_part(p, '=', 1)")} AS k, CASE WHEN contains(p, '=') THEN {_DECODED.format("substr(p, strpos(p, '=') + 1)")} ELSE '' END AS v
+  FROM (SELECT i, unnest(string_split(regexp_replace(q, '^[?]', ''), '&')) AS p, generate_subscripts(string_split(regexp_replace(q, '^[?]', ''), '&'), 1) AS o FROM given) WHERE p <> ''),
+first AS (SELECT i, k, arg_min(v, o) AS v FROM pairs GROUP BY i, k),
+routes AS (SELECT i, v AS t FROM first WHERE k = 'routes'),
+b AS (SELECT i, a, b FROM ({_BOUNDS.format(source="routes")}) WHERE b >= a),
+steps AS (SELECT i, a, b, CASE WHEN a <= 1 + max(b) OVER (PARTITION BY i ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM b),
+runs AS (SELECT i, min(a) AS a, max(b) AS b FROM (SELECT *, sum(new) OVER (PARTITION BY i ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS g FROM steps) GROUP BY i, g),
+chosen AS (SELECT i, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, ',' ORDER BY a) AS selected FROM runs GROUP BY i)
+SELECT given.i, (SELECT selected FROM chosen c WHERE c.i = given.i) AS selected, (SELECT 'all' FROM first f WHERE f.i = given.i AND k = 'conc' AND v = 'all') AS conc,
+  {", ".join(f"(SELECT (v <> '0')::VARCHAR FROM first f WHERE f.i = given.i AND k = '{k}') AS {k}" for k in codec.TOGGLES)} FROM given"""
+
+
+@query("state_decode", _STATE_SQL)
 def state_decode(spark, sf_dir):
     found = rows(spark, "i int, q string", *enumerate(_STATES)).select("i", *codec.decode_state(F.col("q")))
     return found.select("i", "selected", "conc", *(F.col(k).cast("string").alias(k) for k in codec.TOGGLES))
@@ -389,10 +394,15 @@ def state_encode(spark, sf_dir):
     return segments(spark, sf_dir, "nation").select("id", codec.encode_state(F.col("refs"), conc, toggles).alias("query"))
 
 
-@query("state_merge", "SELECT * FROM (VALUES (0, 'region=x&routes=7'), (1, 'routes=7'), (2, 'a=1&b&routes=7'), (3, 'routes=7')) v(i, query)")
+_OURS = ", ".join(map(repr, codec.MANAGED))
+
+
+@query("state_merge", f"SELECT c_custkey AS id, array_to_string(list_concat(list_filter(string_split(regexp_replace(q, '^[?]', ''), '&'), lambda x: x <> '' AND {_DECODED.format("split_part(x, '=', 1)")} NOT IN ({_OURS})), ['routes=' || c_custkey]), '&') AS query FROM (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN '?routes=1&region=x&conc=all' WHEN 1 THEN '' WHEN 2 THEN 'a=1&b&labels=0&%6Cabels=1' WHEN 3 THEN '&&x=%ZZ&%ZZ=1' ELSE 'seg=' || c_mktsegment || '&ferry' END AS q FROM customer)")
 def state_merge(spark, sf_dir):
-    given = rows(spark, "i int, q string", (0, "?routes=1&region=x&conc=all"), (1, ""), (2, "a=1&b&labels=0"), (3, None))
-    return given.select("i", codec.replace_managed(F.col("q"), F.lit("routes=7")).alias("query"))
+    kind = F.col("c_custkey") % 5
+    q = F.when(kind == 0, "?routes=1&region=x&conc=all").when(kind == 1, "").when(kind == 2, "a=1&b&labels=0&%6Cabels=1").when(kind == 3, "&&x=%ZZ&%ZZ=1").otherwise(F.concat(F.lit("seg="), "c_mktsegment", F.lit("&ferry")))
+    ours = F.concat(F.lit("routes="), F.col("c_custkey").cast("string"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), codec.replace_managed(q, ours).alias("query"))
 
 
 @query("state_overlay", "SELECT event_id, coalesce(CASE WHEN event_id % 3 = 0 THEN 'all' END, 'off') AS conc FROM events")

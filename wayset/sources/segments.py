@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.aggregate import sums_by_set
+from .store import written_once
+
 #: Fixture values and the kinds and evidence they stand for; the last priority stands for an unknown kind.
 KIND_OF = {"1-URGENT": "expressway", "2-HIGH": "construction", "3-MEDIUM": "road", "4-NOT SPECIFIED": "ferry"}
 SOURCE_OF = {"F": "relation", "O": "name", "P": "tag"}
@@ -26,7 +29,30 @@ def designated(spark: SparkSession, sf_dir: str, by: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").join(places.select("s_suppkey", ref.cast("int").alias("ref")), F.col("l_suppkey") == F.col("s_suppkey"))
 
 
+#: Tables that segments are derived from.
+INPUTS = ("lineitem", "supplier", "nation", "orders")
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    return written_once(spark, name, [f"{sf_dir}/{t}.parquet" for t in INPUTS], make)
+
+
 def segments(spark: SparkSession, sf_dir: str, by: str = "region") -> DataFrame:
+    """``derived`` segments, written once."""
+    return _once(spark, sf_dir, f"segments-{by}", lambda: derived(spark, sf_dir, by))
+
+
+def sums(spark: SparkSession, sf_dir: str, by: str = "region") -> DataFrame:
+    """The roll-up by set that every sum is answered from, written once."""
+    return _once(spark, sf_dir, f"sums-{by}", lambda: sums_by_set(segments(spark, sf_dir, by)))
+
+
+def members(spark: SparkSession, sf_dir: str, by: str = "region") -> DataFrame:
+    """``bridge`` rows, written once: a membership filter is an equality on ``ref`` that reaches the scan."""
+    return _once(spark, sf_dir, f"bridge-{by}", lambda: bridge(segments(spark, sf_dir, by)))
+
+
+def derived(spark: SparkSession, sf_dir: str, by: str = "region") -> DataFrame:
     """id, refs, n, km, updated, kind, src, former, name, w, s, e, t. One shuffle gathers an order's lines."""
     lines = designated(spark, sf_dir, by).groupBy(F.col("l_orderkey").alias("id")).agg(
         F.sort_array(F.collect_set("ref")).alias("refs"), F.sum(F.col("l_extendedprice").cast(LENGTH)).cast(LENGTH).alias("km"), F.max("l_shipdate").cast("date").alias("updated"),
@@ -81,12 +107,48 @@ def relation(meta: DataFrame, name: str) -> DataFrame:
     return meta.select(F.posexplode(name)).select("pos", "col.*")
 
 
+def bridge(segs: DataFrame) -> DataFrame:
+    """One row per member of each segment, clustered by ref, with what filters show of a segment."""
+    each = segs.select(F.explode("refs").alias("ref"), "id", "refs", "n", "kind")
+    return each.repartitionByRange("ref", "id").sortWithinPartitions("ref", "id")
+
+
 def write_bridge(segs: DataFrame, path: str) -> None:
-    """(ref, id) pairs clustered by ref: a membership filter becomes a pushed equality and reads few row groups."""
-    segs.select(F.explode("refs").alias("ref"), "id").repartitionByRange("ref", "id").sortWithinPartitions("ref", "id").write.mode("overwrite").parquet(path)
+    """The bridge as a table: a membership filter becomes a pushed equality and reads few row groups."""
+    bridge(segs).write.mode("overwrite").parquet(path)
 
 
 def write_segments(segs: DataFrame, path: str, cell: float = 10.0) -> None:
     """Segments by coarse cell of their extent, so that a view reads only the cells it shows."""
     keyed = segs.withColumn("cell", F.floor(F.col("w") / cell).cast("int"))
     keyed.repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(path)
+
+
+def write_metadata(spark: SparkSession, path: str, combos: DataFrame, shared: DataFrame, single: DataFrame) -> None:
+    """The display document that ``read_metadata`` reads, as one JSON line: combinations and both kinds of ends.
+
+    A document is for one client, so it is as large as what is shown; sums over all sets are answered from tables.
+    """
+    whole = lambda df, name: df.agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias(name))
+    doc = whole(combos, "combinations").join(F.broadcast(whole(shared, "shared_termini"))).join(F.broadcast(whole(single, "termini")))  # one row each
+    doc.write.mode("overwrite").json(path)
+
+
+def write_regions(boxes: DataFrame, path: str) -> None:
+    """region, w, s, e, t as the region index that ``read_regions`` reads: one JSON list of some dozens of regions."""
+    each = F.struct("region", F.struct("w", "s", "e", F.col("t").alias("n")).alias("bbox"))
+    boxes.agg(F.to_json(F.array_sort(F.collect_list(each)))).write.mode("overwrite").text(path)
+
+
+def write_regional(segs: DataFrame, path: str) -> None:
+    """One folder per region's build; the builds are united by reading them as one table."""
+    spread = F.pmod(F.xxhash64("id"), F.lit(16))  # so that a large region has several files and tasks
+    segs.repartition("region", spread).write.mode("overwrite").partitionBy("region").parquet(path)
+
+
+def features(ends: DataFrame) -> DataFrame:
+    """Ends (refs, lon, lat, shared) as one GeoJSON feature a row, with ``shared`` to put shared ones first."""
+    refs = F.transform("refs", lambda r: r.cast("string"))
+    properties = F.struct(F.concat(F.lit(","), F.array_join(refs, ","), F.lit(",")).alias("refs"), F.array_join(refs, "・").alias("label"), "shared", F.size("refs").alias("count"))
+    geometry = F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates"))
+    return ends.select("shared", F.to_json(F.struct(F.lit("Feature").alias("type"), properties.alias("properties"), geometry.alias("geometry"))).alias("feature"))
