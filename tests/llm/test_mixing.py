@@ -1,3 +1,6 @@
+import hashlib
+import math
+
 import duckdb
 import pytest
 
@@ -71,3 +74,45 @@ def test_sql_agrees(odd):
     found = [tuple(r) for r in op.mix_ledger(odd).select(*columns).collect()]
     clean = lambda rows: sorted(str(tuple(None if v != v else int(v) if isinstance(v, float) and i != 3 else v for i, v in enumerate(r))) for r in rows)
     assert clean(found) == clean(expected)
+
+
+def plain_copies(docs, rates, seed):
+    """Copies of (doc_id, text, source) rows by the rule in words: counts per stratum, least draws first."""
+    number = lambda *parts: int(hashlib.md5(":".join(["mix", *parts]).encode()).hexdigest()[:15], 16)
+    out = {}
+    for source, rate in rates.items():
+        start, upto, strata = number(f"{seed}-start", "s" + source) / 2**60, 0, {}
+        for d, text, s in docs:
+            if s == source:
+                strata.setdefault(math.floor(math.log(len(text) + 1) * 4), []).append(d)
+        for _, ids in sorted(strata.items()):
+            many = math.floor(rate % 1 * (upto + len(ids)) + start) - math.floor(rate % 1 * upto + start)
+            upto += len(ids)
+            for k, d in enumerate(sorted(ids, key=lambda d: number(seed, str(d)))):
+                out[d] = int(rate) + (k < many)
+    return out
+
+
+def test_copies_come_as_often_as_the_fraction(spark):
+    """Over many seeds each document gets its extra copy with the probability that the method asks for."""
+    docs = [(i, "w " * (1 + i % 7 * 20), f"s{i % 3}") for i in range(60)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string, source string").cache()
+    for seed in ("0", "7"):
+        found = op.mix_ledger(rows, seed=seed).collect()
+        rates = {r["source"]: r["rate"] for r in found}
+        assert {r["doc_id"]: r["copies"] for r in found} == plain_copies(docs, rates, seed)
+    many = 3000
+    extra = dict.fromkeys(range(60), 0)
+    for seed in range(many):
+        for d, copies in plain_copies(docs, rates, str(seed)).items():
+            extra[d] += copies - int(rates[docs[d][2]])
+    for d, n in extra.items():
+        part = rates[docs[d][2]] % 1
+        assert abs(n / many - part) < 4 * (part * (1 - part) / many) ** 0.5
+
+
+def test_columns_with_any_names(spark):
+    rows = spark.createDataFrame([(1, "a b", "x", 7, 8, 9, 10, 11), (2, "c", "y", 7, 8, 9, 10, 11)], "doc_id long, text string, source string, key int, stratum int, draw int, `__copies` int, `row.x` int")
+    found = op.mixed_documents(rows)
+    assert found.columns == rows.columns
+    assert {tuple(r)[3:] for r in found.collect()} <= {(7, 8, 9, 10, 11)}
