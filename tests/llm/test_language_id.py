@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -59,3 +61,23 @@ def test_rare_language_is_learned_whole(spark):
     alone = op.train(rare)
     assert names == ["en", "pl"] and alone[0] == ["pl"]
     assert np.abs(vectors[1] - alone[1][0]).max() < 1e-5
+
+
+def test_prototypes_and_choice_match_brute_force(spark):
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("the cat and the dog", "en"), ("a word of the day", "en"), ("der hund und die katze", "de"), ("ein wort am tag", "de"), ("le chat et le chien", "fr"), ("un mot du jour", "fr"), ("the dog", None), ("", "en"), ("12 !", "de"), ("die katze", "xx")] * 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held = {r["doc_id"]: r["h"] for r in docs.select("doc_id", op.held_out(F.col("doc_id")).alias("h")).collect()}
+    assert held == {i: zlib.crc32(str(i).encode()) % 5 == 0 for i, _, _ in rows}
+    sums = {}
+    for i, text, lang in rows:
+        if lang is not None and not held[i]:
+            vector = brute(text)
+            sums[lang] = sums.get(lang, 0) + vector / max(np.linalg.norm(vector), 1e-12)
+    names = sorted(sums)
+    for r in op.predict(docs, op.train(docs)).collect():
+        vector = brute(rows[r["doc_id"]][1])
+        if not vector.any():
+            assert (r["lang_pred"], r["score"]) == ("und", 0)
+            continue
+        cosine = [vector @ sums[n] / max(np.linalg.norm(vector) * np.linalg.norm(sums[n]), 1e-12) for n in names]
+        assert r["lang_pred"] == names[int(np.argmax(cosine))] and abs(r["score"] - max(max(cosine), 0)) < 1e-4

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ._shared import SPACES, documents, in_chunks, word_hashes
 
 WORD_TERMS, GRAM_TERMS = 2048, 2048
-#: Labelled rows per label that are used at most (about, drawn by a hash of the id).
+#: Labels 0 and 1 that are used at most, of each: those whose ids have the least hashes.
 LABELLED = 1000
 LATENT = 64
 NEIGHBOURS = 25
@@ -118,14 +118,14 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = LABELLED) -> Model:
-    """Fit on at most about ``per_label`` rows of each label, from labels whose document is not held out.
+    """Fit on the ``per_label`` rows of least hash of each label, from labels whose document is not held out.
 
     Labels other than 0 and 1, null ids and labels of missing documents are left out; a null text is empty.
     """
     usable = labels.select("doc_id", F.col("quality").cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).distinct()
-    sizes = {r["label"]: r["n"] for r in usable.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
-    share = F.when(F.col("label") == 1, per_label / max(1, sizes.get(1, 0))).otherwise(per_label / max(1, sizes.get(0, 0)))
-    sample = usable.where(F.pmod(F.xxhash64(F.lit("labelled"), "doc_id"), F.lit(1_000_000)) < share * 1_000_000)
+    order = F.xxhash64(F.lit("labelled"), F.col("doc_id"))
+    least = [usable.where(F.col("label") == label).orderBy(order, "doc_id").limit(per_label) for label in (0, 1)]
+    sample = least[0].unionByName(least[1])
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")  # per_label rows a label
     found = rows.mapInPandas(_terms, "doc_id long, label int, terms binary").toPandas().sort_values(["doc_id", "label", "terms"], kind="stable")
     terms = np.stack([np.frombuffer(t, np.float16) for t in found["terms"]]).astype(np.float32) if len(found) else np.zeros((0, TERMS), np.float32)
@@ -148,7 +148,7 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, predicted (1 from THRESHOLD on) for every row, from its whole text alone.
 
     A null text is scored as an empty one; without any labelled row every score is 0.5. Null ids pass through, equal
-    texts score alike, an empty table gives none; other columns are ignored. The broadcast model holds at most about
+    texts score alike, an empty table gives none; other columns are ignored. The broadcast model holds at most
     2 * LABELLED latent vectors, whatever the size of the corpus.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)

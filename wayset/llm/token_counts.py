@@ -199,18 +199,6 @@ def long_counts(words: list[bytes], unigram: Unigram) -> np.ndarray:
     return out
 
 
-def _split(word: bytes) -> list[bytes]:
-    """Runs of at most LONGEST bytes that end at characters' borders. No count is made from them."""
-    parts = []
-    while len(word) > LONGEST:
-        n = LONGEST
-        while n > LONGEST - 4 and word[n] & 0xC0 == 0x80:
-            n -= 1
-        parts.append(word[:n])
-        word = word[n:]
-    return [*parts, word]
-
-
 def text_tokens(texts: list[bytes], unigram: Unigram) -> tuple[np.ndarray, np.ndarray]:
     """Words and tokens of each text; the texts' distinct pre-tokens go through one trie, long ones apart."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
