@@ -2,6 +2,8 @@ import random
 import re
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from wayset.llm import near_dedup as op
 
@@ -83,3 +85,58 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(5, 9), (9, 7), (200, 201), (3, 3)]
     found = {r["node"]: r["label"] for r in op.components(spark.createDataFrame(edges, "node long, hub long")).collect()}
     assert found == {i: 100 for i in range(101, 141)} | {7: 5, 9: 5, 201: 200}
+
+
+def links_apart(spark, texts):
+    """Components of what apart_links gives when every text is a node of its own, in one bucket."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    mixed = docs.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("label"), F.lit(7).cast("long").alias("band"))
+    return {(r["node"], r["hub"]) for r in op.apart_links(docs, mixed).collect()}
+
+
+def same_components(links, texts):
+    label = {i: i for i in range(len(texts))}
+    for _ in label:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    expected = {int(d): int(c) for d, _, c, _ in brute(list(enumerate(texts)))}
+    return label == expected
+
+
+def test_templates_below_the_similarity_are_not_paired(spark, monkeypatch):
+    random.seed(3)
+    word = lambda: f"w{random.randrange(10**9)}"
+    shared = [word() for _ in range(85)]
+    texts = [" ".join(shared + [word() for _ in range(20)]) for _ in range(300)]
+    seen = []
+    monkeypatch.setattr(op, "_wanted", lambda pairs, f=op._wanted: (seen.append(pairs.count()), f(pairs))[1])
+    assert links_apart(spark, texts) == set()
+    assert seen and seen[0] < 2 * len(texts)
+
+
+@pytest.mark.parametrize("own", [2, 8, 14])
+def test_apart_links_join_what_brute_force_joins(spark, monkeypatch, own):
+    """Templates with words taken out and put in, so that groups of like common shingles link within and across."""
+    random.seed(own)
+    monkeypatch.setattr(op, "COMMON", 4)
+    word = lambda: f"w{random.randrange(10**9)}"
+    shared = [[word() for _ in range(90)] for _ in range(2)]
+    texts = []
+    for i in range(160):
+        words = list(shared[i % 2])
+        for _ in range(random.randrange(3)):
+            at = random.randrange(len(words))
+            del words[at : at + random.choice((1, 6, 12))]
+        texts.append(" ".join(words + [word() for _ in range(random.randrange(own + 1))]))
+    texts = list(dict.fromkeys(texts))
+    assert same_components(links_apart(spark, texts), texts)
+
+
+def test_ids_with_several_texts(spark):
+    random.seed(5)
+    word = lambda: f"w{random.randrange(10**9)}"
+    a, b, c = ([word() for _ in range(60)] for _ in range(3))
+    near = lambda words: " ".join([*words[:-1], word()])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (3, near(b)), (4, near(c)), (5, near(c)), (5, near(c))]
+    found = {r["doc_id"]: r["component_id"] for r in op.link_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}

@@ -10,17 +10,20 @@ candidate that is accepted was confirmed on full shingle sets. Candidates are no
 
 1. every bucket has a hub, its smallest node, and each node is compared with the hubs it shares most bands with;
    confirmed links give components;
-2. where a bucket's nodes still lie in different components, each node searches the others in blocks.
+2. nodes of buckets whose nodes still lie in different components are joined on their shingles (``apart_links``).
 
 What pairs inside a component would add is the same component again, so nothing is lost by not comparing them.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +33,7 @@ WIDTH = 5
 SIMILARITY = 75  # per cent
 ROWS, BANDS = 5, 64
 SKETCH = ROWS * BANDS
-#: Bands that two sets of similarity 0.75 share in all but 1 of 100,000 cases; fewer make no candidate.
+#: Bands that a node shares with a hub that it is compared with first; what shares fewer is left to the second step.
 SHARED_BANDS = 3
 #: Hubs that a node is compared with before the search in blocks.
 HUBS = 3
@@ -81,7 +84,7 @@ def band_hashes(sketch: np.ndarray) -> np.ndarray:
     return mix64(rows ^ _BAND)
 
 
-_SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
+_SIGNED = "doc_id long, n_shingles long, digest binary, bands array<long>"
 
 
 def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -90,12 +93,11 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         texts = batch["text"].tolist()
         for part in in_chunks([len(t) + 64 for t in texts], 1_000_000):
             hashes, sizes = shingle_sets([t.encode("utf-8", "surrogatepass") for t in texts[part]])
-            ends = np.concatenate([[0], np.cumsum(sizes)])
-            total = lambda x: np.diff(np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])[ends])  # noqa: B023, E731
+            ends = np.cumsum(sizes)
             bands = band_hashes(sketches(hashes, sizes)).view(np.int64)
             yield pd.DataFrame({
-                "doc_id": batch["doc_id"].iloc[part], "n_shingles": sizes, "set_a": total(mix64(hashes ^ _BAND[0])).view(np.int64), "set_b": total(mix64(hashes ^ _BAND[1])).view(np.int64),
-                "bands": [b if s else None for b, s in zip(bands, sizes, strict=True)],
+                "doc_id": batch["doc_id"].iloc[part], "n_shingles": sizes, "digest": [hashlib.sha256(hashes[e - n : e]).digest() for e, n in zip(ends, sizes, strict=True)],
+                "bands": [b if n else None for b, n in zip(bands, sizes, strict=True)],
             })
 
 
@@ -119,37 +121,47 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield batch.iloc[part].drop(columns=["text"]).assign(shingles=[hashes[e - s : e].tobytes() for e, s in zip(ends, sizes, strict=True)])
 
 
+def _close(own: np.ndarray, found: np.ndarray) -> bool:
+    common = len(np.intersect1d(own, found, assume_unique=True))
+    return 100 * common >= SIMILARITY * (len(own) + len(found) - common)
+
+
 def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come by hub and split, the hub's own set first."""
+    """Rows come by hub and split, the hub's own sets first (one for each of its texts)."""
     fresh()
-    hub, own = None, np.zeros(0, np.uint64)
+    at, own = None, []
     for batch in batches:
         links = []
-        for row in batch.itertuples():
-            found = np.frombuffer(row.shingles, np.uint64)
-            if row.member == 0:
-                hub, own = row.hub, found
-            elif row.hub == hub:
-                common = len(np.intersect1d(own, found, assume_unique=True))
-                if 100 * common >= SIMILARITY * (len(own) + len(found) - common):
-                    links.append((row.node, row.hub))
-        yield pd.DataFrame(links, columns=["node", "hub"])
-
-
-def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (node, hub: doc_ids) whose full shingle sets are similar enough, confirmed per hub.
-
-    Only texts that a pair names are moved. A hub with many members is split; its own set goes to every split.
-    """
-    spark = docs.sparkSession
+        for node, hub, split, member, shingles in zip(*(batch[c] for c in ("node", "hub", "split", "member", "shingles")), strict=True):
+            if (hub, split) != at:
+                at, own = (hub, split), []
+            found = np.frombuffer(shingles, np.uint64)
+            if member == 0:
+                own.append(found)
+            elif any(_close(o, found) for o in own):
+                links.append((node, hub))
+        yield pd.DataFrame(links, columns=["node", "hub"], dtype="int64")
+
+
+def _wanted(pairs: DataFrame) -> DataFrame:
+    """node, hub, split, member: what each hub's groups are made of. A hub with many members is split; its own set
+    goes to every split."""
     splits = pairs.groupBy("hub").agg(F.count("*").alias("n")).select("hub", (F.floor(F.col("n") / GROUP) + 1).alias("splits"))
     members = pairs.join(splits, "hub").select("node", "hub", F.pmod(F.xxhash64("node"), F.col("splits")).alias("split"), F.lit(1).alias("member"))
     hubs = splits.select(F.col("hub").alias("node"), "hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("splits") - 1)).alias("split"), F.lit(0).alias("member"))
-    wanted = members.unionByName(hubs)
+    return members.unionByName(hubs)
+
+
+def _confirmed(sets: DataFrame) -> DataFrame:
+    dealt = sets.repartition(partitions(sets.sparkSession), "hub", "split").sortWithinPartitions("hub", "split", "member")
+    return dealt.select("node", "hub", "split", "member", "shingles").mapInPandas(_confirm, "node long, hub long")
+
+
+def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (node, hub: doc_ids) whose full shingle sets are similar enough; only their texts move."""
+    wanted = _wanted(pairs)
     texts = _within(docs, wanted.select("node")).join(wanted, F.col("doc_id") == F.col("node")).drop("doc_id")
-    sets = texts.mapInPandas(_sets, "node long, hub long, split long, member int, shingles binary")
-    dealt = sets.repartition(partitions(spark), "hub", "split").sortWithinPartitions("hub", "split", "member")
-    return dealt.select("node", "hub", "member", "shingles").mapInPandas(_confirm, "node long, hub long")
+    return _confirmed(texts.mapInPandas(_sets, "node long, hub long, split long, member int, shingles binary"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -195,115 +207,137 @@ def _relabel(label: DataFrame, links: DataFrame) -> DataFrame:
     return cut(old.unionByName(joined.select(F.col("k").alias("node"), F.col("l").alias("label"))).distinct())
 
 
-def _list_candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come by bucket and chunk, a chunk's targets first; each query lists the targets of smaller label."""
-    fresh()
-    at, held = None, []
-    ids = labels = sizes = np.zeros(0, np.int64)
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per shingle of each set."""
     for batch in batches:
-        found = []
-        for r in batch.itertuples():
-            if (r.band, r.chunk) != at:
-                at, held, ids = (r.band, r.chunk), [], None
-            if r.role == 0:
-                held.append((r.node, r.label, r.n_shingles))
-                continue
-            if ids is None:
-                ids, labels, sizes = np.array(held, dtype=np.int64).reshape(-1, 3).T
-            fit = (labels < r.label) & (100 * np.minimum(sizes, r.n_shingles) >= SIMILARITY * np.maximum(sizes, r.n_shingles))
-            if fit.any():
-                found.append((r.node, ids[fit].tobytes()))
-        yield pd.DataFrame(found, columns=["node", "targets"])
-
-
-def _block(nodes: np.ndarray, blocks: int) -> np.ndarray:
-    return (mix64(nodes.view(np.uint64) ^ _BAND[2]) % np.uint64(blocks)).astype(np.int64)
+        nodes, marks, blobs = batch.column("node").to_numpy(), batch.column("mark").to_numpy(), batch.column("shingles")
+        sizes = pc.binary_length(blobs).to_numpy() // 8
+        for part in in_chunks(sizes.tolist(), 1_000_000):
+            flat = np.frombuffer(b"".join(blobs[part].to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(x[part], sizes[part])) for x in (nodes, marks)] + [pa.array(flat)], ["node", "mark", "shingle"])
 
 
-def _join_lists(blocks: int):
-    """Rows come by node; its lists over all buckets give the targets that it shares enough bands with."""
+#: Nodes that a shingle may be in to be looked up by it; those in more are common.
+COMMON = 32
 
-    def joined(node: int, parts: list[np.ndarray]) -> list[tuple]:
-        ids, n = np.unique(np.concatenate(parts), return_counts=True)
-        ids = ids[n >= SHARED_BANDS]
-        to = _block(ids, blocks)
-        return [(int(b), node, ids[to == b].tobytes()) for b in np.unique(to)]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fresh()
-        node, parts = None, []
-        for batch in batches:
-            found = []
-            for r in batch.itertuples():
-                if parts and r.node != node:
-                    found += joined(node, parts)
-                    parts = []
-                node = r.node
-                parts.append(np.frombuffer(r.targets, np.int64))
-            yield pd.DataFrame(found, columns=["block", "node", "targets"])
-        if parts:
-            yield pd.DataFrame(joined(node, parts), columns=["block", "node", "targets"])
+def _profiles(sets: DataFrame) -> DataFrame:
+    """node, n_shingles, label, rare, hot, sign_a, sign_b, ahead: what each node's set is made of among ``sets``.
 
-    return run
+    Shingles are ordered: those of one node only, then those of up to COMMON nodes, then common ones. Two sets of
+    similarity 0.75 have a shingle in common among the first quarter (and one) of either. ``rare`` counts the
+    shingles that are not common, ``ahead`` are the shared ones among them that lie in that first part; ``hot`` and
+    two sums describe the set of common ones.
+    """
+    tokens = sets.select("node", "mark", "shingles").mapInArrow(_tokens, "node long, mark long, shingle long")
+    shared = tokens.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1").select("shingle", (F.col("c") > COMMON).alias("common"))
+    met = tokens.join(shared, "shingle").groupBy("node", "mark").agg(
+        F.array_sort(F.collect_list(F.when(~F.col("common"), F.col("shingle")))).alias("few"), F.count_if("common").alias("hot"),
+        F.bit_xor(F.when(F.col("common"), F.xxhash64("shingle"))).alias("sign_a"), F.bit_xor(F.when(F.col("common"), F.xxhash64("shingle", F.lit(1)))).alias("sign_b"),
+    )
+    n = F.col("n_shingles")
+    first = n - F.ceil(n * SIMILARITY / 100) + 1
+    alone = n - F.size("few") - F.col("hot")
+    held = sets.select("node", "mark", "n_shingles", "label").join(met, ["node", "mark"])
+    ahead = F.slice("few", F.lit(1), F.greatest(F.least(first - alone, F.size("few").cast("long")), F.lit(0)).cast("int"))
+    return held.select("node", "n_shingles", "label", (n - F.col("hot")).alias("rare"), "hot", "sign_a", "sign_b", ahead.alias("ahead"), (n - F.col("hot") < first).alias("open"))
+
+
+def _rare_pairs(profiles: DataFrame) -> DataFrame:
+    """Pairs (node, hub) of different components that meet in a shingle of the first part of both, COMMON at most."""
+    entry = F.struct("label", "node", "n_shingles")
+    lists = profiles.select(entry.alias("x"), F.explode("ahead").alias("shingle")).groupBy("shingle").agg(F.collect_list("x").alias("all")).where(F.size("all") > 1)
+    each = lists.select(F.explode("all").alias("x"), "all")
+    fit = lambda t: (t["label"] < F.col("x.label")) & (100 * F.least(t["n_shingles"], F.col("x.n_shingles")) >= SIMILARITY * F.greatest(t["n_shingles"], F.col("x.n_shingles")))
+    return each.select(F.col("x.node").alias("node"), F.explode(F.filter("all", fit)).alias("t")).select("node", F.col("t.node").alias("hub")).distinct()
+
+
+def _size_class(n):
+    """Sizes that fit each other lie in the same class or in one of the two beside it."""
+    return F.floor(F.log(n.cast("double")) / float(np.log(100 / SIMILARITY))).cast("int")
 
 
 def _search_block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come by block, its targets' sets first; each query's set is compared with those that it lists."""
+    """Rows come by block, its targets first. A query's set is compared with those of the targets that it shares a
+    band with and whose label differs; nothing is listed but the links."""
     fresh()
-    at, sets = None, {}
+    at, held, made = None, [], None
     for batch in batches:
         links = []
-        for r in batch.itertuples():
-            if r.block != at:
-                at, sets = r.block, {}
-            own = np.frombuffer(r.shingles, np.uint64)
-            if r.role == 0:
-                sets[r.node] = own
+        for size, number, role, node, label, shingles, bands in zip(*(batch[c] for c in ("size", "number", "role", "node", "label", "shingles", "bands")), strict=True):
+            if (size, number) != at:
+                at, held, made = (size, number), [], None
+            own = np.frombuffer(shingles, np.uint64)
+            if role == 0:
+                held.append((node, label, own, bands))
                 continue
-            targets = np.frombuffer(r.targets, np.int64)
-            for part in in_chunks([len(sets[t]) for t in targets.tolist()], 1_000_000):
-                others = [sets[t] for t in targets[part].tolist()]
-                sizes = np.array([len(o) for o in others])
-                every = np.concatenate(others)
-                hit = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
-                common = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes) - sizes)
-                close = 100 * common >= SIMILARITY * (len(own) + sizes - common)
-                links += [(r.node, int(t)) for t in targets[part][close]]
-        yield pd.DataFrame(links, columns=["node", "hub"])
-
-
-#: Entries of a bucket that one group lists as targets, and sets that one block holds, about.
-CHUNK, BLOCK_SETS = 1024, 512
+            if not held:
+                continue
+            if made is None:
+                flat, owner = np.concatenate([h[3] for h in held]), np.repeat(np.arange(len(held)), [len(h[3]) for h in held])
+                order = np.argsort(flat, kind="stable")
+                made = flat[order], owner[order], np.array([h[1] for h in held])
+            flat, owner, labels = made
+            low, high = (np.searchsorted(flat, bands, side=side) for side in ("left", "right"))
+            met = np.unique(np.concatenate([owner[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)]))
+            links += [(node, held[k][0]) for k in met[labels[met] != label].tolist() if _close(held[k][2], own)]
+        yield pd.DataFrame(links, columns=["node", "hub"], dtype="int64")
+
+
+#: Shingles of the targets that one block holds, about.
+BLOCK_SHINGLES = 1_000_000
+
+
+def _facing(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of ``rows`` (node, label, band, light), those that share a band with a light one of another label, and the
+    light ones that share a band with one of another label: node, label and the bands where that is so."""
+    light = lambda f: f(F.when(F.col("light"), F.col("label")))
+    bands = rows.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), light(F.min).alias("light_low"), light(F.max).alias("light_high"))
+    met = cut(rows.join(bands.where("light_low <> high or light_high <> low"), "band"))
+    lists = lambda test: met.where(test).groupBy("node", "label").agg(F.collect_list("band").alias("bands"))  # noqa: E731  BANDS for each text
+    return lists("light_low <> label or light_high <> label"), lists("light and (low <> label or high <> label)")
+
+
+def _block_links(sets: DataFrame, queries: DataFrame, targets: DataFrame) -> DataFrame:
+    """Links between ``queries`` and ``targets`` (node, label, bands each) by a search in blocks of like size."""
+    held = targets.join(sets.select("node", "n_shingles", "shingles"), "node").withColumn("size", _size_class(F.col("n_shingles")))
+    blocks = held.groupBy("size").agg((F.floor(F.sum("n_shingles") / BLOCK_SHINGLES) + 1).alias("blocks"))  # some dozens of rows
+    columns = ["size", "number", "role", "node", "label", "shingles", "bands"]
+    dealt = held.join(blocks, "size").withColumn("number", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("role", F.lit(0)).select(*columns)
+    asked = queries.join(sets.select("node", "n_shingles", "shingles"), "node").withColumn("size", F.explode(F.array(*(_size_class(F.col("n_shingles")) + k for k in (-1, 0, 1)))))
+    asked = asked.join(blocks, "size").withColumn("number", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("role", F.lit(1)).select(*columns)
+    rows = dealt.unionByName(asked).repartition(partitions(sets.sparkSession), "size", "number").sortWithinPartitions("size", "number", "role")
+    return rows.mapInPandas(_search_block, "node long, hub long")
 
 
 def apart_links(texts: DataFrame, mixed: DataFrame) -> DataFrame:
-    """Links (node, hub) between nodes of different components that share SHARED_BANDS buckets or more.
-
-    A search in blocks: candidates travel as one list per node and block, never as pairs. A bucket's targets are
-    split into chunks that each see all of the bucket's queries, and the sets of all nodes are split into blocks, to
-    which a query's set goes with the targets that it has there.
+    """Links (node, hub) that join the components of nodes in ``mixed`` (band, node, label) as all their links would.
+
+    1. Pairs that have a rare shingle in common early enough are looked up by it and confirmed.
+    2. Any other link is between nodes without a rare shingle in common, whose rare shingles are few. Among nodes
+       with the same common shingles, the one with the least rare ones (the lead) is linked with every node that has
+       a link there, so each is compared with the lead alone.
+    3. Between such groups, one end of a link has at most a sixth as many rare as common shingles, and so has the
+       lead of its group, with which that end is linked and the other end too. So nodes are compared with those
+       leads, in blocks of like size, where they share a band.
+
+    Rows and bytes of 1 and 2 are in proportion to the nodes' shingles, however alike they are. 3 repeats a node's set
+    for every block of leads; where texts differ by more than a sixth from what they share there are none.
     """
-    spark = texts.sparkSession
-    many = partitions(spark)
-    nodes = cut(mixed.select("node").distinct())
-    blocks = max(1, nodes.count() // BLOCK_SETS)
-    chunks = mixed.groupBy("band").agg((F.floor(F.count("*") / CHUNK) + 1).alias("chunks"))
-    sized = mixed.join(chunks, "band")
-    columns = ["band", "chunk", "role", "node", "n_shingles", "label"]
-    targets = sized.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks"))).withColumn("role", F.lit(0)).select(*columns)
-    queries = sized.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).withColumn("role", F.lit(1)).select(*columns)
-    dealt = targets.unionByName(queries).repartition(many, "band", "chunk").sortWithinPartitions("band", "chunk", "role")
-    lists = dealt.mapInPandas(_list_candidates, "node long, targets binary").repartition(many, "node").sortWithinPartitions("node")
-    asked = lists.mapInPandas(_join_lists(blocks), "block long, node long, targets binary")
-    sets = stored(_within(texts, nodes).join(nodes, F.col("doc_id") == F.col("node")).drop("doc_id").mapInPandas(_sets, "node long, shingles binary"), "sets")
-
-    @F.pandas_udf("long")
-    def block_of(node: pd.Series) -> pd.Series:
-        return pd.Series(_block(node.to_numpy(), blocks))
-
-    held = sets.select(block_of("node").alias("block"), F.lit(0).alias("role"), "node", "shingles", F.lit(None).cast("binary").alias("targets"))
-    sent = asked.join(sets, "node").select("block", F.lit(1).alias("role"), "node", "shingles", "targets")
-    return held.unionByName(sent).repartition(many, "block").sortWithinPartitions("block", "role").mapInPandas(_search_block, "node long, hub long")
+    mixed = mixed.select("node", "label", "band")
+    nodes = cut(mixed.select("node", "label").distinct())
+    found = _within(texts, nodes.select("node")).join(nodes, F.col("doc_id") == F.col("node")).select("node", "label", "text").dropDuplicates(["node", "text"])
+    sets = stored(found.mapInPandas(_sets, "node long, label long, shingles binary").select("*", F.xxhash64("shingles").alias("mark"), (F.octet_length("shingles") / 8).cast("long").alias("n_shingles")), "sets")
+    profiles = cut(_profiles(sets))
+    open_ = profiles.where("open")
+    same = ["hot", "sign_a", "sign_b"]
+    leads = cut(open_.groupBy(*same).agg(F.min(F.struct("rare", "node", "label")).alias("lead")))
+    stars = open_.join(leads, same).where("label <> lead.label").select("node", F.col("lead.node").alias("hub"))
+    pairs = cut(_rare_pairs(profiles).unionByName(stars).distinct())
+    links = _confirmed(sets.select("node", "shingles").join(_wanted(pairs), "node"))
+    light = leads.where("6 * lead.rare <= hot").select("lead.node", F.lit(True).alias("light")).distinct()
+    roles = open_.select("node").distinct().join(light, "node", "left").select("node", F.coalesce("light", F.lit(False)).alias("light"))
+    return links.unionByName(_block_links(sets, *_facing(cut(mixed.join(roles, "node")))))
 
 
 def nodes_by_label(texts: DataFrame, entries: DataFrame) -> DataFrame:
@@ -325,7 +359,7 @@ def link_documents(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     signed = stored(rows.mapInPandas(_sign, _SIGNED), "signatures")
-    content = ["n_shingles", "set_a", "set_b"]
+    content = ["n_shingles", "digest"]
     usable = signed.where("n_shingles > 0 and doc_id is not null")
     classes = usable.groupBy(*content).agg(F.min("doc_id").alias("node"))
     nodes = usable.join(classes.select("node").distinct(), F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "n_shingles", "bands").distinct()
