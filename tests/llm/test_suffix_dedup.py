@@ -48,10 +48,12 @@ def test_fixture(docs, monkeypatch, hot):
     check(docs)
 
 
-@pytest.mark.parametrize("hot", [2, 10**9])
-def test_edges(spark, monkeypatch, hot):
-    """Passages at both ends, just long enough or not, overlapping, periodic, in many documents, cut in slices."""
+@pytest.mark.parametrize(("hot", "wide"), [(2, 20_000), (10**9, 20_000), (10**9, 1)])
+def test_edges(spark, monkeypatch, hot, wide):
+    """Passages at both ends, just long enough or not, overlapping, periodic, in many documents, cut in slices; with
+    families of different runs sorted whole or by their windows."""
     monkeypatch.setattr(op, "HOT_FROM", hot)
+    monkeypatch.setattr(op, "WIDE", wide)
     monkeypatch.setattr(op, "_SLICE", 300)
     monkeypatch.setattr(op, "GROUP_BYTES", 3000)
     random.seed(7)
@@ -82,3 +84,32 @@ def test_texts_and_spans(odd):
 def test_packed_columns():
     values = np.array([0, 1, 255, 256, 2**40 - 1])
     assert op._unpack(op._pack(values, 5), 5, 5).tolist() == values.tolist()
+
+
+def test_wide_families_of_shared_ids(spark, monkeypatch):
+    monkeypatch.setattr(op, "WIDE", 1)
+    monkeypatch.setattr(op, "HOT_FROM", 10**9)
+    random.seed(9)
+    some = lambda n: "".join(random.choice("abcdefgh") for _ in range(n))
+    s = some(90)
+    rows = [(d, some(20) + s[random.randrange(25) :] + some(20)) for d in (4, 4, 1, 7, 7, 9)] + [(None, s), (2, s[:60])]
+    check(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+@pytest.mark.parametrize("signs", [b"a", b"ab", bytes(range(250))])
+def test_common_prefixes(signs):
+    random.seed(2)
+    text = bytes(random.choice(signs) for _ in range(400)) + bytes(60)
+    order = np.array(sorted(range(400), key=lambda i: text[i:]))
+    found = op.common_prefixes(np.frombuffer(text, np.uint8), order)
+    for k, (a, b) in enumerate(zip(order, order[1:], strict=False)):
+        same = next((j for j in range(60) if text[a + j : a + j + 1] != text[b + j : b + j + 1]), 60)
+        assert min(found[k], op.WINDOW) == min(same, op.WINDOW)
+
+
+def test_sample_holds_at_any_size():
+    assert op.hot_share(500, 10**6) == 1.0
+    for n in (10**6, 10**9, 5 * 10**10, 10**12):
+        share = op.hot_share(n, 2000 * n)
+        assert 0 < int(share * 2**63) and 9_000 <= share * n <= 1_100_000
+        assert op.hot_share(n, 10**7 * n) * n * 10**7 <= op.HOT_BYTES * op.HOT_SAMPLE * (n / 1e6) ** (1 / 3) * 1.01

@@ -31,8 +31,11 @@ from ._shared import documents, fresh, mix64, partitions, seeds
 WINDOW, GRAM = 50, 20
 #: Bytes of text in a group of documents, and anchors in a bucket, about.
 GROUP_BYTES, BUCKET_ANCHORS = 3_000_000, 300_000
-#: Documents that are looked at for hot anchors, and in how many of them an anchor must be to be hot.
-HOT_SAMPLE, HOT_FROM = 10_000, 6
+#: Documents that are looked at for hot anchors (times the cube root of millions of documents), bytes of text a
+#: document among them at most on average, and in how many of them an anchor must be to be hot.
+HOT_SAMPLE, HOT_BYTES, HOT_FROM = 10_000, 32_768, 6
+#: Different runs that a family may have to be sorted in one bucket; a family of more is divided by its windows.
+WIDE = 20_000
 _U = np.uint64
 _SLICE = 1 << 19
 _END = 0xFF  # no UTF-8 text has it
@@ -168,6 +171,25 @@ def suffix_order(text: np.ndarray, depth: int = 64) -> np.ndarray:
     return np.concatenate(order)
 
 
+def common_prefixes(text: np.ndarray, order: np.ndarray, most: int = WINDOW) -> np.ndarray:
+    """Bytes that each suffix in ``order`` has in common with the one before it, counted up to ``most`` or a little more."""
+    padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(_U)
+    words = padded[: len(text)]
+    for k in range(1, 8):
+        words = (words << _U(8)) | padded[k : len(text) + k]
+    found = np.zeros(max(0, len(order) - 1), dtype=np.int64)
+    at = np.arange(len(found))
+    for k in range(0, most, 8):
+        last = len(text) - 1
+        differ = words[np.minimum(order[at + 1] + k, last)] ^ words[np.minimum(order[at] + k, last)]
+        found[at] += 8
+        ends = np.flatnonzero(differ)
+        for j in range(8):  # bytes from the first one that differs on are not common
+            found[at[ends]] -= (differ[ends] >> _U(8 * (7 - j)) != 0).astype(np.int64)
+        at = at[differ == 0]
+    return found
+
+
 def repeated_windows(texts: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
     """For each text, which of its windows a text of a smaller document has too."""
     sizes = np.array([len(t) for t in texts])
@@ -177,17 +199,9 @@ def repeated_windows(texts: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
     place = np.arange(len(text)) - begin[which]
     order = suffix_order(text)
     order = order[place[order] <= (sizes - WINDOW)[which[order]]]
-    padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(_U)
-    words = padded[: len(text)]
-    for k in range(1, 8):
-        words = (words << _U(8)) | padded[k : len(text) + k]
-    same = np.ones(max(0, len(order) - 1), dtype=bool)
-    for k in (*range(0, WINDOW - 8, 8), WINDOW - 8):
-        near = words[order + k]
-        same &= near[1:] == near[:-1]
     flags = np.zeros(len(text), dtype=bool)
     if len(order):
-        first = np.flatnonzero(np.concatenate([[True], ~same]))
+        first = np.flatnonzero(np.concatenate([[True], common_prefixes(text, order) < WINDOW]))
         owner = docs[which[order]]
         least = np.repeat(np.minimum.reduceat(owner, first), np.diff(np.append(first, len(order))))
         flags[order] = owner > least
@@ -221,7 +235,8 @@ def _unpack_all(data: bytes, widths: list[int]) -> list[np.ndarray]:
 
 _ROUTED = "key long, grp long, kind int, payload binary"
 _RUNS, _FLAGS, _ASKED, _BYTES = 0, 1, 2, 3
-_RUN_WIDTHS, _FLAG_WIDTHS, _ASK_WIDTHS = [4, 8, 3, 6, 5, 2], [4, 5, 5], [4, 5, 5, 8, 8]
+_RUN_WIDTHS, _FLAG_WIDTHS, _ASK_WIDTHS = [4, 8, 3, 8, 5, 2], [4, 5, 5], [4, 5, 5, 8, 8]
+_WIDE_BUCKET = (1 << 62) - 1
 
 
 def _routed(rows: list[tuple]) -> pd.DataFrame:
@@ -267,38 +282,45 @@ def _send_runs(buckets: int, hot):
         bucket = (mix64(r.anchor[keep]) % _U(buckets)).astype(np.int64)
         for b in np.unique(bucket):
             k = keep[bucket == b]
-            rows.append((b, grp, _RUNS, _pack_all([(r.doc[k], 4), (ids[r.doc[k]], 8), (r.anchor[k] & _U(0xFFFFFF), 3), (r.content[k] & _U(0xFFFFFFFFFFFF), 6), (r.start[k], 5), (r.count[k], 2)])))
+            rows.append((b, grp, _RUNS, _pack_all([(r.doc[k], 4), (ids[r.doc[k]], 8), (r.anchor[k] & _U(0xFFFFFF), 3), (r.content[k], 8), (r.start[k], 5), (r.count[k], 2)])))
         return _routed(rows)
 
     return run
 
 
-def _settle(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """One bucket of anchors: repeats that are equal throughout, and runs whose bytes have to be compared."""
-    b = int(key[0])
-    if b < 0:
-        return pdf
-    fresh()
-    parts = [_unpack_all(p, _RUN_WIDTHS) for p in pdf["payload"]]
-    grp = np.repeat(pdf["grp"].to_numpy(), [len(p[0]) for p in parts])
-    doc, ids, anchor, content, start, count = (np.concatenate(c) for c in zip(*parts, strict=True))
-    order = np.lexsort((ids, content, anchor))
-    grp, doc, ids, anchor, content, start, count = (x[order] for x in (grp, doc, ids, anchor, content, start, count))
-    family = np.concatenate([[True], anchor[1:] != anchor[:-1]])
-    kind = family | np.concatenate([[True], content[1:] != content[:-1]])
-    at = np.flatnonzero(kind)
-    least = ids[at][np.cumsum(kind) - 1]
-    kinds = np.add.reduceat(kind.astype(np.int64), np.flatnonzero(family))[np.cumsum(family) - 1]
-    low, high = (f.reduceat(ids, np.flatnonzero(family))[np.cumsum(family) - 1] for f in (np.minimum, np.maximum))
-    again, open_ = ids > least, (ids == least) & (kinds > 1) & (low < high)
-    rows = []
-    for g in np.unique(grp[again | open_]):
-        mine = grp == g
-        if (k := np.flatnonzero(mine & again)).size:
-            rows.append((-1 - g, g, _FLAGS, _pack_all([(doc[k], 4), (start[k], 5), (count[k], 5)])))
-        if (k := np.flatnonzero(mine & open_)).size:
-            rows.append((-1 - g, g, _ASKED, _pack_all([(doc[k], 4), (start[k], 5), (count[k], 5), (np.full(len(k), b), 8), (anchor[k], 8)])))
-    return _routed(rows)
+def _settle(most: int):
+    """One bucket of anchors: repeats that are equal throughout, and runs whose bytes have to be compared.
+
+    Families of more than ``most`` different runs are asked for by their windows.
+    """
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        b = int(key[0])
+        if b < 0:
+            return pdf
+        fresh()
+        parts = [_unpack_all(p, _RUN_WIDTHS) for p in pdf["payload"]]
+        grp = np.repeat(pdf["grp"].to_numpy(), [len(p[0]) for p in parts])
+        doc, ids, anchor, content, start, count = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.lexsort((ids, content, anchor))
+        grp, doc, ids, anchor, content, start, count = (x[order] for x in (grp, doc, ids, anchor, content, start, count))
+        family = np.concatenate([[True], anchor[1:] != anchor[:-1]])
+        kind = family | np.concatenate([[True], content[1:] != content[:-1]])
+        at = np.flatnonzero(kind)
+        least = ids[at][np.cumsum(kind) - 1]
+        kinds = np.add.reduceat(kind.astype(np.int64), np.flatnonzero(family))[np.cumsum(family) - 1]
+        low, high = (f.reduceat(ids, np.flatnonzero(family))[np.cumsum(family) - 1] for f in (np.minimum, np.maximum))
+        again, open_ = ids > least, (ids == least) & (kinds > 1) & (low < high)
+        rows = []
+        for g in np.unique(grp[again | open_]):
+            mine = grp == g
+            if (k := np.flatnonzero(mine & again)).size:
+                rows.append((-1 - g, g, _FLAGS, _pack_all([(doc[k], 4), (start[k], 5), (count[k], 5)])))
+            if (k := np.flatnonzero(mine & open_)).size:
+                rows.append((-1 - g, g, _ASKED, _pack_all([(doc[k], 4), (start[k], 5), (count[k], 5), (np.where(kinds[k] > most, _WIDE_BUCKET, b), 8), (anchor[k], 8)])))
+        return _routed(rows)
+
+    return run
 
 
 def _flags_of(pdf: pd.DataFrame) -> tuple[np.ndarray, ...]:
@@ -306,22 +328,46 @@ def _flags_of(pdf: pd.DataFrame) -> tuple[np.ndarray, ...]:
     return _merge(*(np.concatenate(c) for c in zip(*parts, strict=True))) if parts else (np.zeros(0, np.int64),) * 3
 
 
+def _windows(texts: list[bytes], ids: np.ndarray, runs) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Windows of ``runs`` (document, start, count) of a group: those of the first document that has them, and those
+    that a document after it has too. Equal means equal bytes."""
+    first: dict[bytes, int] = {}
+    sent, again = [], []
+    for d, start, count in sorted(runs):  # in order of ids
+        for s in range(start, start + count):
+            (sent if first.setdefault(texts[d][s : s + WINDOW], ids[d]) == ids[d] else again).append((d, s))
+    return sent, again
+
+
 def _answer(buckets: int):
     def run(key: tuple, docs: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         if not len(docs):
             return _routed([])
         grp = int(key[0])
         _, texts, ids = _group(docs)
-        rows = [(-1 - grp, grp, _FLAGS, _pack_all(list(zip(_flags_of(replies), _FLAG_WIDTHS, strict=True))))]
+        flags, rows = [_flags_of(replies)], []
         asked = [_unpack_all(p, _ASK_WIDTHS) for p, k in zip(replies["payload"], replies["kind"], strict=True) if k == _ASKED]
         if asked:
             doc, start, count, bucket, anchor = (np.concatenate(c) for c in zip(*asked, strict=True))
             to = (mix64((bucket * (1 << 24) + anchor).astype(_U)) % _U(buckets)).astype(np.int64)
+            wide = bucket == _WIDE_BUCKET
+            spans = [texts[d][s : s + n + WINDOW - 1] for d, s, n in zip(doc[~wide], start[~wide], count[~wide], strict=True)]
+            doc_, start_, count_, to = doc[~wide], start[~wide], count[~wide], to[~wide]
+            if wide.any():
+                sent, again = _windows(texts, ids, zip(doc[wide].tolist(), start[wide].tolist(), count[wide].tolist(), strict=True))
+                windows = [texts[d][s : s + WINDOW] for d, s in sent]
+                spans += windows
+                many = np.array(sent, dtype=np.int64).reshape(-1, 2)
+                doc_, start_, count_ = np.append(doc_, many[:, 0]), np.append(start_, many[:, 1]), np.append(count_, np.ones(len(many), np.int64))
+                hashes = np.array([int.from_bytes(hashlib.blake2b(w, digest_size=7).digest(), "little") for w in windows], dtype=np.int64)
+                to = np.append(to, hashes % buckets)
+                more = np.array(again, dtype=np.int64).reshape(-1, 2)
+                flags.append((more[:, 0], more[:, 1], np.ones(len(more), np.int64)))
             for b in np.unique(to):
                 k = np.flatnonzero(to == b)
-                spans = [texts[d][s : s + n + WINDOW - 1] for d, s, n in zip(doc[k], start[k], count[k], strict=True)]
-                rows.append((b, grp, _BYTES, _pack_all([(doc[k], 4), (ids[doc[k]], 8), (start[k], 5), (count[k], 5)]) + b"".join(spans)))
-        return _routed(rows)
+                rows.append((b, grp, _BYTES, _pack_all([(doc_[k], 4), (ids[doc_[k]], 8), (start_[k], 5), (count_[k], 5)]) + b"".join([spans[i] for i in k])))
+        merged = _merge(*(np.concatenate(c) for c in zip(*flags, strict=True)))
+        return _routed([(-1 - grp, grp, _FLAGS, _pack_all(list(zip(merged, _FLAG_WIDTHS, strict=True)))), *rows])
 
     return run
 
@@ -397,12 +443,23 @@ def _hot_anchors(rows: DataFrame, share: float) -> np.ndarray:
             found, n = np.unique(pairs, return_counts=True)
             yield pd.DataFrame({"anchor": found.view(np.int64), "n": n})
 
-    some = rows.where(F.pmod(F.xxhash64(F.lit("hot"), "at"), F.lit(1_000_000)) < int(share * 1_000_000)).select("bytes")
-    counted = some.mapInPandas(look, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_FROM)
-    found = np.array([r["anchor"] for r in counted.select("anchor").collect()], dtype=np.int64).view(_U)  # bounded by the sample
+    drawn = F.xxhash64(F.lit("hot"), "at").bitwiseAND(F.lit(2**63 - 1)) < F.lit(min(2**63 - 1, int(share * 2**63)))
+    counted = rows.where(drawn).select("bytes").mapInPandas(look, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_FROM)
+    found = counted.select("anchor").toPandas()["anchor"].to_numpy(np.int64).view(_U)  # bounded by the sample
     return np.sort(found)
 
 
+def hot_share(n: int, size: int) -> float:
+    """The share of ``n`` documents of ``size`` bytes that is looked at for hot anchors.
+
+    The sample grows with the cube root of the corpus. An anchor that it does not tell has some 6 places a sampled
+    document more at most: a million in 5e10 documents. What the driver gets is an anchor for every 6 places in the
+    sample at most.
+    """
+    sample = HOT_SAMPLE * max(1.0, n / 1e6) ** (1 / 3)
+    return min(1.0, sample / max(1, n), sample * HOT_BYTES / max(1, size))
+
+
 def remove_repeats(docs: DataFrame, carry: list[str] | None = None, with_text: bool = False) -> DataFrame:
     """doc_id, the columns of ``carry``, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``docs``.
 
@@ -419,12 +476,12 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None, with_text: b
     n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("bytes")), F.lit(0))).first()
     groups = max(4, -(-size // GROUP_BYTES))
     buckets = max(4, -(-size // (BUCKET_ANCHORS * 16)))
-    hot = spark.sparkContext.broadcast(_hot_anchors(rows, min(1.0, HOT_SAMPLE / max(1, n))))  # at most some 100,000 hashes
+    hot = spark.sparkContext.broadcast(_hot_anchors(rows, hot_share(n, size)))  # some 100,000 hashes for a million documents
     spread = F.xxhash64(F.coalesce("doc_id", F.xxhash64("bytes")))
     dealt = rows.withColumn("grp", F.pmod(spread, F.lit(int(groups)))).repartition(partitions(spark), "grp")
     by_group = dealt.groupBy("grp")
     runs = by_group.applyInPandas(_send_runs(int(buckets), hot), _ROUTED)
-    settled = runs.groupBy("key").applyInPandas(_settle, _ROUTED)
+    settled = runs.groupBy("key").applyInPandas(_settle(WIDE), _ROUTED)
     sent = by_group.cogroup(settled.groupBy("grp")).applyInPandas(_answer(3 * int(buckets)), _ROUTED)
     told = sent.groupBy("key").applyInPandas(_sort_suffixes, _ROUTED)
     schema = [f"{f.name} {f.dataType.simpleString()}" for f in rows.select("doc_id", *carry).schema]
