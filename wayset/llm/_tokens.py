@@ -165,5 +165,5 @@ def crc(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, "<u4"))
 
 
-def text_chunks(texts: pa.Array, most: int = 4_000_000):
+def text_chunks(texts: pa.Array, most: int = 2_500_000):
     return in_chunks(pc.binary_length(texts).to_pylist(), most)
