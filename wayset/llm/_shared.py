@@ -28,6 +28,14 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
+def crc32_sql(column: str) -> str:
+    """DuckDB SQL for crc32 of a number's decimal text, bit by bit, as it has no such function. The constant is the
+    polynomial's, a fixed value."""
+    byte = "list_reduce(list_concat([xor(a, c)], [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda b, z: CASE WHEN b & 1 = 1 THEN xor(b >> 1, 3988292384::UBIGINT) ELSE b >> 1 END)"
+    codes = f"list_transform(string_split({column}::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295::UBIGINT], {codes}), lambda a, c: {byte}), 4294967295::UBIGINT)::BIGINT"
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, language_id, mixing, near_dedup, packing, periodic_runs, quality_knn, quality_rules, suffix_dedup, token_counts, token_files
+from . import fingerprints, language_id, lm_scoring, mixing, near_dedup, packing, periodic_runs, prefix_trie, quality_knn, quality_rules, suffix_dedup, token_counts, token_files
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -15,10 +15,13 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_quality_knn": quality_knn.op10_quality_knn,
+    "op11_lm_scoring": lm_scoring.op11_lm_scoring,
     "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 ORACLES = {
     "op3_mixing": mixing.oracle(),
     "op8_quality_rules": quality_rules.oracle(),
     "op12_periodic_runs": periodic_runs.oracle(),
+    "op13_prefix_trie": prefix_trie.oracle(),
 }

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import WORD, documents, fresh, in_chunks, let, partitions
+from ._shared import WORD, crc32_sql, documents, fresh, in_chunks, let, partitions
 
 LEAST = 24
 EXPONENT = 3
@@ -193,14 +193,10 @@ def op12_periodic_runs(spark, sf_dir):
     return digest(periodic_runs(rewritten(documents(spark, sf_dir))))
 
 
-#: crc32 of the decimal id, bit by bit: DuckDB has no such function.
-_CRC = "xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)), lambda a, c: list_reduce(list_concat([xor(a, c)], [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda b, z: CASE WHEN b & 1 = 1 THEN xor(b >> 1, 3988292384::UBIGINT) ELSE b >> 1 END)), 4294967295::UBIGINT)::BIGINT"
-
-
 def oracle(table: str = "documents") -> str:
     """Pairs of equal words of a document at every lag, and their islands. Ids must be unique and not null."""
     return f"""
-WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words, {_CRC} AS h FROM {table}),
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words, {crc32_sql('doc_id')} AS h FROM {table}),
 x AS (SELECT doc_id, words, len(words) AS n, h // 10 AS g, h % 10 = 0 AND len(words) > 0 AS again FROM d),
 y AS (SELECT *, CASE WHEN again THEN g % n END AS a, CASE WHEN again THEN 1 + (n - g % n) // (3 + g % 8) END AS p FROM x),
 w AS (SELECT doc_id, n, i, CASE WHEN again AND i >= a THEN words[1 + a + (i - a) % p] ELSE words[1 + i] END AS word FROM (SELECT *, unnest(range(n)) AS i FROM y)),
