@@ -25,12 +25,12 @@ def tokens(text):
 class Plain:
     """The same model, one n-gram at a time."""
 
-    def __init__(self, docs):
-        self.c = Counter()
+    def __init__(self, docs, longest=op.ORDER):
+        self.c, self.longest = Counter(), longest
         for doc_id, text in docs:
             if not is_held(doc_id):
                 words = ["<s>", *tokens(text)]
-                for k in range(1, op.ORDER + 1):
+                for k in range(1, longest + 1):
                     self.c.update(tuple(words[i : i + k]) for i in range(len(words) - k + 1))
         ones = {g: n for g, n in self.c.items() if len(g) == 1 and g != ("<s>",)}
         self.n, self.v = sum(ones.values()), len(ones)
@@ -43,14 +43,14 @@ class Plain:
 
     def score(self, text):
         words = ["<s>", *tokens(text)]
-        return sum(math.log10(self.chance(tuple(words[max(0, i - op.ORDER + 1) : i]), words[i])) for i in range(1, len(words)))
+        return sum(math.log10(self.chance(tuple(words[max(0, i - self.longest + 1) : i]), words[i])) for i in range(1, len(words)))
 
     def base(self, text):
         return sum(math.log10((self.c[(w,)] + 1) / (self.n + 1 * (self.v + 1))) for w in tokens(text))
 
 
-def agrees(docs, found):
-    plain = Plain(docs)
+def agrees(docs, found, longest=op.ORDER):
+    plain = Plain(docs, longest)
     texts = {}
     for doc_id, text in docs:
         texts.setdefault(doc_id, []).append(text)
@@ -62,13 +62,13 @@ def agrees(docs, found):
         assert r.n_known == sum(plain.c[(w,)] > 0 for w in tokens(same[0]))
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_equals_the_definition(spark, docs, monkeypatch, small):
-    """In one block and in very many, with one bucket and with very many."""
+@pytest.mark.parametrize(("small", "order"), [(False, 2), (True, 2), (True, 3)])
+def test_equals_the_definition(spark, docs, monkeypatch, small, order):
+    """In one block and in very many, with one bucket and with very many, and with longer n-grams."""
     if small:
-        monkeypatch.setattr(op, "BLOCK", 4_000)
+        monkeypatch.setattr(op, "BLOCK", 30_000)
         monkeypatch.setattr(op, "BUCKET", 2_000)
-    agrees([tuple(r) for r in docs.select("doc_id", "text").collect()], op.score(docs, HELD()).collect())
+    agrees([tuple(r) for r in docs.select("doc_id", "text").collect()], op.score(docs, HELD(), order).collect(), order)
 
 
 def test_odd_rows(odd, none):
@@ -79,7 +79,7 @@ def test_odd_rows(odd, none):
 
 def test_distributions_add_up():
     r = random.Random(3)
-    plain = Plain([(k, " ".join(r.choice("abcde") for _ in range(20))) for k in range(60)])
+    plain = Plain([(k, " ".join(r.choice("abcde") for _ in range(20))) for k in range(60)], 3)
     words = [g[0] for g in plain.c if len(g) == 1 and g != ("<s>",)]
     for context in [(), (b"a",), (b"a", b"b"), ("<s>",), (b"never", b"seen")]:
         assert math.isclose(sum(plain.chance(context, w) for w in [*words, b"unknown"]), 1)

@@ -66,13 +66,11 @@ def test_lag_ranges_add_up():
     assert parts == op.scan(ids, counts)
 
 
-@pytest.mark.parametrize("long", [1 << 16, 200])
-def test_operator_equals_the_definition(spark, monkeypatch, long):
+@pytest.mark.parametrize("limits", [(), (200, 5_000)])
+def test_operator_equals_the_definition(spark, limits):
     """The same whether a document's lags are one range or are dealt out in many."""
-    monkeypatch.setattr(op, "LONG", long)
-    monkeypatch.setattr(op, "WORK", op.WORK if long > 1000 else 5_000)
     texts = [(k, " \n".join(w)) for k, w in enumerate(CASES)] + [(500, None), (501, "  \t\n"), (0, " ".join(CASES[3]))]
-    found = op.periodic_runs(spark.createDataFrame(texts, "doc_id long, text string").repartition(3)).collect()
+    found = op.periodic_runs(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), *limits).collect()
     assert len(found) == len(texts)
     expected = {}
     for k, t in texts:

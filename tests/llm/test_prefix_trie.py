@@ -59,18 +59,16 @@ def rows(df):
 
 
 @pytest.mark.parametrize("most", [10_000, 7, 1])
-def test_slices_of_any_size_give_the_same_trie(spark, monkeypatch, most):
-    monkeypatch.setattr(op, "SLICE", most)
+def test_slices_of_any_size_give_the_same_trie(spark, most):
     for seed in range(2):
         convs = {c: t for c, t in made(seed).items() if t}
-        assert rows(op.prefix_trie(op.paths(table(spark, convs)))) == by_definition(convs)
+        assert rows(op.prefix_trie(op.paths(table(spark, convs)), most)) == by_definition(convs)
 
 
 @pytest.mark.parametrize("most", [10_000, 3])
-def test_rebuilt_conversations(spark, monkeypatch, most):
-    monkeypatch.setattr(op, "SLICE", most)
+def test_rebuilt_conversations(spark, most):
     convs = {c: t for c, t in made(7, 300).items() if t} | {k: [("u", f"turn {i}") for i in range(60)] for k in (100, 101, 102)}
-    assert rows(op.prefix_trie(op.rebuilt(op.paths(table(spark, convs))))) == by_definition(rebuild(convs))
+    assert rows(op.prefix_trie(op.rebuilt(op.paths(table(spark, convs))), most)) == by_definition(rebuild(convs))
 
 
 def test_one_conversation_many_times(spark):

@@ -7,7 +7,7 @@ state and an arc with its smoothed probability, and a state's failure arc leads
 weight PRIOR / (c(h) + PRIOR). Texts are read once from left to right: a document carries its state from word to word,
 takes the arc of the next word if there is one, else the failure arc, and adds up what it passes.
 
-The automaton is never in one place. Documents are dealt to blocks of about BLOCK words. A block asks for the
+The automaton is never in one place. Documents are dealt to blocks of about BLOCK bytes. A block asks for the
 distinct n-grams that it holds with its own counts; asks meet by hash in buckets of about BUCKET n-grams, and a bucket
 answers where the total differs from what the block has itself. The block then has every state that its documents
 can reach. Asks and answers are packed arrays; no n-gram, however frequent, is more than one entry a block.
@@ -16,25 +16,25 @@ can reach. Asks and answers are packed arrays; no n-gram, however frequent, is m
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import documents, fresh, in_chunks, mix64, partitions, seeds, word_hashes
+from ._shared import documents, fresh, mix64, partitions, seeds, word_hashes
 
-ORDER = 3
-#: Weight of the shorter context's distribution, in words seen, for contexts of one and of two words: the best of five pairs on
-#: held-out texts of a small table.
-PRIOR = {2: 5000.0, 3: 30.0}
-#: Words of a block, and n-grams of a bucket, about.
-BLOCK, BUCKET = 1 << 20, 1 << 21
+#: Words of the longest n-grams. Three take 4.6 times the input of disk; see the README.
+ORDER = 2
+#: Weight of the shorter context's distribution, in words seen, by the n-gram's words: chosen on held-out texts of a
+#: small table.
+PRIOR = {2: 1000.0, 3: 30.0}
+#: Bytes of a block's texts, and n-grams of a bucket, about.
+BLOCK, BUCKET = 8_000_000, 1 << 21
 #: Bits of a longer n-gram's hash beyond those that count all n-grams: one in a million has another one's hash.
 SPARE = 20
 _U = np.uint64
-_KEYS = seeds(2 * ORDER + 2, 901) | _U(1)
+_KEYS = seeds(16, 901) | _U(1)
 #: Hashes of the begin and end marks, which no word has but by a chance of 2 ** -64.
 _BEGIN, _END = seeds(2, 902)
 
@@ -91,22 +91,18 @@ def grown(data, width: int) -> np.ndarray:
     return np.frombuffer(data, f"<u{width}").astype(np.int64)
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct word hashes of training texts; a row without a hash has numbers of words and of training texts."""
-    fresh()
-    for batch in batches:
-        texts, held = batch.column("text").to_pylist(), np.array(batch.column("held_out").to_pylist(), dtype=bool)
-        for part in in_chunks([len(t) // 4 + 16 for t in texts], BLOCK):
-            hashes, sizes = sentence_hashes(texts[part])
-            trained = np.repeat(~held[part], sizes) & (hashes != _BEGIN)
-            own = np.unique(hashes[trained]).view(np.int64)
-            none = [None] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array([*own.tolist(), None], pa.int64())] + [pa.array([*none, x], pa.int64()) for x in (len(hashes), int(trained.sum()), int((~held[part]).sum()))], ["word", "all", "trained", "docs"])
+def distinct(values: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct values, and how often each is among the ``trained`` ones."""
+    ordered = np.sort(values)
+    new = np.ones(len(ordered), dtype=bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    out = ordered[new]
+    return out, np.bincount(np.searchsorted(out, np.sort(values[trained])), minlength=len(out))
 
 
 _ASKS = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("ord", pa.int32()), ("low", pa.int64()), ("hashes", pa.binary()), ("width", pa.int32()), ("counts", pa.binary()), ("size", pa.int32())])
 _ANSWERS = pa.schema([("block", pa.int64()), ("ord", pa.int32()), ("low", pa.int64()), ("places", pa.binary()), ("width", pa.int32()), ("totals", pa.binary()), ("size", pa.int32())])
-_SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+_SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 _NAMES = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.bool_(): "boolean", pa.float64(): "double"}
 
 
@@ -119,87 +115,99 @@ def _block(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes, sizes, np.array(table.column("held_out").to_pylist(), dtype=bool)
 
 
-def _ask(bits: int, buckets: int):
-    """A block's distinct n-grams with its training counts, by bucket: the upper bits of the hash."""
+def _ask(longest: int, bits: int, buckets: int):
+    """A block's distinct n-grams with its training counts, by bucket: the upper bits of the hash.
+
+    Every bucket is asked for words, if only for how many there are in it.
+    """
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         fresh()
         hashes, sizes, held = _block(table)
         trained = np.repeat(~held, sizes)
         rows: list[tuple] = []
-        for order in range(1, ORDER + 1):
+        for order in range(1, longest + 1):
             values, there = ngrams(hashes, sizes, order, bits)
-            distinct, inverse = np.unique(values[there], return_inverse=True)
-            counts = np.bincount(inverse, weights=trained[there], minlength=len(distinct)).astype(np.int64)
-            del inverse, values
+            found, counts = distinct(values[there], trained[there])
             wide = 64 if order == 1 else bits
-            at = (distinct >> _U(wide - buckets)).astype(np.int64) if buckets else np.zeros(len(distinct), np.int64)
-            edges = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1, [len(at)]]).tolist() if len(at) else []
-            for a, b in zip(edges, edges[1:], strict=False):
-                rows.append((int(at[a]), key[0].as_py(), order, a, *packed(distinct[a:b]), *shrunk(counts[a:b])))
+            first = np.arange(1 << buckets, dtype=_U) << _U(wide - buckets) if buckets else np.zeros(1, _U)
+            edges = [*np.searchsorted(found, first).tolist(), len(found)]
+            for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+                if a < b or order == 1:
+                    rows.append((k, key[0].as_py(), order, a, *packed(found[a:b]), *shrunk(counts[a:b])))
         return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_ASKS)], schema=_ASKS)
 
     return run
 
 
-def _answer(key: tuple, table: pa.Table) -> pa.Table:
-    """Totals over all blocks, for those n-grams of each block whose total is not its own count."""
-    fresh()
-    rows = []
-    asked = table.to_pylist()
-    for order in range(1, ORDER + 1):
-        asks = [r for r in asked if r["ord"] == order]
-        if not asks:
-            continue
-        each = [unpacked(r["hashes"], r["width"]) for r in asks]
-        own = np.concatenate([grown(r["counts"], r["size"]) for r in asks])
-        bounds = np.concatenate([[0], np.cumsum([len(e) for e in each])]).tolist()
-        flat = np.concatenate(each)
-        del each
-        sort = np.argsort(flat, kind="stable")
-        flat = flat[sort]
-        new = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-        totals = np.empty(len(flat), np.int64)
-        totals[sort] = np.repeat(np.add.reduceat(own[sort], new), np.diff(np.append(new, len(flat))))
-        for r, a, b in zip(asks, bounds, bounds[1:], strict=False):
-            more = np.flatnonzero(totals[a:b] != own[a:b])
-            if len(more):
-                rows.append((r["block"], order, r["low"], *packed(more.astype(_U)), *shrunk(totals[a:b][more])))
-    return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_ANSWERS)], schema=_ANSWERS)
-
-
-def walk(sizes: np.ndarray, states: dict, seen: dict, arcs: dict, fails: dict) -> np.ndarray:
+def _answer(longest: int):
+    """Totals over all blocks, for those n-grams of each block whose total is not its own count.
+
+    Every block is also told (as order 0) how many training words of the bucket there are, distinct and in all.
+    """
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        fresh()
+        rows = []
+        asked = table.to_pylist()
+        for order in range(1, longest + 1):
+            asks = [r for r in asked if r["ord"] == order]
+            if not asks:
+                continue
+            each = [unpacked(r["hashes"], r["width"]) for r in asks]
+            own = np.concatenate([grown(r["counts"], r["size"]) for r in asks])
+            bounds = np.concatenate([[0], np.cumsum([len(e) for e in each])]).tolist()
+            flat = np.concatenate(each)
+            del each
+            sort = np.argsort(flat, kind="stable")
+            flat = flat[sort]
+            new = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
+            totals, sums = np.empty(len(flat), np.int64), np.add.reduceat(own[sort], new) if len(flat) else np.zeros(0, np.int64)
+            totals[sort] = np.repeat(sums, np.diff(np.append(new, len(flat))))
+            if order == 1:
+                words = sums[flat[new] != _BEGIN]
+                told = np.array([(words > 0).sum(), words.sum()], np.int64).tobytes()
+                rows += [(r["block"], 0, 0, b"", 1, told, 8) for r in asks]
+            for r, a, b in zip(asks, bounds, bounds[1:], strict=False):
+                more = np.flatnonzero(totals[a:b] != own[a:b])
+                if len(more):
+                    rows.append((r["block"], order, r["low"], *packed(more.astype(_U)), *shrunk(totals[a:b][more])))
+        return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_ANSWERS)], schema=_ANSWERS)
+
+    return run
+
+
+def walk(sizes: np.ndarray, seen: dict, arcs: dict, fails: dict) -> np.ndarray:
     """Each document's log10 probability, by one traversal from left to right.
 
-    By order k: ``states[k]`` has the n-gram that ends at each place, ``seen[k]`` whether training has it, ``arcs[k]`` the
-    log10 probability of its last word, ``fails[k]`` the weight of the failure arc of its state. All documents advance
-    by one word at a time; ``level`` is how many words the state of each stands for.
+    For each place and order k: ``seen[k]`` tells whether the automaton has an arc for the n-gram that ends there,
+    ``arcs[k]`` is its log10 probability, ``fails[k]`` the weight of the failure arc of the state of k words before the
+    place. All documents advance by one word at a time; ``level`` is how many words the state of each stands for.
     """
     order = np.argsort(-sizes, kind="stable")
-    start, left = (np.cumsum(sizes) - sizes)[order], sizes[order]
-    total, level, top = np.zeros(len(sizes)), np.ones(len(sizes), np.int64), max(states) - 1
-    for t in range(1, int(left[0]) if len(left) else 0):
-        n = int(np.searchsorted(-left, -t, side="left"))  # documents with a word here
-        at, now, reached = start[:n] + t, level[:n], np.ones(n, np.int64)
+    start, left, top = (np.cumsum(sizes) - sizes)[order], sizes[order], max(seen) - 1
+    steps = int(left[0]) if len(left) else 1
+    active = np.searchsorted(-left, -np.arange(1, steps), side="left")  # documents with a word at each step
+    ends = np.cumsum(active)
+    rank = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - active, active)
+    at = start[rank] + np.repeat(np.arange(1, steps), active)  # places by step
+    seen, arcs, fails = ({k: v[at] for k, v in x.items()} for x in (seen, arcs, fails))
+    total, level = np.zeros(len(sizes)), np.ones(len(sizes), np.int64)
+    for a, n in zip((ends - active).tolist(), active.tolist(), strict=True):
+        now, reached = level[:n], np.ones(n, np.int64)
         for k in range(top, 0, -1):
-            waiting = np.flatnonzero((reached == 1) & (now >= k))  # in a state of k words, or fallen to it
-            if not len(waiting):
-                continue
-            gram = states[k + 1][at[waiting]]
-            hit = seen[k + 1][gram]
-            total[waiting[hit]] += arcs[k + 1][gram[hit]]
-            reached[waiting[hit]] = k + 1
-            lost = waiting[~hit]
-            total[lost] += fails[k][states[k][at[lost] - 1]]
-        root = np.flatnonzero(reached == 1)
-        total[root] += arcs[1][states[1][at[root]]]
-        level[:n] = np.minimum(reached, max(top, 1))
+            waiting = (reached == 1) & (now >= k)  # in a state of k words, or fallen to it
+            hit = waiting & seen[k + 1][a : a + n]
+            total[:n] += np.where(hit, arcs[k + 1][a : a + n], np.where(waiting, fails[k][a : a + n], 0.0))
+            reached[hit] = k + 1
+        total[:n] += np.where(reached == 1, arcs[1][a : a + n], 0.0)
+        level[:n] = np.minimum(reached, top)
     out = np.empty(len(sizes))
     out[order] = total
     return out
 
 
-def _score(bits: int, n: int, v: int):
+def _score(longest: int, bits: int):
     """Scores of a block's documents, from its own counts and the answers that it got."""
 
     def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
@@ -207,36 +215,36 @@ def _score(bits: int, n: int, v: int):
         hashes, sizes, held = _block(docs)
         trained = np.repeat(~held, sizes)
         told = answers.to_pylist()
-        states, seen, arcs, fails, counts, chance = {}, {}, {}, {}, {}, {}
-        for order in range(1, ORDER + 1):
+        v, n = np.sum([grown(r["totals"], 8) for r in told if r["ord"] == 0], axis=0).tolist()
+        seen, arcs, fails = {}, {}, {}
+        for order in range(1, longest + 1):
             values, there = ngrams(hashes, sizes, order, bits)
-            distinct, inverse = np.unique(values[there], return_inverse=True)
-            own = np.bincount(inverse, weights=trained[there], minlength=len(distinct)).astype(np.int64)
+            places = np.flatnonzero(there)
+            found, inverse = np.unique(values[places], return_inverse=True)
+            counts = np.bincount(inverse, weights=trained[places], minlength=len(found)).astype(np.int64)
             for r in told:
                 if r["ord"] == order:
-                    own[r["low"] + unpacked(r["places"], r["width"]).astype(np.int64)] = grown(r["totals"], r["size"])
-            places = np.flatnonzero(there)
-            states[order] = np.full(len(hashes), -1, np.int32)
-            states[order][places] = inverse
+                    counts[r["low"] + unpacked(r["places"], r["width"]).astype(np.int64)] = grown(r["totals"], r["size"])
+            count = np.zeros(len(hashes), np.int64)
+            count[places] = counts[inverse]
             if order == 1:
-                chance[1] = (own + 1) / (n + v + 1)
+                chance = (count + 1) / (n + v + 1)
             else:
-                one = np.empty(len(distinct), np.int64)  # a place of each n-gram
-                one[inverse] = places
-                weight = PRIOR[order]
-                chance[order] = (own + weight * chance[order - 1][states[order - 1][one]]) / (counts[order - 1][states[order - 1][one - 1]] + weight)
-                fails[order - 1] = np.log10(weight / (counts[order - 1] + weight))
-            counts[order], seen[order], arcs[order] = own, own > 0, np.log10(chance[order])
+                weight, context = PRIOR[order], np.zeros(len(hashes))
+                context[1:] = shorter[:-1]  # how often training has the words before
+                chance = (count + weight * chance) / (context + weight)
+                fails[order - 1] = np.log10(weight / (context + weight))
+            seen[order], arcs[order], shorter = count > 0, np.log10(chance), count
         first = np.cumsum(sizes) - sizes
-        base, known = arcs[1][states[1]], seen[1][states[1]].astype(np.int64)
+        base, known = arcs[1].copy(), seen[1].astype(np.int64)
         base[first] = known[first] = 0
-        sums = [pa.array(sizes - 1), pa.array(np.add.reduceat(known, first)), pa.array(np.add.reduceat(base, first)), pa.array(walk(sizes, states, seen, arcs, fails))]
+        sums = [pa.array(sizes - 1), pa.array(np.add.reduceat(known, first)), pa.array(np.full(len(sizes), n)), pa.array(np.add.reduceat(base, first)), pa.array(walk(sizes, seen, arcs, fails))]
         return pa.Table.from_arrays([docs.column("doc_id"), docs.column("held_out"), *sums], schema=_SCORES)
 
     return run
 
 
-def score(docs: DataFrame, held_out: Column) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, longest: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``.
 
     The model learns from the rows that are not held out (a null ``held_out`` is not). A text's tokens are its
@@ -247,16 +255,14 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    seen = rows.select("text", "held_out").mapInArrow(_words, "word long, all long, trained long, docs long")
-    v, n, words, trained = seen.agg(F.count_distinct("word"), F.coalesce(F.sum("trained"), F.lit(0)), F.coalesce(F.sum("all"), F.lit(0)), F.sum("docs")).first()
-    blocks = math.ceil(max(words, 1) / BLOCK)
-    bits = min(64, max(words * ORDER, 2).bit_length() + SPARE)
-    buckets = max(0, math.ceil(math.log2(max(words * ORDER / BUCKET, 1))))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
+    blocks, words = math.ceil(max(size, 1) / BLOCK), max(size // 4, 1)
+    bits = min(64, (words * longest).bit_length() + SPARE)
+    buckets = max(0, math.ceil(math.log2(words * longest / BUCKET)))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks))).repartition(partitions(spark), "block")
-    asks = dealt.groupBy("block").applyInArrow(_ask(bits, buckets), _sql(_ASKS))
-    answers = asks.repartition(partitions(spark), "bucket").groupBy("bucket").applyInArrow(_answer, _sql(_ANSWERS))
-    scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(bits, n, v), _sql(_SCORES))
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    asks = dealt.groupBy("block").applyInArrow(_ask(longest, bits, buckets), _sql(_ASKS))
+    answers = asks.repartition(partitions(spark), "bucket").groupBy("bucket").applyInArrow(_answer(longest), _sql(_ANSWERS))
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(longest, bits), _sql(_SCORES))
 
 
 def op11_lm_scoring(spark, sf_dir):

@@ -109,16 +109,20 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ], ["doc_id", "n_words", "runs", "collapsed"])
 
 
-def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _ranges(work: int):
     """The word ids of long documents, once for each of their ranges of lags."""
-    fresh()
-    for batch in batches:
-        for key, text in zip(batch.column("key").to_pylist(), batch.column("text"), strict=True):
-            ids, counts, _ = word_ids([text.as_py()])
-            n = int(counts[0])
-            step = max(1, WORK // max(n, 1))
-            for low in range(1, n // EXPONENT + 1, step):
-                yield pa.RecordBatch.from_arrays([pa.array([key], pa.binary()), pa.array([low], pa.int64()), pa.array([low + step], pa.int64()), pa.array([ids.tobytes()], pa.binary())], ["key", "low", "high", "ids"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
+        for batch in batches:
+            for key, text in zip(batch.column("key").to_pylist(), batch.column("text"), strict=True):
+                ids, counts, _ = word_ids([text.as_py()])
+                n = int(counts[0])
+                step = max(1, work // max(n, 1))
+                for low in range(1, n // EXPONENT + 1, step):
+                    yield pa.RecordBatch.from_arrays([pa.array([key], pa.binary()), pa.array([low], pa.int64()), pa.array([low + step], pa.int64()), pa.array([ids.tobytes()], pa.binary())], ["key", "low", "high", "ids"])
+
+    return run
 
 
 def _scan_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +145,7 @@ def _with_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id")[k : k + 1], pa.array([len(words)], pa.int64()), pa.array([runs], _RUNS), pa.array([kept], pa.binary())], ["doc_id", "n_words", "runs", "collapsed"])
 
 
-def periodic_runs(docs: DataFrame) -> DataFrame:
+def periodic_runs(docs: DataFrame, long_bytes: int = LONG, work: int = WORK) -> DataFrame:
     """doc_id, n_words, runs (start, length, period; by start, then period) and the text without its repetitions.
 
     A run is a stretch of words with smallest period q and at least max(LEAST, EXPONENT * q) words that no neighbour
@@ -150,9 +154,9 @@ def periodic_runs(docs: DataFrame) -> DataFrame:
     doc_id and text are read, so other columns' names don't matter.
     """
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    short = rows.where(F.octet_length("text") <= LONG).mapInArrow(_whole, FOUND)
-    long = rows.where(F.octet_length("text") > LONG).withColumn("key", F.unhex(F.sha2("text", 256)))
-    dealt = long.select("key", "text").mapInArrow(_ranges, "key binary, low long, high long, ids binary").repartition(partitions(docs.sparkSession), "key", "low")
+    short = rows.where(F.octet_length("text") <= long_bytes).mapInArrow(_whole, FOUND)
+    long = rows.where(F.octet_length("text") > long_bytes).withColumn("key", F.unhex(F.sha2("text", 256)))
+    dealt = long.select("key", "text").mapInArrow(_ranges(work), "key binary, low long, high long, ids binary").repartition(partitions(docs.sparkSession), "key", "low")
     least = dealt.mapInArrow(_scan_ranges, "key binary, start long, length long, period long").groupBy("key", "start", "length").agg(F.min("period").alias("period"))
     by_start = F.array_sort(F.collect_list(F.struct("start", "period", "length")))  # of one text: fewer than its words
     runs = least.groupBy("key").agg(F.transform(by_start, lambda r: F.struct(r["start"].alias("start"), r["length"].alias("length"), r["period"].alias("period"))).alias("runs"))

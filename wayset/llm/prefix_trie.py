@@ -121,28 +121,32 @@ def slice_nodes(keys: list[bytes], chars: list, counts: list[int], convs: list[i
     return rows
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key."""
-    fresh()
-    context = TaskContext.get()
-    number = (context.partitionId() if context else 0) << 28
-    held: list[tuple] = []
-    size = 0
-
-    def done() -> pa.RecordBatch:
-        columns = [list(c) for c in zip(*held, strict=True)]
-        rows = slice_nodes(*columns, number)
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t.type) for k, t in enumerate(_ARROW)], schema=_ARROW)
-
-    for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("key", "chars", "n", "conv_id", "seq")), strict=True):
-            if held and (len(held) == SLICE or size + len(row[0]) > SLICE_BYTES):
-                yield done()
-                held, size, number = [], 0, number + 1
-            held.append(row)
-            size += len(row[0]) + 64
-    if held:
-        yield done()
+def _slices(most: int):
+    """Tasks that cut their stretch of sequences, which come sorted by key, into slices of at most ``most``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
+        context = TaskContext.get()
+        number = (context.partitionId() if context else 0) << 28
+        held: list[tuple] = []
+        size = 0
+
+        def done() -> pa.RecordBatch:
+            columns = [list(c) for c in zip(*held, strict=True)]
+            rows = slice_nodes(*columns, number)
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t.type) for k, t in enumerate(_ARROW)], schema=_ARROW)
+
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "chars", "n", "conv_id", "seq")), strict=True):
+                if held and (len(held) == most or size + len(row[0]) > SLICE_BYTES):
+                    yield done()
+                    held, size, number = [], 0, number + 1
+                held.append(row)
+                size += len(row[0]) + 64
+        if held:
+            yield done()
+
+    return run
 
 
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +210,7 @@ def _spine(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     return final, places.select("path", "depth", "conv_id")
 
 
-def prefix_trie(found: DataFrame) -> DataFrame:
+def prefix_trie(found: DataFrame, most: int = SLICE) -> DataFrame:
     """conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 of every node.
 
     ``found`` is (conv_id, path) with unique ids. A node is a distinct prefix of turns, from the root without turns;
@@ -219,7 +223,7 @@ def prefix_trie(found: DataFrame) -> DataFrame:
     keyed = stored(found.select("conv_id", key, F.transform("path", lambda t: t["chars"]).alias("chars")).withColumn("seq", F.md5("key")), "paths")
     sequences = keyed.groupBy("key", "chars", "seq").agg(F.count("*").alias("n"), F.min("conv_id").alias("conv_id"))
     dealt = sequences.repartitionByRange(partitions(spark), "key").sortWithinPartitions("key")
-    nodes = stored(dealt.mapInArrow(_slices, _SCHEMA), "nodes")
+    nodes = stored(dealt.mapInArrow(_slices(most), _SCHEMA), "nodes")
     spine, places = _spine(nodes)
     columns = ["depth", "conv_id", "n_convs", "n_children", "n_leaves", "saved", "seq", "parent_conv_id"]
     off = nodes.where("not spine")
