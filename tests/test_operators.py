@@ -158,13 +158,6 @@ def test_bridge_pushes_membership_down(spark, sf_dir, tmp_path):
     assert found.count() == segs.where(filters.has_ref(4)).count()
 
 
-def test_cells_prune(spark, sf_dir, tmp_path):
-    segs = model.segments(spark, sf_dir)
-    model.write_segments(segs, str(tmp_path / "cells"))
-    found = spark.read.parquet(str(tmp_path / "cells")).where("cell = 1")
-    assert found.count() == segs.where("w >= 10 and w < 20").count()
-
-
 def test_merged_sums(spark, sf_dir):
     segs = model.segments(spark, sf_dir)
     halves = [aggregate.sums_by_set(segs.where(f"id % 2 = {k}")) for k in (0, 1)]

@@ -66,8 +66,6 @@ def encode_array(refs: Column) -> Column:
 
 #: A part of a range list: a number, or two with a hyphen; nothing around them, no line end after them.
 PART = r"\A[0-9]+(-[0-9]+)?\z"
-#: The largest designation that a range list is expanded to; what lies above it is left out.
-LARGEST = 9_999
 _ENDLESS = 2**63 - 1
 
 
@@ -83,10 +81,26 @@ def range_bounds(text: Column) -> Column:
     return F.filter(bounds, lambda x: x["b"] >= x["a"])
 
 
-def decode_ranges(text: Column, largest: int = LARGEST) -> Column:
-    """The numbers of a range list up to ``largest``, in its order, repeats kept; a part gives no more than those."""
-    bounds = F.filter(range_bounds(text), lambda x: x["a"] <= largest)
-    return F.flatten(F.transform(bounds, lambda x: F.sequence(x["a"].cast("int"), F.least(x["b"], F.lit(largest)).cast("int"))))
+def decode_ranges(text: Column) -> Column:
+    """The numbers of a range list as an array, in its order, repeats kept. For lists that an array can hold;
+    ``expand_ranges`` gives rows for any list."""
+    return F.flatten(F.transform(range_bounds(text), lambda x: F.sequence(x["a"], x["b"])))
+
+
+#: Numbers that one step of ``expand_ranges`` holds at once.
+_STRETCH = 4096
+
+
+def expand_ranges(rows: DataFrame, text: str) -> DataFrame:
+    """One row per number of each row's range list: ``part`` (from 0, among valid ones) and ``ref``; repeats are kept.
+
+    However wide a range is, no array holds more than a stretch of it; a row without a valid part gives none.
+    """
+    parts = rows.select("*", F.posexplode(range_bounds(F.col(text))).alias("part", "__r"))
+    steps = F.sequence(F.lit(0).cast("long"), F.floor((F.col("__r.b") - F.col("__r.a")) / _STRETCH))
+    begun = parts.withColumn("__at", F.explode(steps)).withColumn("__from", F.col("__r.a") + F.col("__at") * _STRETCH)
+    numbers = F.sequence(F.col("__from"), F.least(F.col("__r.b"), F.col("__from") + (_STRETCH - 1)))
+    return begun.withColumn("ref", F.explode(numbers)).drop("__r", "__at", "__from")
 
 
 def merge_ranges(text: Column) -> Column:

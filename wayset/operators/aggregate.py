@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .filters import any_ref
@@ -10,17 +10,26 @@ from .filters import any_ref
 LENGTH = "decimal(18,2)"
 
 
+def top_one(rows: DataFrame, key: str | list[str], *order: str | Column) -> DataFrame:
+    """Each key's first row in ``order``, which should be total. Every task keeps one row of a key before rows move."""
+    first = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    return rows.withColumn("__first", first).where("__first = 1").drop("__first")
+
+
 def combine(segs: DataFrame) -> DataFrame:
-    """One row per distinct set: refs, n, km, arcs, distinct names and the first of them, extent.
+    """One row per distinct set: refs, n, km, arcs, number of distinct names and the first of them, extent.
 
     Sets must be sorted and without repeats. Names are counted, not gathered; ``with_names`` lists those of rows that
-    are shown.
+    are shown. Sums and names are aggregated apart, so that sums need no sort.
     """
-    name = F.nullif("name", F.lit(""))
-    return segs.groupBy("refs").agg(
-        F.max("n").alias("n"), F.sum("km").cast(LENGTH).alias("km"), F.count("*").alias("arcs"), F.count_distinct(name).alias("n_names"), F.min(name).alias("first_name"),
-        F.min("w").alias("w"), F.min("s").alias("s"), F.max("e").alias("e"), F.max("t").alias("t"),
+    summed = segs.groupBy("refs").agg(
+        F.max("n").alias("n"), F.sum("km").cast(LENGTH).alias("km"), F.count("*").alias("arcs"), F.min("w").alias("w"), F.min("s").alias("s"), F.max("e").alias("e"), F.max("t").alias("t"),
     )
+    names = segs.where("name <> ''").select("refs", "name").distinct()
+    counted = names.groupBy("refs").agg(F.count("*").alias("n_names"))
+    first = top_one(names, "refs", "name").withColumnRenamed("name", "first_name")
+    named = summed.join(counted.join(first, "refs"), "refs", "left").withColumn("n_names", F.coalesce("n_names", F.lit(0)))
+    return named.select("refs", "n", "km", "arcs", "n_names", "first_name", "w", "s", "e", "t")
 
 
 def with_names(shown: DataFrame, segs: DataFrame) -> DataFrame:
@@ -75,9 +84,8 @@ def edit_range(segs: DataFrame) -> DataFrame:
 
 
 def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The row of each key that comes last in ``order``."""
-    whole = F.struct(order, *(c for c in rows.columns if c != order))
-    return rows.groupBy(F.col(key).alias("__key")).agg(F.max(whole).alias("r")).select("r.*").select(*rows.columns)
+    """The row of each key that comes last in ``order``; of rows that come last together, the greatest."""
+    return top_one(rows, key, F.desc(order), *(F.desc(c) for c in rows.columns if c not in (key, order)))
 
 
 def bucketed(rows: DataFrame, column: str, width: int = 256) -> DataFrame:
@@ -87,9 +95,7 @@ def bucketed(rows: DataFrame, column: str, width: int = 256) -> DataFrame:
 
 def deepest(hits: DataFrame, key: str = "cell", order: str = "id") -> DataFrame:
     """The hit with most designations per key, the first on a tie; depths may come as text."""
-    depth = F.col("n").try_cast("int")
-    first = F.min_by(F.struct(*hits.columns), F.struct(depth.isNull(), -depth, order))
-    return hits.groupBy(F.col(key).alias("__key")).agg(first.alias("__first")).select("__first.*")
+    return top_one(hits, key, F.desc_nulls_last(F.col("n").try_cast("int")), F.asc(order))
 
 
 def concurrencies(combos: DataFrame, selected) -> DataFrame:

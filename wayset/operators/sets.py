@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .aggregate import top_one
+
 
 def known_only(selection: DataFrame, routes: DataFrame) -> DataFrame:
     """Selected designations that exist. If none is left the selection is empty, which means everything."""
@@ -42,13 +44,6 @@ def region_or_default(asked: DataFrame, regions: DataFrame, default: DataFrame)
     return asked.join(regions, "region", "left").join(F.broadcast(whole)).select("region", *(F.coalesce(c, f"__{c}").alias(c) for c in "wset"))
 
 
-def point_hits(points: DataFrame, segs: DataFrame, cell: float = 5.0) -> DataFrame:
-    """Segments whose extent holds a point. Both sides meet by grid cell, then the exact test follows."""
-    cells = segs.withColumn("__cell", F.explode(F.sequence(F.floor(F.col("w") / cell), F.floor(F.col("e") / cell))))
-    at = points.withColumn("__cell", F.floor(F.col("x") / cell))
-    return at.join(cells, "__cell").where("x between w and e and y between s and t").drop("__cell")
-
-
 def full_compare(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
     """Two builds key by key: added, removed, changed or same."""
     a, b = old.select(F.col(key).alias("k"), F.col(value).alias("old"), F.lit(1).alias("in_old")), new.select(F.col(key).alias("k2"), F.col(value).alias("new"), F.lit(1).alias("in_new"))
@@ -58,8 +53,7 @@ def full_compare(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFr
 
 def seam_dedup(builds: DataFrame, key: str = "id", order: str = "region") -> DataFrame:
     """One row per key over overlapping regional builds: the first region's."""
-    first = F.min_by(F.struct(*builds.columns), F.col(order))
-    return builds.groupBy(F.col(key).alias("__key")).agg(first.alias("__first")).select("__first.*")
+    return top_one(builds, key, order)
 
 
 def all_ends(shared: DataFrame, single: DataFrame) -> DataFrame:

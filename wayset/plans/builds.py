@@ -2,116 +2,77 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import aggregate, filters, sets
+from ..operators import aggregate, sets
+from ..sources import files, regional
 from ..sources import segments as model
 from ..sources.segments import ENDPOINTS_SQL, segments, sums, table
-from ..sources.store import at_exit_removed, shared_dir
+from ..sources.store import fresh_path, once
 from .registry import COMBOS, LIST, NATION_COMBOS, NATIONS, REGION_COMBOS, REGIONS, joined, km, query, rows
 
 
-def _path(spark, name: str) -> str:
-    return at_exit_removed(spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-
-
 # Documents and layouts
 
-_POINTS = "SELECT ref, place, substr(place, 9, 2)::INTEGER AS lon, substr(place, 12, 2)::INTEGER AS lat FROM points"
+POINTS = "SELECT ref, place, substr(place, 9, 2)::INTEGER AS lon, substr(place, 12, 2)::INTEGER AS lat FROM points"
 
 
-def _placed(ends):
+def placed(ends):
     return ends.withColumn("lon", F.substring("place", 9, 2).cast("double")).withColumn("lat", F.substring("place", 12, 2).cast("double"))
 
 
-def _document(spark, sf_dir):
-    """The display document of the region sets and of the events' ends, written and read back."""
-    combos = aggregate.combine(segments(spark, sf_dir)).select("refs", "n", F.col("km").cast("double").alias("km"), "arcs", F.struct("w", "s", "e", F.col("t").alias("n")).alias("bbox"))
-    code = F.ascii("ref").alias("ref")
-    ends = _placed(model.endpoints(spark, sf_dir).select(code, "place"))
-    shared = sets.shared_ends(ends).join(ends.select("place", "lon", "lat").distinct(), "place").select("refs", "lon", "lat")
-    single = sets.single_ends(ends).join(ends.select("place", "lon", "lat").distinct(), "place").select("ref", "lon", "lat")
-    path = _path(spark, "metadata")
-    model.write_metadata(spark, path, combos, shared, single)
-    return model.read_metadata(spark, path)
-
-
-@query("document_combinations", REGION_COMBOS + f"SELECT row_number() OVER (ORDER BY refs) - 1 AS pos, {LIST}, n, km::DOUBLE AS km, arcs, w, t AS north FROM combos")
-def document_combinations(spark, sf_dir):
-    found = model.relation(_document(spark, sf_dir), "combinations")
-    return found.select(F.col("pos").cast("long").alias("pos"), joined("refs"), "n", "km", "arcs", F.col("bbox.w").alias("w"), F.col("bbox.n").alias("north"))
-
-
-@query("document_ends", ENDPOINTS_SQL + f", placed AS ({_POINTS}), met AS (SELECT place, lon, lat, list_sort(list_distinct(list(ascii(ref)))) AS refs FROM placed GROUP BY 1, 2, 3) SELECT {LIST}, lon::DOUBLE AS lon, lat::DOUBLE AS lat, CASE WHEN len(refs) >= 2 THEN 1 ELSE 0 END::INTEGER AS shared FROM met")
-def document_ends(spark, sf_dir):
-    doc = _document(spark, sf_dir)
-    shared = model.relation(doc, "shared_termini").select("refs", "lon", "lat", F.lit(1).alias("shared"))
-    single = model.relation(doc, "termini").select(F.array("ref").alias("refs"), "lon", "lat", F.lit(0).alias("shared"))
-    return shared.unionByName(single).orderBy(F.desc("shared"), "lon", "lat").select(joined("refs"), "lon", "lat", "shared")
-
-
-@query("ends_features", ENDPOINTS_SQL + f""", placed AS ({_POINTS}), met AS (SELECT place, lon, lat, list_sort(list_distinct(list(ref))) AS refs FROM placed GROUP BY 1, 2, 3)
+@query("ends_features", ENDPOINTS_SQL + f""", placed AS ({POINTS}), met AS (SELECT place, lon, lat, list_sort(list_distinct(list(ref))) AS refs FROM placed GROUP BY 1, 2, 3)
 SELECT CASE WHEN len(refs) >= 2 THEN 1 ELSE 0 END::INTEGER AS shared, '{{"type":"Feature","properties":{{"refs":",' || array_to_string(refs, ',') || ',","label":"' || array_to_string(refs, '・') || '","shared":' || CASE WHEN len(refs) >= 2 THEN 1 ELSE 0 END || ',"count":' || len(refs) || '}},"geometry":{{"type":"Point","coordinates":[' || lon || ',' || lat || ']}}}}' AS feature FROM met""")
 def ends_features(spark, sf_dir):
     """All ends as GeoJSON features, shared ones first."""
     ends = model.endpoints(spark, sf_dir)
-    every = _placed(sets.all_ends(sets.shared_ends(ends), sets.single_ends(ends)))
+    every = placed(sets.all_ends(sets.shared_ends(ends), sets.single_ends(ends)))
     return model.features(every.withColumn("lon", F.col("lon").cast("int")).withColumn("lat", F.col("lat").cast("int"))).orderBy(F.desc("shared"), "feature")
 
 
 @query("region_index", "SELECT r_name AS region, r_regionkey::DOUBLE AS w, 0.0::DOUBLE AS s, (r_regionkey + 1)::DOUBLE AS e, 1.0::DOUBLE AS north FROM region")
 def region_index(spark, sf_dir):
-    path = _path(spark, "regions")
+    path = fresh_path(spark, "regions")
     boxes = table(spark, sf_dir, "region").select(F.col("r_name").alias("region"), F.col("r_regionkey").cast("double").alias("w"), F.lit(0.0).alias("s"), (F.col("r_regionkey") + 1).cast("double").alias("e"), F.lit(1.0).alias("t"))
     model.write_regions(boxes, path)
     return model.read_regions(spark, path).select("region", "bbox.w", "bbox.s", "bbox.e", F.col("bbox.n").alias("north"))
 
 
-@query("cell_scan", NATIONS + f"SELECT id, {LIST}, floor(w / 10)::INTEGER AS cell FROM seg WHERE w >= 10 AND w < 30")
-def cell_scan(spark, sf_dir):
-    """A view's segments: only the folders of the cells that it shows are read."""
-    path = _path(spark, "cells")
-    model.write_segments(segments(spark, sf_dir, "nation"), path)
-    return spark.read.parquet(path).where("cell >= 1 and cell < 3").select("id", joined("refs"), "cell")
-
-
 # Regional builds
 
 #: Overlapping boxes over the extent of the segments: quantity, and discount in whole hundredths.
 _BOXES = (("north", 1.0, 0.0, 12.0, 0.04), ("south", 10.0, 0.03, 25.0, 0.07), ("east", 20.0, 0.0, 40.0, 0.05), ("west", 5.0, 0.06, 8.0, 0.1))
-_BOX_SQL = "boxes AS (SELECT * FROM (VALUES " + ", ".join(f"('{r}', {w}, {s}, {e}, {t})" for r, w, s, e, t in _BOXES) + ") v(region, bw, bs, be, bt))"
+BOX_SQL = "boxes AS (SELECT * FROM (VALUES " + ", ".join(f"('{r}', {w}, {s}, {e}, {t})" for r, w, s, e, t in _BOXES) + ") v(region, bw, bs, be, bt))"
 #: Segments are small here: each has the least quantity and discount of its order as its place.
 _SMALL = "small AS (SELECT * REPLACE (w AS e, s AS t) FROM seg)"
-_CUT = f", {_SMALL}, {_BOX_SQL}, cut AS (SELECT region, small.* FROM small JOIN boxes ON w <= be AND e >= bw AND s <= bt AND t >= bs)"
+CUT = f", {_SMALL}, {BOX_SQL}, cut AS (SELECT region, small.* FROM small JOIN boxes ON w <= be AND e >= bw AND s <= bt AND t >= bs)"
 
 
-def _extracts(spark, sf_dir):
+def extracts(spark, sf_dir):
     small = segments(spark, sf_dir).withColumn("e", F.col("w")).withColumn("t", F.col("s"))
     return sets.extract(small, rows(spark, "region string, w double, s double, e double, t double", *_BOXES))
 
 
-@query("regional_extract", REGIONS + _CUT + " SELECT region, id FROM cut")
+@query("regional_extract", REGIONS + CUT + " SELECT region, id FROM cut")
 def regional_extract(spark, sf_dir):
-    return _extracts(spark, sf_dir).select("region", "id")
+    return extracts(spark, sf_dir).select("region", "id")
 
 
-@query("regional_roll_up", REGIONS + _CUT + ", merged AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY region) AS r FROM cut) WHERE r = 1), " + COMBOS.replace("FROM seg", "FROM merged") + f" SELECT {LIST}, n, km::DOUBLE AS km, arcs FROM combos")
+@query("regional_roll_up", REGIONS + CUT + ", merged AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY region) AS r FROM cut) WHERE r = 1), " + COMBOS.replace("FROM seg", "FROM merged") + f" SELECT {LIST}, n, km::DOUBLE AS km, arcs FROM combos")
 def regional_roll_up(spark, sf_dir):
     """Each region's build in a folder of its own; all are read as one, seams are removed, then sets are rolled up."""
-    path = _path(spark, "builds")
-    model.write_regional(_extracts(spark, sf_dir), path)
+    path = fresh_path(spark, "builds")
+    regional.write_regional(extracts(spark, sf_dir), path)
     return aggregate.sums_by_set(sets.seam_dedup(spark.read.parquet(path))).select(joined("refs"), "n", km(), "arcs")
 
 
 _EXPECTED = (("north", "arcs", 400), ("north", "deepest", 5), ("south", "arcs", 1), ("south", "deepest", 6), ("east", "deepest", 4), ("nowhere", "arcs", 10))
 
 
-@query("region_expectations", REGIONS + _CUT + ", found AS (SELECT region, 'arcs' AS fact, count(*) AS value FROM cut GROUP BY 1 UNION ALL SELECT region, 'deepest', max(n) FROM cut GROUP BY 1), expected AS (SELECT * FROM (VALUES " + ", ".join(map(repr, _EXPECTED)) + ") v(region, fact, value)) SELECT region, fact, coalesce(f.value, 0)::BIGINT AS found, e.value::BIGINT AS expected, CASE WHEN coalesce(f.value, 0) < e.value THEN 'low' WHEN f.value > e.value THEN 'high' ELSE 'ok' END AS state FROM expected e LEFT JOIN found f USING (region, fact)")
+@query("region_expectations", REGIONS + CUT + ", found AS (SELECT region, 'arcs' AS fact, count(*) AS value FROM cut GROUP BY 1 UNION ALL SELECT region, 'deepest', max(n) FROM cut GROUP BY 1), expected AS (SELECT * FROM (VALUES " + ", ".join(map(repr, _EXPECTED)) + ") v(region, fact, value)) SELECT region, fact, coalesce(f.value, 0)::BIGINT AS found, e.value::BIGINT AS expected, CASE WHEN coalesce(f.value, 0) < e.value THEN 'low' WHEN f.value > e.value THEN 'high' ELSE 'ok' END AS state FROM expected e LEFT JOIN found f USING (region, fact)")
 def region_expectations(spark, sf_dir):
-    facts = _extracts(spark, sf_dir).groupBy("region").agg(F.count("*").alias("arcs"), F.max("n").cast("long").alias("deepest"))
+    facts = extracts(spark, sf_dir).groupBy("region").agg(F.count("*").alias("arcs"), F.max("n").cast("long").alias("deepest"))
     found = facts.unpivot("region", ["arcs", "deepest"], "fact", "value")
     return sets.against_expected(found, rows(spark, "region string, fact string, value long", *_EXPECTED))
 
@@ -158,20 +119,6 @@ def draw_order(spark, sf_dir):
     return segments(spark, sf_dir, "nation").orderBy("n", "id").select("n", "id")
 
 
-@query("minzoom", "SELECT z::INTEGER AS z, layer, z >= CASE layer WHEN 'route-labels' THEN 8 WHEN 'termini-label' THEN 9 ELSE 0 END AS shown FROM range(5, 12) a(z), (VALUES ('roads'), ('route-labels'), ('termini-label')) b(layer)")
-def minzoom(spark, sf_dir):
-    zooms = spark.range(5, 12).select(F.col("id").cast("int").alias("z"))
-    each = F.array(*(F.struct(F.lit(layer).alias("layer"), (F.col("z") >= filters.MINZOOM.get(layer, 0)).alias("shown")) for layer in ("roads", "route-labels", "termini-label")))
-    return zooms.select("z", F.explode(each).alias("v")).select("z", "v.*")
-
-
-@query("line_width_variants", "SELECT z, round(CASE WHEN z <= 6 THEN 0.9 WHEN z <= 9 THEN 0.9 + 0.9 * (z - 6) / 3.0 WHEN z <= 12 THEN 1.8 + 1.4 * (z - 9) / 3.0 WHEN z <= 15 THEN 3.2 + 2.8 * (z - 12) / 3.0 ELSE 6 END, 6)::DOUBLE AS unscaled, round(2 + CASE WHEN z <= 6 THEN 0.9 WHEN z <= 9 THEN 0.9 + 0.9 * (z - 6) / 3.0 WHEN z <= 12 THEN 1.8 + 1.4 * (z - 9) / 3.0 WHEN z <= 15 THEN 3.2 + 2.8 * (z - 12) / 3.0 ELSE 6 END, 6)::DOUBLE AS casing FROM (SELECT z::DOUBLE AS z FROM range(4, 18) a(z))")
-def line_width_variants(spark, sf_dir):
-    z = F.col("id").cast("double")
-    plain, wider = scalar.line_width(z, F.lit(4), scale=False), scalar.line_width(z, F.lit(1), add=2.0)
-    return spark.range(4, 18).select(z.alias("z"), F.round(plain, 6).alias("unscaled"), F.round(wider, 6).alias("casing"))
-
-
 @query("ranking_names", NATION_COMBOS + f"SELECT {LIST}, n, CASE WHEN len(names) > 0 THEN array_to_string(names, ' / ') END AS names FROM (SELECT * FROM combos WHERE n >= 2 ORDER BY n DESC, km DESC, refs LIMIT 25)")
 def ranking_names(spark, sf_dir):
     """The ranking's rows with the names of their segments."""
@@ -195,13 +142,35 @@ def camera_boxes(spark, sf_dir):
     return found.select(joined("refs"), usable.alias("usable"), ((F.col("w") == F.col("e")) | (F.col("s") == F.col("t"))).alias("degenerate"), F.lit(scalar.BOX_ZOOM).alias("max_zoom"))
 
 
-_TASKS = '[tools]\nnode = "22"\n\n[tasks.one]\nrun = "a"\n\n[tasks.two]\nrun = """\na\nb\n"""\n\n[tasks.three]\nshell = "bash -c"\nrun = """\na\nb\n"""\n\n[tasks.four:x]\nrun = """\n\na\n"""\n', "", '[tasks.only]\nrun = """\nx\n\ny\n"""'
-_TASK_VALUES = "(VALUES " + ", ".join(f"({i}, '" + t.replace("\n", "' || chr(10) || '") + "')" for i, t in enumerate(_TASKS)) + ")"
+#: Task files made of pages: one of fifty files has the pages of a remainder, each as a task of several lines. Pages
+#: whose number divides by three name a shell.
+_TASK_SQL = """files AS (SELECT page_id % 50 AS name, string_agg('[tasks.p' || page_id || ']' || chr(10) || CASE WHEN page_id % 3 = 0 THEN 'shell = "bash -c"' || chr(10) ELSE '' END || 'run = \"\"\"' || chr(10) || CASE WHEN page_id % 7 = 0 THEN 'one' ELSE url || chr(10) || 'two' END || chr(10) || '\"\"\"' || chr(10), chr(10) ORDER BY page_id) AS t FROM pages GROUP BY 1)"""
+
 
+def _task_files(spark, sf_dir):
+    """The files' folder, written once."""
 
-@query("bare_tasks", f"""WITH parts AS (SELECT i, unnest(string_split(chr(10) || t, chr(10) || '[tasks.')[2:]) AS p, generate_subscripts(string_split(chr(10) || t, chr(10) || '[tasks.')[2:], 1) AS o FROM {_TASK_VALUES} v(i, t)),
-found AS (SELECT i, o, split_part(p, ']', 1) AS task, len(list_filter(string_split(split_part(split_part(p, 'run = \"\"\"', 2), '\"\"\"', 1), chr(10)), lambda x: trim(x) <> '')) > 1 AND NOT contains(p, chr(10) || 'shell = ') AS bare FROM parts)
-SELECT v.i, coalesce((SELECT string_agg(task, ',' ORDER BY o) FROM found f WHERE f.i = v.i AND bare), '') AS tasks FROM {_TASK_VALUES} v(i, t)""")
+    def write(path: str) -> None:
+        shell = F.when(F.col("page_id") % 3 == 0, 'shell = "bash -c"\n').otherwise("")
+        lines = F.when(F.col("page_id") % 7 == 0, F.lit("one")).otherwise(F.concat("url", F.lit("\ntwo")))
+        task = F.concat(F.lit("[tasks.p"), F.col("page_id").cast("string"), F.lit("]\n"), shell, F.lit('run = """\n'), lines, F.lit('\n"""\n'))
+        each = table(spark, sf_dir, "pages").select((F.col("page_id") % 50).alias("name"), F.struct("page_id", task.alias("t")).alias("p"))
+        text = F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["t"]), "\n")  # one file's tasks
+        files.write_texts(each.groupBy("name").agg(text.alias("text")), path)
+
+    return once(spark, "tasks", [f"{sf_dir}/pages.parquet"], write)
+
+
+@query("bare_tasks", f"""WITH {_TASK_SQL}, parts AS (SELECT name, unnest(string_split(chr(10) || t, chr(10) || '[tasks.')[2:]) AS p, generate_subscripts(string_split(chr(10) || t, chr(10) || '[tasks.')[2:], 1) AS o FROM files),
+found AS (SELECT name, o, split_part(p, ']', 1) AS task, len(list_filter(string_split(split_part(split_part(p, 'run = \"\"\"', 2), '\"\"\"', 1), chr(10)), lambda x: trim(x) <> '')) > 1 AND NOT contains(p, chr(10) || 'shell = ') AS bare FROM parts)
+SELECT f.name::BIGINT AS name, coalesce((SELECT string_agg(task, ',' ORDER BY o) FROM found x WHERE x.name = f.name AND bare), '') AS tasks FROM files f""")
 def bare_tasks(spark, sf_dir):
-    given = rows(spark, "i int, t string", *enumerate(_TASKS))
-    return given.select("i", F.array_join(scalar.bare_tasks(F.col("t")), ",").alias("tasks"))
+    """Tasks of several lines without a shell, in every task file of a folder."""
+    read = files.read_texts(spark, _task_files(spark, sf_dir))
+    return read.select(F.col("name").cast("long").alias("name"), F.array_join(scalar.bare_tasks(F.col("text")), ",").alias("tasks"))
+
+
+@query("file_sizes", f"WITH {_TASK_SQL} SELECT name::BIGINT AS name, length(t)::BIGINT AS chars, len(regexp_extract_all(t, '\\[tasks'))::INTEGER AS tasks FROM files")
+def file_sizes(spark, sf_dir):
+    read = files.read_texts(spark, _task_files(spark, sf_dir))
+    return read.select(F.col("name").cast("long").alias("name"), F.length("text").cast("long").alias("chars"), F.regexp_count("text", F.lit(r"\[tasks")).alias("tasks"))

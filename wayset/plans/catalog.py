@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import codec, scalar
-from ..operators import aggregate, filters, sets
+from ..operators import aggregate, filters, sets, spatial
 from ..sources.segments import ENDPOINTS_SQL, endpoints, members, segments, segments_sql, sums, table
-from . import builds  # noqa: F401  registers its queries
+from . import builds, evidence, stores  # noqa: F401  register their queries
 from .registry import LIST, NATION_COMBOS, NATIONS, ORACLES, QUERIES, REGION_COMBOS, REGIONS, joined, km, query, rows
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -199,7 +199,7 @@ def deepest_per_cell(spark, sf_dir):
 @query("point_hits", NATIONS + "SELECT p.p_partkey AS point, seg.id FROM (SELECT p_partkey, (p_size)::DOUBLE AS x, (p_partkey % 10) / 100.0::DOUBLE AS y FROM part) p JOIN seg ON x BETWEEN w AND e AND y BETWEEN s AND t")
 def point_hits(spark, sf_dir):
     points = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("point"), F.col("p_size").cast("double").alias("x"), ((F.col("p_partkey") % 10).cast("double") / 100.0).alias("y"))
-    return sets.point_hits(points, segments(spark, sf_dir, "nation")).select("point", "id")
+    return spatial.point_hits(points, segments(spark, sf_dir, "nation")).select("point", "id")
 
 
 @query("known_semi", "SELECT ref FROM (VALUES (3), (7), (24), (25), (999)) v(ref) WHERE ref IN (SELECT n_nationkey FROM nation)")
@@ -334,15 +334,21 @@ def encode_array(spark, sf_dir):
     return segments(spark, sf_dir, "nation").select("id", codec.encode_array(F.col("refs")).alias("ranges"))
 
 
-_RANGES = "1-3,5,7-9", "1-3,abc,,9-8,18", "1, 2", "1-3,2", "", "4\n", "246", "9990-999999999", "123456789012,7", "5-99999999999999999999,10000"
-_RANGE_VALUES = "(VALUES " + ", ".join(f"({i}, {t!r})" if "\n" not in t else f"({i}, '4' || chr(10))" for i, t in enumerate(_RANGES)) + ")"
-_BOUNDS = "SELECT i, o, split_part(p, '-', 1)::HUGEINT AS a, split_part(p, '-', CASE WHEN contains(p, '-') THEN 2 ELSE 1 END)::HUGEINT AS b FROM (SELECT i, unnest(string_split(t, ',')) AS p, generate_subscripts(string_split(t, ','), 1) AS o FROM {source}) WHERE regexp_full_match(p, '[0-9]+(-[0-9]+)?')"
+#: Range lists of customers: valid, reversed, repeated, malformed and wide parts. The same text in both engines.
+_LIST = "CASE c_custkey % 10 WHEN 0 THEN '1-3,abc,,9-8,' || c_custkey WHEN 1 THEN c_custkey || '-' || (c_custkey + 4) || ', 2' WHEN 2 THEN '1-3,2,' || c_nationkey WHEN 3 THEN '' WHEN 4 THEN 'x' || c_custkey WHEN 5 THEN '9990-' || (10100 + c_nationkey) WHEN 6 THEN '123456789012,' || c_custkey WHEN 7 THEN '5-4,' || c_custkey || '-' || c_custkey WHEN 8 THEN c_custkey || '-' || (c_custkey + 5000 * (CAST(floor(c_custkey % 100 / 98.0) AS INTEGER))) ELSE '007,' || c_nationkey || '-' END"
+_BOUNDS = "SELECT i, o, TRY_CAST(split_part(p, '-', 1) AS HUGEINT) AS a, TRY_CAST(split_part(p, '-', CASE WHEN contains(p, '-') THEN 2 ELSE 1 END) AS HUGEINT) AS b FROM (SELECT i, unnest(string_split(t, ',')) AS p, generate_subscripts(string_split(t, ','), 1) AS o FROM {source}) WHERE regexp_full_match(p, '[0-9]+(-[0-9]+)?')"
 
 
-@query("decode_ranges", f"WITH b AS ({_BOUNDS.format(source=_RANGE_VALUES + ' v(i, t)')}), x AS (SELECT i, o, unnest(generate_series(a::BIGINT, least(b, 9999)::BIGINT)) AS n FROM b WHERE b >= a AND a <= 9999), g AS (SELECT i, string_agg(n::VARCHAR, ',' ORDER BY o, n) AS refs FROM x GROUP BY i) SELECT v.i, coalesce(refs, '') AS refs FROM {_RANGE_VALUES} v(i, t) LEFT JOIN g ON g.i = v.i")
+@query("decode_ranges", f"WITH b AS ({_BOUNDS.format(source=f'(SELECT c_custkey AS i, {_LIST} AS t FROM customer)')}), v AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY o) - 1 AS part FROM b WHERE b >= a) SELECT i AS id, part::INTEGER AS part, unnest(generate_series(a::BIGINT, b::BIGINT)) AS ref FROM v")
 def decode_ranges(spark, sf_dir):
-    given = rows(spark, "i int, t string", *enumerate(_RANGES))
-    return given.select("i", joined(codec.decode_ranges(F.col("t"))))
+    given = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.expr(_LIST).alias("t"))
+    return codec.expand_ranges(given, "t").select("id", "part", "ref")
+
+
+@query("decode_array", f"WITH b AS ({_BOUNDS.format(source=f'(SELECT c_custkey AS i, {_LIST} AS t FROM customer)')}), x AS (SELECT i, o, unnest(generate_series(a::BIGINT, b::BIGINT)) AS n FROM b WHERE b >= a), g AS (SELECT i, string_agg(n::VARCHAR, ',' ORDER BY o, n) AS refs FROM x GROUP BY i) SELECT c_custkey AS id, coalesce(refs, '') AS refs FROM customer LEFT JOIN g ON g.i = c_custkey")
+def decode_array(spark, sf_dir):
+    given = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.expr(_LIST).alias("t"))
+    return given.select("id", joined(codec.decode_ranges(F.col("t"))))
 
 
 @query("decode_known", "SELECT DISTINCT c_custkey AS id, n_nationkey AS ref FROM (SELECT c_custkey, c_nationkey AS a, c_nationkey + c_custkey % 7 AS b FROM customer UNION ALL SELECT c_custkey, 20, 999999999999 FROM customer WHERE c_custkey % 3 = 0) JOIN nation ON n_nationkey BETWEEN a AND b")
@@ -354,20 +360,32 @@ def decode_known(spark, sf_dir):
     return codec.decode_known(given, "t", known).select("id", "ref")
 
 
-@query("refs_parse", "SELECT i, array_to_string(list_transform(list_filter(string_split(coalesce(t, ''), ','), lambda x: x <> ''), lambda x: try_cast(x AS INTEGER)), ',') AS refs, len(list_filter(string_split(coalesce(t, ''), ','), lambda x: x <> ''))::INTEGER AS n FROM (VALUES (0, ',7,8,17,'), (1, ',18,'), (2, ''), (3, NULL)) v(i, t)")
+_WRAPPED = "CASE id % 5 WHEN 0 THEN '' WHEN 1 THEN ',x,' || {refs} || ',' WHEN 2 THEN NULL ELSE ',' || {refs} || ',' END"
+
+
+@query("refs_parse", NATIONS + f"SELECT id, array_to_string(list_transform(list_filter(string_split(coalesce(t, ''), ','), lambda x: x <> ''), lambda x: try_cast(x AS INTEGER)), ',') AS refs, len(list_filter(string_split(coalesce(t, ''), ','), lambda x: x <> ''))::INTEGER AS n FROM (SELECT id, {_WRAPPED.format(refs="array_to_string(refs, ',')")} AS t FROM seg)")
 def refs_parse(spark, sf_dir):
-    given = rows(spark, "i int, t string", (0, ",7,8,17,"), (1, ",18,"), (2, ""), (3, None))
-    return given.select("i", joined(codec.parse_refs(F.col("t"))), F.size(codec.parse_refs(F.col("t"))).alias("n"))
+    given = segments(spark, sf_dir, "nation").select("id", F.expr(_WRAPPED.format(refs="array_join(refs, ',')")).alias("t"))
+    return given.select("id", joined(codec.parse_refs(F.col("t"))), F.size(codec.parse_refs(F.col("t"))).alias("n"))
+
+
+@query("refs_round_trip", NATIONS + f"SELECT id, {LIST}, true AS same FROM seg")
+def refs_round_trip(spark, sf_dir):
+    """Sets written as range lists and as wrapped text, and read back: the same sets."""
+    segs = segments(spark, sf_dir, "nation")
+    back = codec.decode_ranges(codec.encode_array(F.col("refs"))).cast("array<int>")
+    return segs.select("id", joined(back), (codec.parse_refs(codec.wrap_refs(F.col("refs"))) == F.col("refs")).alias("same"))
 
 
 _STATES = (
     "routes=1-3%2C18&conc=all", "?conc=nonsense&labels=0", "labels&ferry=1&labels=0", "", "routes=&special=", "other=1&routes=5", "x=1&%ZZ=3&routes=5&routes=6", "x=%E0%A4%A&routes=7,8,9-12&termini=0",
     "routes=1-999999999,5&conc=all", "routes=123456789012,%ZZ,3", "routes=9-2,4-6,1-3,11", "expressway=%30&a=b=c&special=%",
 )
-_STATE_VALUES = "(VALUES " + ", ".join(f"({i}, {t!r})" for i, t in enumerate(_STATES)) + ")"
+#: Customers' query strings: each pattern with the customer's own number, the last with a list of its nation.
+_QUERY = f"CASE c_custkey % {len(_STATES) + 1} " + " ".join(f"WHEN {i} THEN {t!r}" for i, t in enumerate(_STATES)) + " ELSE 'conc=all&routes=' || c_nationkey || '-' || (c_nationkey + c_custkey % 4) || '%2C3' END || '&c=' || c_custkey"
 #: Escapes that are whole and give UTF-8 are decoded; a text with any other stays as it is.
 _DECODED = "CASE WHEN regexp_full_match({0}, '([^%]|%[0-9A-Fa-f]{{2}})*') THEN url_decode(replace({0}, '+', ' ')) ELSE {0} END"
-_STATE_SQL = f"""WITH given AS (SELECT * FROM {_STATE_VALUES} v(i, q)),
+_STATE_SQL = f"""WITH given AS (SELECT c_custkey AS i, {_QUERY} AS q FROM customer),
 pairs AS (SELECT i, o, {_DECODED.format("split_part(p, '=', 1)")} AS k, CASE WHEN contains(p, '=') THEN {_DECODED.format("substr(p, strpos(p, '=') + 1)")} ELSE '' END AS v
   FROM (SELECT i, unnest(string_split(regexp_replace(q, '^[?]', ''), '&')) AS p, generate_subscripts(string_split(regexp_replace(q, '^[?]', ''), '&'), 1) AS o FROM given) WHERE p <> ''),
 first AS (SELECT i, k, arg_min(v, o) AS v FROM pairs GROUP BY i, k),
@@ -382,7 +400,7 @@ SELECT given.i, (SELECT selected FROM chosen c WHERE c.i = given.i) AS selected,
 
 @query("state_decode", _STATE_SQL)
 def state_decode(spark, sf_dir):
-    found = rows(spark, "i int, q string", *enumerate(_STATES)).select("i", *codec.decode_state(F.col("q")))
+    found = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("i"), F.expr(_QUERY).alias("q")).select("i", *codec.decode_state(F.col("q")))
     return found.select("i", "selected", "conc", *(F.col(k).cast("string").alias(k) for k in codec.TOGGLES))
 
 
@@ -455,23 +473,54 @@ def _depth_case(values: list) -> str:
     return "CASE n WHEN 1 THEN {} WHEN 2 THEN {} WHEN 3 THEN {} ELSE {} END".format(*(repr(v) for v in values))
 
 
-@query("depth_style", f"SELECT n::VARCHAR AS n, {_depth_case(scalar.DEPTH_COLORS)} AS color, {_depth_case(scalar.DEPTH_LABELS)} AS label, ({_depth_case(scalar.DEPTH_WIDTHS)})::DOUBLE AS width FROM (VALUES (0), (1), (2), (3), (4), (6), (NULL)) v(n)")
+@query("depth_style", NATIONS + f"SELECT id, n::VARCHAR AS n, {_depth_case(scalar.DEPTH_COLORS)} AS color, {_depth_case(scalar.DEPTH_LABELS)} AS label, ({_depth_case(scalar.DEPTH_WIDTHS)})::DOUBLE AS width FROM (SELECT id, CASE WHEN id % 11 <> 0 THEN n - (id % 3)::INTEGER END AS n FROM seg)")
 def depth_style(spark, sf_dir):
+    """Each segment's style by depth; depths of 0 and below, and null ones, too."""
+    depth = F.when(F.col("id") % 11 != 0, F.col("n") - (F.col("id") % 3).cast("int"))
     n = F.col("n")
-    given = rows(spark, "n int", (0,), (1,), (2,), (3,), (4,), (6,), (None,))
-    return given.select(n.cast("string").alias("n"), scalar.by_depth(n, scalar.DEPTH_COLORS).alias("color"), scalar.by_depth(n, scalar.DEPTH_LABELS).alias("label"), scalar.by_depth(n, scalar.DEPTH_WIDTHS).alias("width"))
+    given = segments(spark, sf_dir, "nation").select("id", depth.alias("n"))
+    return given.select("id", n.cast("string").alias("n"), scalar.by_depth(n, scalar.DEPTH_COLORS).alias("color"), scalar.by_depth(n, scalar.DEPTH_LABELS).alias("label"), scalar.by_depth(n, scalar.DEPTH_WIDTHS).alias("width"))
+
+
+def _steps(z: str, *stops: tuple[float, float]) -> str:
+    """Linear between stops, for DuckDB."""
+    out = f"CASE WHEN {z} <= {stops[0][0]} THEN {stops[0][1]}::DOUBLE"
+    for (a, u), (b, v) in zip(stops, stops[1:], strict=False):
+        out += f" WHEN {z} <= {b} THEN {u} + ({v} - {u}) * (({z} - {a}) / {b - a}::DOUBLE)"
+    return out + f" ELSE {stops[-1][1]} END"
 
 
-@query("line_width", "SELECT z, n, round(CASE WHEN z <= 6 THEN 0.9 * m WHEN z <= 9 THEN 0.9 * m + (1.8 * m - 0.9 * m) * ((z - 6) / 3.0) WHEN z <= 12 THEN 1.8 * m + (3.2 * m - 1.8 * m) * ((z - 9) / 3.0) WHEN z <= 15 THEN 3.2 * m + (6 * m - 3.2 * m) * ((z - 12) / 3.0) ELSE 6 * m END, 6) AS width FROM (SELECT z::DOUBLE AS z, n::INTEGER AS n, (CASE n WHEN 1 THEN 1 WHEN 2 THEN 1.5 WHEN 3 THEN 2 ELSE 2.4 END)::DOUBLE AS m FROM range(4, 18) a(z), range(1, 6) b(n))")
+#: A zoom from 4 to 17 for each segment, in halves.
+_ZOOM = "(4 + id % 27 / 2.0)::DOUBLE"
+_WIDTHS = ((6, 0.9), (9, 1.8), (12, 3.2), (15, 6.0))
+
+
+def _zoomed(spark, sf_dir):
+    return segments(spark, sf_dir, "nation").select("id", "n", (F.lit(4.0) + (F.col("id") % 27) / 2.0).alias("z"))
+
+
+@query("line_width", NATIONS + f"SELECT id, z, n, round({_steps('z', *_WIDTHS)} * m, 6) AS width FROM (SELECT id, {_ZOOM} AS z, n, (CASE n WHEN 1 THEN 1 WHEN 2 THEN 1.5 WHEN 3 THEN 2 ELSE 2.4 END)::DOUBLE AS m FROM seg)")
 def line_width(spark, sf_dir):
-    grid = spark.range(4, 18).select(F.col("id").cast("double").alias("z"), F.explode(F.sequence(F.lit(1), F.lit(5))).alias("n"))
-    return grid.select("z", "n", F.round(scalar.line_width(F.col("z"), F.col("n")), 6).alias("width"))
+    return _zoomed(spark, sf_dir).select("id", "z", "n", F.round(scalar.line_width(F.col("z"), F.col("n")), 6).alias("width"))
 
 
-@query("text_styles", "SELECT z::DOUBLE AS z, round(CASE WHEN z <= 8 THEN 12 WHEN z >= 13 THEN 16 ELSE 12 + 4 * (z - 8) / 5.0 END, 6)::DOUBLE AS size, round(CASE WHEN z <= 7 THEN 5 WHEN z >= 13 THEN 9 ELSE 5 + 4 * (z - 7) / 6.0 END, 6)::DOUBLE AS shared, round(CASE WHEN z <= 7 THEN 3 WHEN z >= 13 THEN 5 ELSE 3 + 2 * (z - 7) / 6.0 END, 6)::DOUBLE AS single FROM range(4, 18) a(z)")
+@query("line_width_variants", NATIONS + f"SELECT id, z, round({_steps('z', *_WIDTHS)}, 6) AS unscaled, round(2 + {_steps('z', *_WIDTHS)}, 6) AS casing FROM (SELECT id, {_ZOOM} AS z FROM seg)")
+def line_width_variants(spark, sf_dir):
+    plain, wider = scalar.line_width(F.col("z"), F.lit(4), scale=False), scalar.line_width(F.col("z"), F.lit(1), add=2.0)
+    return _zoomed(spark, sf_dir).select("id", "z", F.round(plain, 6).alias("unscaled"), F.round(wider, 6).alias("casing"))
+
+
+@query("text_styles", NATIONS + f"SELECT id, z, round({_steps('z', (8, 12), (13, 16))}, 6) AS size, round(CASE WHEN shared = 1 THEN {_steps('z', (7, 5), (13, 9))} ELSE {_steps('z', (7, 3), (13, 5))} END, 6) AS radius FROM (SELECT id, {_ZOOM} AS z, CASE WHEN n >= 2 THEN 1 ELSE 0 END AS shared FROM seg)")
 def text_styles(spark, sf_dir):
-    z = F.col("id").cast("double")
-    return spark.range(4, 18).select(z.alias("z"), F.round(scalar.text_size(z), 6).alias("size"), F.round(scalar.end_radius(z, F.lit(1)), 6).alias("shared"), F.round(scalar.end_radius(z, F.lit(0)), 6).alias("single"))
+    shared = (F.col("n") >= 2).cast("int")
+    return _zoomed(spark, sf_dir).select("id", "z", F.round(scalar.text_size(F.col("z")), 6).alias("size"), F.round(scalar.end_radius(F.col("z"), shared), 6).alias("radius"))
+
+
+@query("minzoom", NATIONS + "SELECT id, layer, z >= CASE layer WHEN 'route-labels' THEN 8 WHEN 'termini-label' THEN 9 ELSE 0 END AS shown FROM (SELECT id, " + _ZOOM + " AS z FROM seg), (VALUES ('roads'), ('route-labels'), ('termini-label')) b(layer)")
+def minzoom(spark, sf_dir):
+    """Which layers show each segment at its zoom."""
+    each = F.array(*(F.struct(F.lit(layer).alias("layer"), (F.col("z") >= filters.MINZOOM.get(layer, 0)).alias("shown")) for layer in ("roads", "route-labels", "termini-label")))
+    return _zoomed(spark, sf_dir).select("id", F.explode(each).alias("v")).select("id", "v.*")
 
 
 @query("sign_width", "SELECT p_partkey AS ref, CASE WHEN length(p_partkey::VARCHAR) >= 3 THEN 332 WHEN length(p_partkey::VARCHAR) = 2 THEN 247 ELSE 115 END::INTEGER AS width FROM part")
@@ -484,7 +533,7 @@ def link_extract(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1), " ").alias("links"))
 
 
-@query("code_points", "SELECT c, lpad(lower(printf('%x', unicode(c))), 4, '0') AS hex FROM (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM documents) WHERE c <> '' AND unicode(c) < 65536")
+@query("code_points", "SELECT c, lpad(lower(printf('%x', unicode(c))), 4, '0') AS hex FROM (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM documents) WHERE c <> ''")
 def code_points(spark, sf_dir):
     signs = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(F.split("text", ""))).alias("c")).where("c <> ''").distinct()
     return signs.select("c", scalar.code_point_hex(F.col("c")).alias("hex"))

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.aggregate import sums_by_set
-from .store import written_once
+from ..operators.spatial import World, write_tiles
+from .store import once, written_once
 
 #: Fixture values and the kinds and evidence they stand for; the last priority stands for an unknown kind.
 KIND_OF = {"1-URGENT": "expressway", "2-HIGH": "construction", "3-MEDIUM": "road", "4-NOT SPECIFIED": "ferry"}
@@ -47,6 +48,15 @@ def sums(spark: SparkSession, sf_dir: str, by: str = "region") -> DataFrame:
     return _once(spark, sf_dir, f"sums-{by}", lambda: sums_by_set(segments(spark, sf_dir, by)))
 
 
+#: The box that tiles of segments halve: powers of two on either axis, so that shares of it are exact.
+WORLD = World(0.0, 0.0, 64.0, 0.125)
+
+
+def tiles(spark: SparkSession, sf_dir: str, by: str = "nation") -> str:
+    """The path of the segments' tiles, written once in Z-order."""
+    return once(spark, f"tiles-{by}", [f"{sf_dir}/{t}.parquet" for t in INPUTS], lambda path: write_tiles(segments(spark, sf_dir, by), path, WORLD))
+
+
 def members(spark: SparkSession, sf_dir: str, by: str = "region") -> DataFrame:
     """``bridge`` rows, written once: a membership filter is an equality on ``ref`` that reaches the scan."""
     return _once(spark, sf_dir, f"bridge-{by}", lambda: bridge(segments(spark, sf_dir, by)))
@@ -120,34 +130,12 @@ def write_bridge(segs: DataFrame, path: str) -> None:
     bridge(segs).write.mode("overwrite").parquet(path)
 
 
-def write_segments(segs: DataFrame, path: str, cell: float = 10.0) -> None:
-    """Segments by coarse cell of their extent, so that a view reads only the cells it shows."""
-    keyed = segs.withColumn("cell", F.floor(F.col("w") / cell).cast("int"))
-    keyed.repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(path)
-
-
-def write_metadata(spark: SparkSession, path: str, combos: DataFrame, shared: DataFrame, single: DataFrame) -> None:
-    """The display document that ``read_metadata`` reads, as one JSON line: combinations and both kinds of ends.
-
-    A document is for one client, so it is as large as what is shown; sums over all sets are answered from tables.
-    """
-    whole = lambda df, name: df.agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias(name))
-    doc = whole(combos, "combinations").join(F.broadcast(whole(shared, "shared_termini"))).join(F.broadcast(whole(single, "termini")))  # one row each
-    doc.write.mode("overwrite").json(path)
-
-
 def write_regions(boxes: DataFrame, path: str) -> None:
     """region, w, s, e, t as the region index that ``read_regions`` reads: one JSON list of some dozens of regions."""
     each = F.struct("region", F.struct("w", "s", "e", F.col("t").alias("n")).alias("bbox"))
     boxes.agg(F.to_json(F.array_sort(F.collect_list(each)))).write.mode("overwrite").text(path)
 
 
-def write_regional(segs: DataFrame, path: str) -> None:
-    """One folder per region's build; the builds are united by reading them as one table."""
-    spread = F.pmod(F.xxhash64("id"), F.lit(16))  # so that a large region has several files and tasks
-    segs.repartition("region", spread).write.mode("overwrite").partitionBy("region").parquet(path)
-
-
 def features(ends: DataFrame) -> DataFrame:
     """Ends (refs, lon, lat, shared) as one GeoJSON feature a row, with ``shared`` to put shared ones first."""
     refs = F.transform("refs", lambda r: r.cast("string"))

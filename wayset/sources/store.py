@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import hashlib
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,15 +46,35 @@ def _state(spark: SparkSession, path: str) -> str:
     return "\n".join(sorted(found))
 
 
-def written_once(spark: SparkSession, name: str, inputs: list[str], make: Callable[[], DataFrame]) -> DataFrame:
-    """What ``make`` gives, written at the first call of this application and read back at all later ones.
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the driver's process ends."""
+    return at_exit_removed(spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written in the shared folder and read back: computed once, and lineage ends there."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def once(spark: SparkSession, name: str, inputs: list[str], write: Callable[[str], None]) -> str:
+    """The path that ``write`` wrote to at the first call of this application.
 
     The folder's name holds the state of the input files, so changed inputs are computed anew.
     """
     state = hashlib.sha256("\n".join([name, *(_state(spark, i) for i in inputs)]).encode()).hexdigest()[:32]
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{state}"
-    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-        made = make()
-        made.write.mode("overwrite").parquet(at_exit_removed(spark, path))
-    return spark.read.parquet(path)
+    if not exists(spark, f"{path}/_SUCCESS"):
+        write(at_exit_removed(spark, path))
+    return path
+
+
+def written_once(spark: SparkSession, name: str, inputs: list[str], make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` gives, written at the first call of this application and read back at all later ones."""
+    return spark.read.parquet(once(spark, name, inputs, lambda path: make().write.mode("overwrite").parquet(path)))
