@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,3 +141,48 @@ def test_ids_with_several_texts(spark):
     rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (3, near(b)), (4, near(c)), (5, near(c)), (5, near(c))]
     found = {r["doc_id"]: r["component_id"] for r in op.link_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}
+
+
+def sections(n, kept=45, of=60, words=18):
+    """Texts that each hold ``kept`` of ``of`` common sections in a random order: similarity about 0.6 to each other."""
+    r = random.Random(11)
+    all_ = [" ".join(f"s{k}w{i}" for i in range(words)) for k in range(of)]
+    return [" ".join(all_[k] for k in sorted(r.sample(range(of), kept))) for _ in range(n)]
+
+
+def test_boilerplate_sections_are_not_compared_set_by_set():
+    """Every pair of texts shares bands, hardly any is similar enough: few full sets are compared."""
+    texts = [t.encode() for t in sections(400)]
+    hashes, sizes = op.shingle_sets(texts)
+    ends = np.cumsum(sizes)
+    bits = op.bit_sketches(hashes, sizes)
+    rows = [(k, b.tobytes(), hashes[e - n : e].tobytes()) for k, (b, e, n) in enumerate(zip(bits, ends, sizes, strict=True))]
+    batch = pd.DataFrame([(0, 0, role, k, k, b, s) for role in (0, 1) for k, b, s in rows], columns=["size", "number", "role", "node", "label", "bits", "shingles"])
+    compared = []
+    close = op._close
+    op._close = lambda a, b: (compared.append(1), close(a, b))[1]
+    try:
+        links = {tuple(x) for part in op._search_block([batch]) for x in part.itertuples(index=False)}
+    finally:
+        op._close = close
+    assert same_components(links, [t.decode() for t in texts])
+    assert len(compared) < 0.03 * 400 * 400
+
+
+def test_boilerplate_sections_equal_brute_force(spark):
+    texts = sections(150)
+    assert same_components(links_apart(spark, texts), texts)
+
+
+def test_long_sketches_tell_similar_from_alike(spark):
+    """Recall at the threshold, and how few pairs of similarity 0.6 pass."""
+    r = random.Random(2)
+    hits = {0.75: 0, 0.6: 0}
+    for share in hits:
+        n = 400
+        own = [[r.getrandbits(64) for _ in range(n)] for _ in range(40)]
+        common = round(2 * n * share / (1 + share))
+        pairs = [(x, x[:common] + [r.getrandbits(64) for _ in range(n - common)]) for x in own]
+        a, b = (op.bit_sketches(np.array([v for p in pairs for v in p[k]], np.uint64), np.full(len(pairs), n)) for k in (0, 1))
+        hits[share] = sum((k, k) in {tuple(x) for x in op.agreeing(a, b).tolist()} for k in range(len(pairs)))
+    assert hits[0.75] == 40 and hits[0.6] == 0
