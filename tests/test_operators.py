@@ -235,3 +235,29 @@ def test_telling_queries_give_rows(spark, sf_dir):
     for name in ("set_except", "broken_chain", "kind_coverage", "missing_both_ways", "chain_ends", "selection_all_dropped"):
         assert catalog.QUERIES[name](spark, sf_dir).count() > 0, name
     assert {r["state"] for r in catalog.QUERIES["region_expectations"](spark, sf_dir).collect()} >= {"low", "high"}
+
+
+def test_sets_as_bits(spark):
+    """Sets of numbers of any size, gathered as bits and given back as sorted arrays."""
+    rows = spark.createDataFrame([(1, 0), (1, 200), (1, 62), (1, 63), (1, 63), (2, None), (3, 130)], "id int, ref int")
+    merged, numbers = model._set_of("ref", 200)
+    found = {r["id"]: r["refs"] for r in rows.groupBy("id").agg(*merged).select("id", numbers).collect()}
+    assert found == {1: [0, 62, 63, 200], 2: [], 3: [130]}
+
+
+def test_stored_names_are_not_shuffled(spark, sf_dir):
+    """Names lie in buckets of sets: between their scan and what gathers them there is no exchange."""
+    found = catalog.QUERIES["ranking_names"](spark, sf_dir)
+    assert found.count() == 25
+    lines = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].split("\n")
+    scans = [k for k, line in enumerate(lines) if "Scan parquet" in line and "names_" in line]
+    assert scans and all("Bucketed: true" in lines[k] for k in scans)
+    for k in scans:
+        depth, above = len(lines[k]) - len(lines[k].lstrip(" :+-*()0123456789")), []
+        for line in reversed(lines[:k]):
+            at = len(line) - len(line.lstrip(" :+-*()0123456789"))
+            if at < depth:
+                above.append(line)
+                depth = at
+        gathered = next(i for i, line in enumerate(above) if "collect_set" in line and "partial" not in line)
+        assert not any("Exchange" in line for line in above[:gathered])

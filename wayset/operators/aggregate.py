@@ -32,10 +32,17 @@ def combine(segs: DataFrame) -> DataFrame:
     return named.select("refs", "n", "km", "arcs", "n_names", "first_name", "w", "s", "e", "t")
 
 
-def with_names(shown: DataFrame, segs: DataFrame) -> DataFrame:
-    """Rows of a display prefix with the sorted distinct names of their sets; only those sets' names are gathered."""
-    named = segs.select("refs", F.nullif("name", F.lit("")).alias("name")).join(shown.select("refs"), "refs", "left_semi")
-    return shown.join(named.groupBy("refs").agg(F.array_sort(F.collect_set("name")).alias("names")), "refs", "left")
+def with_names(shown: DataFrame, named: DataFrame) -> DataFrame:
+    """Rows of a display prefix with the sorted distinct names of their sets.
+
+    ``named`` is (set_key, refs, name) in buckets of sets: only the shown sets' names are gathered, in the tasks that
+    read them; what is shuffled is the prefix.
+    """
+    keyed = shown.withColumn("set_key", F.xxhash64("refs"))
+    few = named.join(keyed.select("set_key").distinct(), "set_key", "left_semi")  # a display is small, so Spark sends it to all tasks
+    gathered = few.groupBy("set_key", F.col("refs").alias("__refs")).agg(F.array_sort(F.collect_set("name")).alias("names"))
+    both = (F.col("k.set_key") == F.col("g.set_key")) & (F.col("k.refs") == F.col("g.__refs"))
+    return keyed.alias("k").join(gathered.alias("g"), both, "left").select(*(f"k.{c}" for c in shown.columns), "names")
 
 
 def sums_by_set(segs: DataFrame) -> DataFrame:

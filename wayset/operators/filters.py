@@ -78,6 +78,18 @@ def dispatch(segs: DataFrame, base: Column, toggles: dict[str, bool] | None = No
     return segs.withColumn("layer", F.explode(F.array_compact(F.array(*hits))))
 
 
+def layer_sums(segs: DataFrame, base: Column, toggles: dict[str, bool] | None = None, layers: list[str] | None = None) -> DataFrame:
+    """layer, arcs, ids: how many segments each layer draws and the sum of their ids, in one pass without a row per layer.
+
+    Layers that draw nothing are left out, as are those not in ``layers``.
+    """
+    shown = [layer for layer in LAYERS if layers is None or layer[0] in layers]
+    tests = {layer[0]: layer_filter(layer, base, toggles or {}) for layer in shown}
+    totals = segs.agg(*(F.struct(F.count_if(t).alias("arcs"), F.sum(F.when(t, F.col("id"))).alias("ids")).alias(name) for name, t in tests.items()))
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("layer"), F.col(f"`{name}`.arcs").alias("arcs"), F.col(f"`{name}`.ids").alias("ids")) for name in tests)))
+    return totals.select(each.alias("l")).select("l.*").where("arcs > 0")
+
+
 def ends_filter(selected, shown: bool = True) -> Column:
     """Ends follow the selection only, never the concurrency switch."""
     return any_ref(selected) if shown else nothing()

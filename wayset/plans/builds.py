@@ -123,7 +123,7 @@ def draw_order(spark, sf_dir):
 def ranking_names(spark, sf_dir):
     """The ranking's rows with the names of their segments."""
     shown = aggregate.ranking(sums(spark, sf_dir, "nation"), ())
-    return aggregate.with_names(shown, segments(spark, sf_dir, "nation")).select(joined("refs"), "n", scalar.names_text(F.col("names")).alias("names"))
+    return aggregate.with_names(shown, model.names(spark, sf_dir)).select(joined("refs"), "n", scalar.names_text(F.col("names")).alias("names"))
 
 
 @query("payload_numbers", REGION_COMBOS + f"SELECT {LIST}, w::BIGINT || ',' || e::BIGINT || ',' || n AS payload, w, e, n::DOUBLE AS depth, 3 AS parts FROM combos")

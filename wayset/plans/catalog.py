@@ -162,14 +162,18 @@ for label, toggles in (("", {}), ("_toggled", {"ferry": False, "special": False}
 
     @query(f"layer_dispatch{label}", _layer_sql(toggles))
     def layer_dispatch(spark, sf_dir, toggles=toggles):
-        drawn = filters.dispatch(segments(spark, sf_dir, "nation"), filters.shared_filter((), "all"), toggles)
-        return drawn.groupBy("layer").agg(F.count("*").alias("arcs"), F.sum("id").alias("ids"))
+        return filters.layer_sums(segments(spark, sf_dir, "nation"), filters.shared_filter((), "all"), toggles)
 
 
 @query("clickable_layers", _layer_sql({}).replace("GROUP BY layer", f"WHERE layer IN ({', '.join(repr(c) for c in filters.CLICKABLE)}) GROUP BY layer"))
 def clickable_layers(spark, sf_dir):
-    drawn = filters.dispatch(segments(spark, sf_dir, "nation"), filters.shared_filter((), "all")).where(F.col("layer").isin(filters.CLICKABLE))
-    return drawn.groupBy("layer").agg(F.count("*").alias("arcs"), F.sum("id").alias("ids"))
+    return filters.layer_sums(segments(spark, sf_dir, "nation"), filters.shared_filter((), "all"), layers=filters.CLICKABLE)
+
+
+@query("layer_rows", _layer_sql({"labels": False}).replace("SELECT layer, count(*)::BIGINT AS arcs, sum(id)::BIGINT AS ids FROM", "SELECT layer, id FROM").replace(" GROUP BY layer", ""))
+def layer_rows(spark, sf_dir):
+    """Every segment with each layer that draws it."""
+    return filters.dispatch(segments(spark, sf_dir, "nation"), filters.shared_filter((), "all"), {"labels": False}).select("layer", "id")
 
 
 @query("label_order", NATIONS + "SELECT n, id FROM seg ORDER BY n DESC, id")

@@ -6,7 +6,7 @@ kind, evidence, last edit and extent. Sets are sorted arrays without repeats, so
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.aggregate import sums_by_set
@@ -23,11 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def designated(spark: SparkSession, sf_dir: str, by: str) -> DataFrame:
-    """Line items with the designation ``ref`` of their supplier; ``by`` is 'region' or 'nation'."""
-    ref = F.col("n_regionkey" if by == "region" else "n_nationkey")
+def designated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with both designations of their supplier: ``region`` and ``nation``."""
     places = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    return table(spark, sf_dir, "lineitem").join(places.select("s_suppkey", ref.cast("int").alias("ref")), F.col("l_suppkey") == F.col("s_suppkey"))
+    return table(spark, sf_dir, "lineitem").join(places.select("s_suppkey", F.col("n_regionkey").alias("region"), F.col("n_nationkey").alias("nation")), F.col("l_suppkey") == F.col("s_suppkey"))
 
 
 #: Tables that segments are derived from.
@@ -39,8 +38,10 @@ def _once(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
 
 
 def segments(spark: SparkSession, sf_dir: str, by: str = "region") -> DataFrame:
-    """``derived`` segments, written once."""
-    return _once(spark, sf_dir, f"segments-{by}", lambda: derived(spark, sf_dir, by))
+    """``derived`` segments, written once for both designations; ``by`` is 'region' or 'nation'."""
+    both = _once(spark, sf_dir, "segments", lambda: derived(spark, sf_dir))
+    refs = F.col(f"{by}s")
+    return both.select("id", refs.alias("refs"), F.size(refs).alias("n"), "km", "updated", "kind", "src", "former", "name", "w", "s", "e", "t")
 
 
 def sums(spark: SparkSession, sf_dir: str, by: str = "region") -> DataFrame:
@@ -57,21 +58,53 @@ def tiles(spark: SparkSession, sf_dir: str, by: str = "nation") -> str:
     return once(spark, f"tiles-{by}", [f"{sf_dir}/{t}.parquet" for t in INPUTS], lambda path: write_tiles(segments(spark, sf_dir, by), path, WORLD))
 
 
+def names(spark: SparkSession, sf_dir: str, by: str = "nation") -> DataFrame:
+    """set_key, refs, name of every named segment's set, once each, written once in buckets of sets.
+
+    A join or roll-up by ``set_key`` reads a bucket per task, and nothing stored is shuffled.
+    """
+    path = once(spark, f"names-{by}", [f"{sf_dir}/{t}.parquet" for t in INPUTS], lambda path: write_names(segments(spark, sf_dir, by), path))
+    return read_names(spark, path)
+
+
 def members(spark: SparkSession, sf_dir: str, by: str = "region") -> DataFrame:
     """``bridge`` rows, written once: a membership filter is an equality on ``ref`` that reaches the scan."""
     return _once(spark, sf_dir, f"bridge-{by}", lambda: bridge(segments(spark, sf_dir, by)))
 
 
-def derived(spark: SparkSession, sf_dir: str, by: str = "region") -> DataFrame:
-    """id, refs, n, km, updated, kind, src, former, name, w, s, e, t. One shuffle gathers an order's lines."""
-    lines = designated(spark, sf_dir, by).groupBy(F.col("l_orderkey").alias("id")).agg(
-        F.sort_array(F.collect_set("ref")).alias("refs"), F.sum(F.col("l_extendedprice").cast(LENGTH)).cast(LENGTH).alias("km"), F.max("l_shipdate").cast("date").alias("updated"),
+#: Designations that one number holds as bits.
+_BITS = 63
+
+
+def _set_of(ref: str, largest: int) -> tuple[list[Column], Column]:
+    """Aggregates of a set of numbers from 0 to ``largest`` as bits, and the sorted array that they stand for.
+
+    Bits are merged in hash maps, where a set of numbers would be an object and sorted by its key first.
+    """
+    words = range(largest // _BITS + 1)
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), (F.col(ref) - k * _BITS).cast("int"))
+    merged = [F.bit_or(F.when(F.col(ref).between(k * _BITS, k * _BITS + _BITS - 1), bit(k))).alias(f"__{ref}{k}") for k in words]
+
+    def held(k: int) -> Column:
+        least, most = k * _BITS, min(k * _BITS + _BITS - 1, largest)
+        there = lambda x: F.call_function("shiftright", F.coalesce(F.col(f"__{ref}{k}"), F.lit(0).cast("long")), x - least).bitwiseAND(F.lit(1)) == 1
+        return F.filter(F.sequence(F.lit(least), F.lit(most)), there)
+
+    return merged, F.concat(*map(held, words)).alias(f"{ref}s")
+
+
+def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, regions, nations, km, updated, kind, src, former, name, w, s, e, t. One shuffle gathers an order's lines."""
+    top = table(spark, sf_dir, "nation").agg(F.max("n_regionkey"), F.max("n_nationkey")).first()
+    (region_bits, regions), (nation_bits, nations) = _set_of("region", top[0] or 0), _set_of("nation", top[1] or 0)
+    lines = designated(spark, sf_dir).groupBy(F.col("l_orderkey").alias("id")).agg(
+        *region_bits, *nation_bits, F.sum(F.col("l_extendedprice").cast(LENGTH)).cast(LENGTH).alias("km"), F.max("l_shipdate").cast("date").alias("updated"),
         F.min("l_quantity").alias("w"), F.min("l_discount").alias("s"), F.max("l_quantity").alias("e"), F.max("l_discount").alias("t"),
     )
     pick = lambda c, names: F.coalesce(*(F.when(F.col(c) == k, F.lit(v)) for k, v in names.items()))
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), pick("o_orderpriority", KIND_OF).alias("kind"), pick("o_orderstatus", SOURCE_OF).alias("src"))
     named = F.when(F.col("id") % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("way "), F.col("id")))
-    return lines.join(orders, "id").select("id", "refs", F.size("refs").alias("n"), "km", "updated", "kind", "src", (F.col("id") % 97 == 0).alias("former"), named.alias("name"), "w", "s", "e", "t")
+    return lines.join(orders, "id").select("id", regions, nations, "km", "updated", "kind", "src", (F.col("id") % 97 == 0).alias("former"), named.alias("name"), "w", "s", "e", "t")
 
 
 def segments_sql(by: str = "region") -> str:
@@ -125,6 +158,29 @@ def bridge(segs: DataFrame) -> DataFrame:
     return segs.select(F.explode("refs").alias("ref"), "id", "refs", "n", "kind").sortWithinPartitions("ref", "id")
 
 
+#: Buckets of sets. Tables that are joined by set must have as many.
+SET_BUCKETS = 16
+
+
+def set_key() -> Column:
+    return F.xxhash64("refs").alias("set_key")
+
+
+def _table_name(path: str) -> str:
+    return "names_" + "".join(c if c.isalnum() else "_" for c in path.rstrip("/").rpartition("/")[2])
+
+
+def write_names(segs: DataFrame, path: str) -> None:
+    """Distinct (set, name) pairs as a bucketed table at ``path``; null and empty names are none."""
+    pairs = segs.where("name <> ''").select(set_key(), "refs", "name").distinct()
+    dealt = pairs.repartition(SET_BUCKETS, "set_key")
+    dealt.write.mode("overwrite").format("parquet").bucketBy(SET_BUCKETS, "set_key").sortBy("set_key").option("path", path).saveAsTable(_table_name(path))
+
+
+def read_names(spark: SparkSession, path: str) -> DataFrame:
+    return spark.table(_table_name(path))
+
+
 def write_bridge(segs: DataFrame, path: str) -> None:
     """The bridge as a table: a membership filter becomes a pushed equality and reads few row groups."""
     bridge(segs).write.mode("overwrite").parquet(path)
