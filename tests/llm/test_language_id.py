@@ -81,3 +81,10 @@ def test_prototypes_and_choice_match_brute_force(spark):
             continue
         cosine = [vector @ sums[n] / max(np.linalg.norm(vector) * np.linalg.norm(sums[n]), 1e-12) for n in names]
         assert r["lang_pred"] == names[int(np.argmax(cosine))] and abs(r["score"] - max(max(cosine), 0)) < 1e-4
+
+
+def test_kept_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(1, "eins zwei drei", 5.0, 7), (2, None, 6.0, 8)], "doc_id long, text string, score double, size long")
+    found = op.predict(rows, (["de"], op.text_vectors(["eins zwei drei"]) * 1.0), ("doc_id", "score", "size", "text"))
+    assert found.columns == ["doc_id", "size", "text", "lang_pred", "score", "has_letter"]
+    assert sorted((r["doc_id"], r["size"], r["lang_pred"], r["score"] > 0) for r in found.collect()) == [(1, 7, "de", True), (2, 8, "und", False)]

@@ -113,3 +113,13 @@ def test_sample_holds_at_any_size():
         share = op.hot_share(n, 2000 * n)
         assert 0 < int(share * 2**63) and 9_000 <= share * n <= 1_100_000
         assert op.hot_share(n, 10**7 * n) * n * 10**7 <= op.HOT_BYTES * op.HOT_SAMPLE * (n / 1e6) ** (1 / 3) * 1.01
+
+
+def test_carried_columns_of_any_name(spark):
+    """Names that the operator's own steps use come back as they were given."""
+    text = "a passage that is well over fifty bytes long, so that it is removed from the second row"
+    rows = spark.createDataFrame([(1, text, 5, "x", 0.5), (2, text, 6, "y", 1.5)], "doc_id long, text string, grp int, at string, bytes double")
+    found = op.remove_repeats(rows, carry=["grp", "at", "bytes"], with_text=True)
+    assert sorted((r["doc_id"], r["grp"], r["at"], r["bytes"], r["n_removed"] > 0) for r in found.collect()) == [(1, 5, "x", 0.5, False), (2, 6, "y", 1.5, True)]
+    with pytest.raises(ValueError, match="n_bytes"):
+        op.remove_repeats(rows.withColumn("n_bytes", rows.grp), carry=["n_bytes"])

@@ -170,12 +170,14 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: tuple[st
     A null text or one without a letter (also: nothing learned) gives 'und' with score 0; the score is the cosine
     with the winning prototype, at least 0. has_letter tells the two apart: it is of the text, not of the model. Ties
     go to the first language by code point. Null ids pass through, equal texts get equal results, an empty table gives
-    none; columns outside ``keep`` are not read.
+    none; columns outside ``keep`` are not read. A kept column whose name is one of the results' gives way to it.
     """
-    keep = list(keep)
-    rows = docs.select(*keep, *(["text"] if "text" not in keep else []))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return rows.mapInPandas(_predictor(*model, keep), f"{schema}, lang_pred string, score double, has_letter boolean")
+    kept = [c for c in keep if c not in ("lang_pred", "score", "has_letter")]
+    own = [f"__{k}" for k in range(len(kept))]  # names that nothing else has
+    rows = docs.select("text", *(F.col(c).alias(o) for c, o in zip(kept, own, strict=True)))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.drop("text").schema)
+    found = rows.mapInPandas(_predictor(*model, own), f"{schema}, lang_pred string, score double, has_letter boolean")
+    return found.select(*(F.col(o).alias(c) for c, o in zip(kept, own, strict=True)), "lang_pred", "score", "has_letter")
 
 
 def op1_language_id(spark, sf_dir):

@@ -467,10 +467,16 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None, with_text: b
     ranges). Every byte that lies in a 50-byte string which a document with a smaller doc_id has too is removed;
     strings never cross documents and are judged on the input. Null texts are empty, shorter ones than 50 bytes stay
     whole. A null doc_id is neither smaller nor larger than others: its row stays whole and removes nothing. Rows
-    that share an id don't remove from each other. An empty table gives none.
+    that share an id don't remove from each other. An empty table gives none. Carried columns may have any names but
+    those of the results.
     """
     spark = docs.sparkSession
-    carry = carry or []
+    taken = {"doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "spans"}
+    if clash := taken & set(carry or []):
+        raise ValueError(f"carried columns have the results' names: {sorted(clash)}")
+    own = {f"__{k}": c for k, c in enumerate(carry or [])}  # names that nothing else has
+    docs = docs.select("doc_id", "text", *(F.col(c).alias(o) for o, c in own.items()))
+    carry = list(own)
     at = F.coalesce("doc_id", F.lit(_LAST)).alias("at")
     rows = docs.select("doc_id", at, F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("bytes"), *carry)
     n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("bytes")), F.lit(0))).first()
@@ -486,7 +492,8 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None, with_text: b
     told = sent.groupBy("key").applyInPandas(_sort_suffixes, _ROUTED)
     schema = [f"{f.name} {f.dataType.simpleString()}" for f in rows.select("doc_id", *carry).schema]
     schema += ["n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string", *(["kept_text string", "spans array<array<long>>"] if with_text else [])]
-    return by_group.cogroup(told.groupBy("grp")).applyInPandas(_finish(["doc_id", *carry], with_text), ", ".join(schema))
+    found = by_group.cogroup(told.groupBy("grp")).applyInPandas(_finish(["doc_id", *carry], with_text), ", ".join(schema))
+    return found.select(*(F.col(c).alias(own.get(c, c)) for c in found.columns))
 
 
 def op9_suffix_dedup(spark, sf_dir):
