@@ -14,6 +14,7 @@ QUERIES = {
     "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
+    "quality_ablation": quality_rules.quality_ablation,
     "op10_quality_knn": quality_knn.op10_quality_knn,
     "op11_lm_scoring": lm_scoring.op11_lm_scoring,
     "op12_periodic_runs": periodic_runs.op12_periodic_runs,
@@ -22,6 +23,7 @@ QUERIES = {
 ORACLES = {
     "op3_mixing": mixing.oracle(),
     "op8_quality_rules": quality_rules.oracle(),
+    "quality_ablation": quality_rules.ablation_oracle(),
     "op12_periodic_runs": periodic_runs.oracle(),
     "op13_prefix_trie": prefix_trie.oracle(),
 }

@@ -105,6 +105,18 @@ def op8_quality_rules(spark, sf_dir):
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "fail_bits")
 
 
+def quality_ablation(spark, sf_dir):
+    """Per rule of the current policy: how many documents fail it, and how many it alone rejects."""
+    found = ablation(ledger(documents(spark, sf_dir)))
+    return found.select("rule", F.col("failed").cast("long").alias("failed"), F.col("failed_alone").cast("long").alias("failed_alone"))
+
+
+def ablation_oracle(table: str = "documents") -> str:
+    mask = POLICIES[CURRENT]
+    rules = ", ".join(f"('{name}', {BIT[name]})" for name, _ in RULES if BIT[name] & mask)
+    return f"SELECT rule, count(*) FILTER (fail_bits & bit <> 0)::BIGINT AS failed, count(*) FILTER (fail_bits & {mask} = bit)::BIGINT AS failed_alone FROM ({oracle(table)}) b, (VALUES {rules}) r(rule, bit) GROUP BY rule"
+
+
 def oracle(table: str = "documents") -> str:
     bits = " | ".join(f"CASE WHEN {test} THEN {1 << k} ELSE 0 END" for k, (_, test) in enumerate(RULES))
     return f"""

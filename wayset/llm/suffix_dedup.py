@@ -34,6 +34,8 @@ GROUP_BYTES, BUCKET_ANCHORS = 3_000_000, 300_000
 #: Documents that are looked at for hot anchors (times the cube root of millions of documents), bytes of text a
 #: document among them at most on average, and in how many of them an anchor must be to be hot.
 HOT_SAMPLE, HOT_BYTES, HOT_FROM = 10_000, 32_768, 6
+#: Hot anchors that tasks are told of, the most frequent ones: 8 MB. Which are told spreads work and changes no result.
+HOT_MOST = 1_000_000
 #: Different runs that a family may have to be sorted in one bucket; a family of more is divided by its windows.
 WIDE = 20_000
 _U = np.uint64
@@ -445,7 +447,8 @@ def _hot_anchors(rows: DataFrame, share: float) -> np.ndarray:
 
     drawn = F.xxhash64(F.lit("hot"), "at").bitwiseAND(F.lit(2**63 - 1)) < F.lit(min(2**63 - 1, int(share * 2**63)))
     counted = rows.where(drawn).select("bytes").mapInPandas(look, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_FROM)
-    found = counted.select("anchor").toPandas()["anchor"].to_numpy(np.int64).view(_U)  # bounded by the sample
+    heaviest = counted.orderBy(F.desc("n"), "anchor").limit(HOT_MOST).select("anchor")  # the others stay with the sorter
+    found = heaviest.toPandas()["anchor"].to_numpy(np.int64).view(_U)
     return np.sort(found)
 
 
@@ -453,8 +456,7 @@ def hot_share(n: int, size: int) -> float:
     """The share of ``n`` documents of ``size`` bytes that is looked at for hot anchors.
 
     The sample grows with the cube root of the corpus. An anchor that it does not tell has some 6 places a sampled
-    document more at most: a million in 5e10 documents. What the driver gets is an anchor for every 6 places in the
-    sample at most.
+    document more at most: a million in 5e10 documents. What the driver gets is HOT_MOST anchors at most.
     """
     sample = HOT_SAMPLE * max(1.0, n / 1e6) ** (1 / 3)
     return min(1.0, sample / max(1, n), sample * HOT_BYTES / max(1, size))
@@ -482,7 +484,7 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None, with_text: b
     n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("bytes")), F.lit(0))).first()
     groups = max(4, -(-size // GROUP_BYTES))
     buckets = max(4, -(-size // (BUCKET_ANCHORS * 16)))
-    hot = spark.sparkContext.broadcast(_hot_anchors(rows, hot_share(n, size)))  # some 100,000 hashes for a million documents
+    hot = spark.sparkContext.broadcast(_hot_anchors(rows, hot_share(n, size)))  # HOT_MOST hashes at most
     spread = F.xxhash64(F.coalesce("doc_id", F.xxhash64("bytes")))
     dealt = rows.withColumn("grp", F.pmod(spread, F.lit(int(groups)))).repartition(partitions(spark), "grp")
     by_group = dealt.groupBy("grp")
