@@ -78,8 +78,9 @@ def sketches(hashes: np.ndarray, sizes: np.ndarray, width: int = SKETCH) -> np.n
         place = (value >> np.uint64(32)) * np.uint64(width) >> np.uint64(32) if k < width else np.full(len(value), k - width, np.uint64)
         at = owner * width + place.astype(np.int64)
         open_ = out[at] == _NONE
-        np.minimum.at(out, at[open_], value[open_])
-        left = np.where(sizes > 0, (out.reshape(n, width) == _NONE).sum(axis=1), 0)
+        at, value = at[open_], value[open_]
+        np.minimum.at(out, at, value)
+        left -= np.bincount(np.unique(at) // width, minlength=n)
     return out.reshape(n, width)
 
 
