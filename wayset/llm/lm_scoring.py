@@ -16,13 +16,14 @@ can reach. Asks and answers are packed arrays; no n-gram, however frequent, is m
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import documents, fresh, mix64, partitions, seeds, word_hashes
+from ._shared import documents, fresh, in_chunks, mix64, partitions, seeds, word_hashes
 
 #: Words of the longest n-grams. Three take 4.6 times the input of disk; see the README.
 ORDER = 2
@@ -91,6 +92,19 @@ def grown(data, width: int) -> np.ndarray:
     return np.frombuffer(data, f"<u{width}").astype(np.int64)
 
 
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of the distinct training words of some texts, and in one row the texts' bytes and training words."""
+    fresh()
+    for batch in batches:
+        texts, held = batch.column("text").to_pylist(), np.array(batch.column("held_out").to_pylist(), dtype=bool)
+        for part in in_chunks([len(t) + 16 for t in texts], BLOCK):
+            hashes, sizes = sentence_hashes(texts[part])
+            trained = hashes[np.repeat(~held[part], sizes) & (hashes != _BEGIN)]
+            own = np.unique(trained).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.int64())], ["word", "size", "trained"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([sum(len(t) + 16 for t in texts[part])]), pa.array([len(trained)])], ["word", "size", "trained"])
+
+
 def distinct(values: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct values, and how often each is among the ``trained`` ones."""
     ordered = np.sort(values)
@@ -116,10 +130,7 @@ def _block(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _ask(longest: int, bits: int, buckets: int):
-    """A block's distinct n-grams with its training counts, by bucket: the upper bits of the hash.
-
-    Every bucket is asked for words, if only for how many there are in it.
-    """
+    """A block's distinct n-grams with its training counts, by bucket: the upper bits of the hash."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         fresh()
@@ -133,7 +144,7 @@ def _ask(longest: int, bits: int, buckets: int):
             first = np.arange(1 << buckets, dtype=_U) << _U(wide - buckets) if buckets else np.zeros(1, _U)
             edges = [*np.searchsorted(found, first).tolist(), len(found)]
             for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-                if a < b or order == 1:
+                if a < b:
                     rows.append((k, key[0].as_py(), order, a, *packed(found[a:b]), *shrunk(counts[a:b])))
         return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_ASKS)], schema=_ASKS)
 
@@ -141,10 +152,7 @@ def _ask(longest: int, bits: int, buckets: int):
 
 
 def _answer(longest: int):
-    """Totals over all blocks, for those n-grams of each block whose total is not its own count.
-
-    Every block is also told (as order 0) how many training words of the bucket there are, distinct and in all.
-    """
+    """Totals over all blocks, for those n-grams of each block whose total is not its own count."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         fresh()
@@ -161,13 +169,9 @@ def _answer(longest: int):
             del each
             sort = np.argsort(flat, kind="stable")
             flat = flat[sort]
-            new = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
-            totals, sums = np.empty(len(flat), np.int64), np.add.reduceat(own[sort], new) if len(flat) else np.zeros(0, np.int64)
+            new = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+            totals, sums = np.empty(len(flat), np.int64), np.add.reduceat(own[sort], new)
             totals[sort] = np.repeat(sums, np.diff(np.append(new, len(flat))))
-            if order == 1:
-                words = sums[flat[new] != _BEGIN]
-                told = np.array([(words > 0).sum(), words.sum()], np.int64).tobytes()
-                rows += [(r["block"], 0, 0, b"", 1, told, 8) for r in asks]
             for r, a, b in zip(asks, bounds, bounds[1:], strict=False):
                 more = np.flatnonzero(totals[a:b] != own[a:b])
                 if len(more):
@@ -207,7 +211,7 @@ def walk(sizes: np.ndarray, seen: dict, arcs: dict, fails: dict) -> np.ndarray:
     return out
 
 
-def _score(longest: int, bits: int):
+def _score(longest: int, bits: int, n: int, v: int):
     """Scores of a block's documents, from its own counts and the answers that it got."""
 
     def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
@@ -215,7 +219,6 @@ def _score(longest: int, bits: int):
         hashes, sizes, held = _block(docs)
         trained = np.repeat(~held, sizes)
         told = answers.to_pylist()
-        v, n = np.sum([grown(r["totals"], 8) for r in told if r["ord"] == 0], axis=0).tolist()
         seen, arcs, fails = {}, {}, {}
         for order in range(1, longest + 1):
             values, there = ngrams(hashes, sizes, order, bits)
@@ -255,14 +258,15 @@ def score(docs: DataFrame, held_out: Column, longest: int = ORDER) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
+    seen = rows.mapInArrow(_words, "word long, size long, trained long")
+    v, n, size = seen.agg(F.count_distinct("word"), F.coalesce(F.sum("trained"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
     blocks, words = math.ceil(max(size, 1) / BLOCK), max(size // 4, 1)
     bits = min(64, (words * longest).bit_length() + SPARE)
     buckets = max(0, math.ceil(math.log2(words * longest / BUCKET)))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks))).repartition(partitions(spark), "block")
     asks = dealt.groupBy("block").applyInArrow(_ask(longest, bits, buckets), _sql(_ASKS))
     answers = asks.repartition(partitions(spark), "bucket").groupBy("bucket").applyInArrow(_answer(longest), _sql(_ANSWERS))
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(longest, bits), _sql(_SCORES))
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(longest, bits, n, v), _sql(_SCORES))
 
 
 def op11_lm_scoring(spark, sf_dir):
