@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from wayset.operators import chains, evidence
 
@@ -88,9 +89,9 @@ def test_a_region_vouches_for_itself_alone(spark):
 
 
 def greedy(here, there, tx, ty):
-    pairs = sorted((max(abs(a[1] - b[1]) / tx, abs(a[2] - b[2]) / ty), a[0], b[0]) for a in here for b in there if abs(a[1] - b[1]) <= tx and abs(a[2] - b[2]) <= ty)
+    pairs = sorted((max(abs(a[1] - b[1]) / tx, abs(a[2] - b[2]) / ty), a[1:], b[1:], a[0], b[0]) for a in here for b in there if abs(a[1] - b[1]) <= tx and abs(a[2] - b[2]) <= ty)
     out, used = {}, set()
-    for _, a, b in pairs:
+    for *_, a, b in pairs:
         if a not in out and b not in used:
             out[a] = b
             used.add(b)
@@ -101,6 +102,8 @@ def greedy(here, there, tx, ty):
 def test_one_to_one_is_nearest_first(spark, seed):
     r = random.Random(seed)
     here, there = ([(k, float(r.randint(0, 100)), float(r.randint(0, 20))) for k in range(60)] for _ in range(2))
+    here += [(100 + k, 50.0, 10.0) for k in range(7)]  # many at one place
+    there += [(100 + k, 50.0, 10.0) for k in range(4)] + [(200 + k, 51.0, 10.0) for k in range(2)]
     schema = "id long, x double, y double"
     found = evidence.compared(spark.createDataFrame(here, schema), spark.createDataFrame(there, schema), 6.0, 2.0).collect()
     states = defaultdict(list)
@@ -112,6 +115,15 @@ def test_one_to_one_is_nearest_first(spark, seed):
     assert {b for _, b in states["only there"]} == {b[0] for b in there} - set(matched.values())
 
 
+def test_copies_on_both_sides_are_not_paired(spark):
+    """A third of both sides at one place: candidates are places, and each row has one partner at most."""
+    n = 3000
+    side = spark.range(n).select("id", (F.when(F.col("id") % 3 == 0, 5000.0).otherwise(F.col("id") * 40.0)).alias("x"), F.lit(1.0).alias("y"))
+    assert evidence.near_pairs(side, side, 3.0, 1.0).count() <= n
+    found = evidence.one_to_one(side, side.where("id % 6 <> 0"), 3.0, 1.0)
+    assert found.count() == found.select("a").distinct().count() == found.select("b").distinct().count() == side.where("id % 6 <> 0").count()
+
+
 def test_nothing_to_compare(spark):
     none = spark.createDataFrame([], "id long, x double, y double")
     one = spark.createDataFrame([(1, None, 1.0)], "id long, x double, y double")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.store import stored
 from .aggregate import top_one
+from .ordinal import ranked
 
 #: Sources of a claim, the most trusted first.
 SOURCES = ("relation", "name", "tag")
@@ -70,39 +71,70 @@ def guaranteed(judged: DataFrame) -> DataFrame:
 
 
 def near_pairs(here: DataFrame, there: DataFrame, tx: float, ty: float) -> DataFrame:
-    """a, b, distance of rows (id, x, y) whose measures differ by at most ``tx`` and ``ty``.
+    """ax, ay, bx, by, distance of places (x, y) of either side that differ by at most ``tx`` and ``ty``.
 
-    Buckets are as wide as the tolerances. A row of ``there`` lies in its own bucket, one of ``here`` in that and the
-    eight around it, so each pair meets once. The distance is the larger of both differences in tolerances.
+    Rows at one place count once, however many they are. Buckets are as wide as the tolerances: a place of ``there``
+    lies in its own bucket, one of ``here`` in that and the eight around it, so each pair meets once. The distance is
+    the larger of both differences in tolerances.
     """
     bucket = lambda c, t: F.floor(F.col(c) / t)
     around = lambda c, t: F.explode(F.sequence(bucket(c, t) - 1, bucket(c, t) + 1))
-    whole = "id is not null and x is not null and y is not null"
-    a = here.where(whole).select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), "x", "y").withColumn("__x", around("x", tx)).withColumn("__y", around("y", ty)).drop("x", "y")
-    b = there.where(whole).select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), bucket("x", tx).alias("__x"), bucket("y", ty).alias("__y"))
+    places = lambda side, s: side.select(F.col("x").alias(f"{s}x"), F.col("y").alias(f"{s}y")).distinct()
+    a = places(here, "a").withColumn("__x", around("ax", tx)).withColumn("__y", around("ay", ty))
+    b = places(there, "b").withColumn("__x", bucket("bx", tx)).withColumn("__y", bucket("by", ty))
     dx, dy = F.abs(F.col("ax") - F.col("bx")), F.abs(F.col("ay") - F.col("by"))
-    return a.join(b, ["__x", "__y"]).where((dx <= tx) & (dy <= ty)).select("a", "b", F.greatest(dx / tx, dy / ty).alias("distance"))
+    return a.join(b, ["__x", "__y"]).where((dx <= tx) & (dy <= ty)).select("ax", "ay", "bx", "by", F.greatest(dx / tx, dy / ty).alias("distance"))
+
+
+_A, _B = ["ax", "ay"], ["bx", "by"]
+
 
+def _numbered(side: DataFrame, s: str) -> DataFrame:
+    """id, place and ``rank`` (from 0, by id) of each row at its place; no task ranks a whole place."""
+    placed = stored(ranked(side.select("id", "x", "y"), "x", "y", "id"), "ranks")
+    first = placed.groupBy("x", "y").agg(F.min("pos").alias("__first"))
+    rank = (F.col("pos") - F.col("__first")).alias(f"{s}rank")
+    return placed.join(first, ["x", "y"]).select(F.col("id").alias(s), F.col("x").alias(f"{s}x"), F.col("y").alias(f"{s}y"), rank)
 
-def one_to_one(pairs: DataFrame) -> DataFrame:
-    """Of ``pairs`` (a, b, distance), those that the nearest-first choice takes; no a and no b comes twice.
 
-    A pair that is the best of both its ends would be taken by that choice whatever else is, so all such pairs are
-    taken at once and their ends' other pairs fall away, until no pair is left. Ties go to the smaller ids.
+def one_to_one(here: DataFrame, there: DataFrame, tx: float, ty: float) -> DataFrame:
+    """a, b, distance: the nearest-first choice among rows (id, x, y) of both sides; no a and no b comes twice.
+
+    Ties go to the smaller place, then to the smaller id. Places are matched with as many rows as both have: a pair of
+    places that is the best of both would be taken by that choice whatever else is, so all such pairs are taken at
+    once and places without a row left fall away, until no pair is left.
     """
-    left, taken = stored(pairs, "pairs"), []
+    whole = "id is not null and x is not null and y is not null"
+    here, there = here.where(whole), there.where(whole)
+    left, taken = stored(near_pairs(here, there, tx, ty), "pairs"), []
+    counts = {s: side.groupBy(F.col("x").alias(f"{s}x"), F.col("y").alias(f"{s}y")).agg(F.count("*").alias(f"n{s}")).withColumn(f"used{s}", F.lit(0).cast("long")) for s, side in (("a", here), ("b", there))}
     while not left.isEmpty():
-        best_a = top_one(left, "a", "distance", "b").select("a", "b", "distance")
-        best_b = top_one(left, "b", "distance", "a").select("a", "b")
-        both = stored(best_a.join(best_b, ["a", "b"]), "taken")
+        best = top_one(left, _A, "distance", *_B).join(top_one(left, _B, "distance", *_A).select(*_A, *_B), [*_A, *_B])
+        known = best.join(counts["a"], _A).join(counts["b"], _B)
+        both = stored(known.withColumn("m", F.least(F.col("na") - F.col("useda"), F.col("nb") - F.col("usedb"))).drop("na", "nb"), "taken")
         taken.append(both)
-        left = stored(left.join(both.select("a"), "a", "left_anti").join(both.select("b"), "b", "left_anti"), "pairs")
-    return reduce(DataFrame.unionByName, taken, pairs.limit(0))
+        full = {}
+        for s, key in (("a", _A), ("b", _B)):
+            now = counts[s].join(both.select(*key, "m"), key, "left").withColumn(f"used{s}", F.col(f"used{s}") + F.coalesce("m", F.lit(0))).drop("m")
+            counts[s] = stored(now.where(f"used{s} < n{s}"), "counts")
+            full[s] = both.select(*key).join(counts[s].select(*key), key, "left_anti")
+        left = stored(left.join(full["a"], _A, "left_anti").join(full["b"], _B, "left_anti"), "pairs")
+    if not taken:
+        none = here.select(F.col("id").alias("a")).limit(0)
+        return none.select("a", F.col("a").alias("b"), F.lit(0.0).alias("distance"))
+    spans = reduce(DataFrame.unionByName, taken)
+    a, b = _numbered(here, "a"), _numbered(there, "b")
+    met = a.join(spans, _A).where("arank >= useda and arank < useda + m").withColumn("brank", F.col("arank") - F.col("useda") + F.col("usedb"))
+    return met.join(b, [*_B, "brank"]).select("a", "b", "distance")
 
 
 def compared(here: DataFrame, there: DataFrame, tx: float, ty: float) -> DataFrame:
-    """state ('matched', 'only here', 'only there'), here, there, distance: two sources without a common key."""
-    matched = stored(one_to_one(near_pairs(here, there, tx, ty)), "matched")
+    """state ('matched', 'only here', 'only there'), here, there, distance: two sources without a common key.
+
+    Rows are (id, x, y). A row without a measure matches nothing. Places are compared, not rows, so copies cost nothing;
+    places that lie close together are as many candidates as their pairs within the tolerances.
+    """
+    matched = stored(one_to_one(here, there, tx, ty), "matched")
     only_here = here.select(F.col("id").alias("here")).join(matched.select(F.col("a").alias("here")), "here", "left_anti")
     only_there = there.select(F.col("id").alias("there")).join(matched.select(F.col("b").alias("there")), "there", "left_anti")
     out = matched.select(F.lit("matched").alias("state"), F.col("a").alias("here"), F.col("b").alias("there"), "distance")

@@ -130,9 +130,9 @@ _MATCH_ROUNDS = 12
 
 def _match_sql() -> str:
     tx, ty = _TOLERANCE
-    parts = [f"WITH {_HERE}, {_THERE}", f"p0 AS (SELECT h.id AS a, t.id AS b, greatest(abs(h.x - t.x) / {tx}, abs(h.y - t.y) / {ty}) AS d FROM here h JOIN there t ON abs(h.x - t.x) <= {tx} AND abs(h.y - t.y) <= {ty})"]
+    parts = [f"WITH {_HERE}, {_THERE}", f"p0 AS (SELECT h.id AS a, t.id AS b, h.x AS ax, h.y AS ay, t.x AS bx, t.y AS by_, greatest(abs(h.x - t.x) / {tx}, abs(h.y - t.y) / {ty}) AS d FROM here h JOIN there t ON abs(h.x - t.x) <= {tx} AND abs(h.y - t.y) <= {ty})"]
     for k in range(_MATCH_ROUNDS):
-        parts.append(f"b{k} AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS ra, row_number() OVER (PARTITION BY b ORDER BY d, a) AS rb FROM p{k})")
+        parts.append(f"b{k} AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, bx, by_, b) AS ra, row_number() OVER (PARTITION BY b ORDER BY d, ax, ay, a) AS rb FROM p{k})")
         parts.append(f"m{k} AS (SELECT a, b, d FROM b{k} WHERE ra = 1 AND rb = 1)")
         parts.append(f"p{k + 1} AS (SELECT * FROM p{k} WHERE a NOT IN (SELECT a FROM m{k}) AND b NOT IN (SELECT b FROM m{k}))")
     return ", ".join(parts) + ", matched AS (" + " UNION ALL ".join(f"SELECT * FROM m{k}" for k in range(_MATCH_ROUNDS)) + ") "
