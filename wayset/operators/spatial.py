@@ -152,11 +152,13 @@ def tiled(segs: DataFrame, world: World) -> DataFrame:
     return leveled.withColumn("tile", F.when(whole, _spread_bits(x).bitwiseOR(F.shiftleft(_spread_bits(y), 1))).otherwise(F.lit(0)).cast("long"))
 
 
-def write_tiles(segs: DataFrame, path: str, world: World, files: int = 64) -> None:
+def write_tiles(segs: DataFrame, path: str, world: World, files: int | None = None) -> None:
     """One folder per level; in each, files and row groups hold stretches of the Z-order.
 
-    Rows are dealt by ranges of (level, tile), so a level has as many files as its share of the rows asks for.
+    Rows are dealt by ranges of (level, tile) to ``files`` tasks (as many as shuffles have partitions), so a level has as
+    many files as its share of the rows asks for.
     """
+    files = files or int(segs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = tiled(segs, world).repartitionByRange(files, "level", "tile", "id").sortWithinPartitions("level", "tile", "id")
     dealt.write.mode("overwrite").option("parquet.block.size", 1 << 20).partitionBy("level").parquet(path)
 

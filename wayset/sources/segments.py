@@ -158,10 +158,6 @@ def bridge(segs: DataFrame) -> DataFrame:
     return segs.select(F.explode("refs").alias("ref"), "id", "refs", "n", "kind").sortWithinPartitions("ref", "id")
 
 
-#: Buckets of sets. Tables that are joined by set must have as many.
-SET_BUCKETS = 16
-
-
 def set_key() -> Column:
     return F.xxhash64("refs").alias("set_key")
 
@@ -171,10 +167,14 @@ def _table_name(path: str) -> str:
 
 
 def write_names(segs: DataFrame, path: str) -> None:
-    """Distinct (set, name) pairs as a bucketed table at ``path``; null and empty names are none."""
+    """Distinct (set, name) pairs as a table at ``path`` in as many buckets of sets as shuffles have partitions.
+
+    Null and empty names are none.
+    """
+    buckets = int(segs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = segs.where("name <> ''").select(set_key(), "refs", "name").distinct()
-    dealt = pairs.repartition(SET_BUCKETS, "set_key")
-    dealt.write.mode("overwrite").format("parquet").bucketBy(SET_BUCKETS, "set_key").sortBy("set_key").option("path", path).saveAsTable(_table_name(path))
+    dealt = pairs.repartition(buckets, "set_key")
+    dealt.write.mode("overwrite").format("parquet").bucketBy(buckets, "set_key").sortBy("set_key").option("path", path).saveAsTable(_table_name(path))
 
 
 def read_names(spark: SparkSession, path: str) -> DataFrame:
