@@ -119,6 +119,13 @@ def test_the_same_build_again_touches_no_set(spark, tmp_path):
     assert {p.name: files(roll, p.name) for p in roll.glob("bucket=*")} == before
 
 
+def test_a_region_without_a_name_is_an_error(spark, tmp_path):
+    builds = tmp_path / "builds"
+    regional.write_regional(frame(spark, build(1, "a", range(5))), str(builds))
+    with pytest.raises(ValueError, match="name"):
+        regional.replace_regions(spark, str(builds), str(builds), frame(spark, build(1, "a", range(3))).withColumn("region", F.lit(None).cast("string")))
+
+
 def test_plans_need_no_sort_aggregate(spark, sf_dir):
     from wayset.plans import catalog
 

@@ -16,6 +16,8 @@ from .store import stored
 LENGTH = "decimal(18,2)"
 #: Folders of the roll-up. A set's folder never changes, so neither may this number for a table that exists.
 BUCKETS = 64
+#: Regions that one call may replace.
+MOST_REGIONS = 1000
 #: Files that a region's folder has at most, so that a large region is the work of several tasks.
 SPREAD = 16
 
@@ -58,11 +60,13 @@ def replace_regions(spark: SparkSession, builds: str, roll_up: str, changed: Dat
     """
     old = spark.read.parquet(builds)
     new = stored(changed.select(*old.columns), "changed")
-    regions = new.select("region").distinct()
-    replaced = old.join(F.broadcast(regions), "region", "left_semi")  # the region index: some dozens of rows
+    names = [r["region"] for r in new.select("region").distinct().limit(MOST_REGIONS + 1).collect()]
+    if None in names or len(names) > MOST_REGIONS:
+        raise ValueError(f"up to {MOST_REGIONS} regions can be replaced at once, and each needs a name")
+    replaced = old.where(F.col("region").isin(names))  # folders that the scan is left with
     touched = replaced.select("id").unionByName(new.select("id")).distinct()
-    kept = old.join(F.broadcast(regions), "region", "left_anti").join(touched, "id", "left_semi").select(*old.columns)
-    before = seam_dedup(kept.unionByName(replaced.select(*old.columns)))
+    kept = old.where(~F.col("region").isin(names)).join(touched, "id", "left_semi").select(*old.columns)
+    before = seam_dedup(kept.unionByName(replaced))
     after = seam_dedup(kept.unionByName(new))
     delta = stored(_delta(before, after), "delta")
     held = spark.read.parquet(roll_up).join(delta.select("bucket").distinct(), "bucket", "left_semi").select("refs", "km", "arcs", "bucket")
