@@ -92,7 +92,6 @@ def _judged(spark, sf_dir):
         judged, ledger = evidence.fall_through(claims(spark, sf_dir), _LEAST)
         judged.write.mode("overwrite").parquet(f"{path}/judged")
         ledger.write.mode("overwrite").parquet(f"{path}/ledger")
-        spark.range(0).write.mode("append").parquet(path)
 
     path = once(spark, "judged", inputs, write)
     return spark.read.parquet(f"{path}/judged"), spark.read.parquet(f"{path}/ledger")

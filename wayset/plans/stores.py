@@ -89,7 +89,12 @@ def shared_stored(spark, sf_dir):
 
 
 def written(spark, sf_dir) -> document.Document:
-    """The display document of the region sets and of the events' ends, written and read back."""
+    """The display document of the region sets and of the events' ends, written once and read back."""
+    path = once(spark, "document", [f"{sf_dir}/{t}.parquet" for t in (*model.INPUTS, "events")], lambda path: _write(spark, sf_dir, path))
+    return document.read_document(spark, path)
+
+
+def _write(spark, sf_dir, path: str) -> None:
     segs = segments(spark, sf_dir)
     combos = aggregate.combine(segs).select("refs", "n", F.col("km").cast("double").alias("km"), "arcs", document.box(*"wset"))
     placed_combos, names = document.placed_combinations(combos, segs, [F.desc("n"), F.desc("km"), F.asc("refs")])
@@ -99,9 +104,7 @@ def written(spark, sf_dir) -> document.Document:
     single = ordinal.ranked(sets.single_ends(ends).join(where, "place"), "ref", "lon", "lat")
     dates = segs.agg(F.min("updated").alias("oldest_edit"), F.max("updated").alias("newest_edit"), F.array_sort(F.collect_set("src")).alias("endpoints"), document.box(F.min("w"), F.min("s"), F.max("e"), F.max("t")))  # a handful of kinds of evidence
     stamp = table(spark, sf_dir, "events").agg(F.max("ts").cast("timestamp").alias("osm_timestamp"))
-    path = fresh_path(spark, "document")
     document.write_document(path, dates.join(stamp), {"combinations": placed_combos, "names": names, "termini": single, "shared_termini": shared})
-    return document.read_document(spark, path)
 
 
 @query("document_combinations", REGION_COMBOS + f"SELECT row_number() OVER (ORDER BY n DESC, km DESC, refs) - 1 AS pos, {LIST}, n, km::DOUBLE AS km, arcs, w, t AS north FROM combos")

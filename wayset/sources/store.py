@@ -70,8 +70,10 @@ def once(spark: SparkSession, name: str, inputs: list[str], write: Callable[[str
     """
     state = hashlib.sha256("\n".join([name, *(_state(spark, i) for i in inputs)]).encode()).hexdigest()[:32]
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{state}"
-    if not exists(spark, f"{path}/_SUCCESS"):
+    if not exists(spark, f"{path}/_DONE"):  # readers pass over names that begin so
         write(at_exit_removed(spark, path))
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_DONE")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at).close()
     return path
 
 
