@@ -9,6 +9,7 @@ from tests.test_spatial import scanned
 from wayset.operators import aggregate, ordinal, sets
 from wayset.plans import stores
 from wayset.sources import document, regional
+from wayset.sources import segments as model
 
 
 def test_ranks_equal_a_sort(spark):
@@ -132,3 +133,17 @@ def test_plans_need_no_sort_aggregate(spark, sf_dir):
     for name in ("combos_nation", "deepest_per_cell", "last_wins", "seam_dedup"):
         plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "SortAggregate" not in plan, name
+
+
+def test_line_items_do_not_move_to_their_suppliers(spark, sf_dir, monkeypatch):
+    """Whatever size Spark takes suppliers for: some are sent to all tasks, and very many are joined with the same rows."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = model.designated(spark, sf_dir)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(l_suppkey" not in plan
+        monkeypatch.setattr(model, "SENT_ROWS", 0)
+        assert found.exceptAll(model.designated(spark, sf_dir)).count() == 0 < found.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)

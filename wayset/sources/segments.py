@@ -23,10 +23,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Suppliers that are sent to all tasks, some 50 MB of hash table; more are joined by a shuffle of the line items.
+SENT_ROWS = 1_000_000
+
+
 def designated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items with both designations of their supplier: ``region`` and ``nation``."""
-    places = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    return table(spark, sf_dir, "lineitem").join(places.select("s_suppkey", F.col("n_regionkey").alias("region"), F.col("n_nationkey").alias("nation")), F.col("l_suppkey") == F.col("s_suppkey"))
+    """Line items with both designations of their supplier: ``region`` and ``nation``.
+
+    Spark takes the size of suppliers with nations for the product of both, so their number decides whether they are
+    sent to the line items: these need not move then, and an order's lines still lie together when they are summed.
+    """
+    suppliers, nations = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
+    few = suppliers.count() <= SENT_ROWS
+    places = suppliers.join(F.broadcast(nations) if few else nations, F.col("s_nationkey") == F.col("n_nationkey"))
+    places = places.select("s_suppkey", F.col("n_regionkey").alias("region"), F.col("n_nationkey").alias("nation"))
+    return table(spark, sf_dir, "lineitem").join(F.broadcast(places) if few else places, F.col("l_suppkey") == F.col("s_suppkey"))
 
 
 #: Tables that segments are derived from.
