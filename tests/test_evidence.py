@@ -129,3 +129,14 @@ def test_nothing_to_compare(spark):
     one = spark.createDataFrame([(1, None, 1.0)], "id long, x double, y double")
     assert evidence.compared(none, none, 1.0, 1.0).collect() == []
     assert [tuple(x) for x in evidence.compared(one, none, 1.0, 1.0).collect()] == [("only here", 1, None, None)]
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_a_round_leaves_few_nodes_of_a_chain(spark, kind, monkeypatch):
+    """Rounds shrink, also when neighbours have neighbouring numbers: written rows are a small multiple of the edges."""
+    written = []
+    monkeypatch.setattr(chains, "stored", lambda df, name: written.append(df.localCheckpoint()) or written[-1])
+    rows = spark.range(400).select(F.lit("r").alias("ref"), F.col("id").cast(kind).alias("a"), (F.col("id") + 1).cast(kind).alias("b"))
+    found = chains._contracted(chains._usable(rows))
+    assert found.count() == 401 and found.select("root").distinct().count() == 1
+    assert sum(w.count() for w in written) <= 6 * 400

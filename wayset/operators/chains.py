@@ -2,57 +2,95 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.store import stored
-from .ordinal import before, ranked
+from .ordinal import followed, ranked
 
 LENGTH = "decimal(18,2)"
 
 
+#: Turns in which one half of a node's number is combined with a hash of the other.
+_TURNS = 3
+
+
+def _scattered(node: str, kind: str) -> Column:
+    """A label in an order that has nothing to do with the node's own, another one for every node.
+
+    Every turn on a whole number can be undone, so no two numbers become one; other kinds keep the node beside its hash.
+    """
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        return F.struct(F.xxhash64(node).alias("h"), F.col(node).alias("node"))
+    half = F.lit((1 << 32) - 1)
+    x = F.col(node).cast("long")
+    high, low = F.shiftrightunsigned(x, 32), x.bitwiseAND(half)
+    for turn in range(_TURNS):
+        high, low = low, high.bitwiseXOR(F.xxhash64(low, F.lit(turn)).bitwiseAND(half))
+    return F.shiftleft(high, 32).bitwiseOR(low)
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """ref, u, root of every node (``u``, its label) that an edge (ref, u, v) joins with another.
+
+    In each round a node becomes the least label among itself and its neighbours, and edges join what their nodes became;
+    those within one label are gone. As labels are scattered, a round leaves some half of the nodes of a chain, so all
+    rounds together move a small multiple of the edges. Every round is written, so a lost executor costs one round.
+    """
+    now, steps = stored(edges.where("u <> v").select("ref", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges"), []
+    while not now.isEmpty():
+        both = now.unionByName(now.select("ref", F.col("v").alias("u"), F.col("u").alias("v")))
+        step = stored(both.groupBy("ref", "u").agg(F.min("v").alias("m")).select("ref", "u", F.least("u", "m").alias("m")), "steps")
+        steps.append(step)
+        of = lambda c: step.select("ref", F.col("u").alias(c), F.col("m").alias(f"m{c}"))  # noqa: B023, E731
+        moved = now.join(of("u"), ["ref", "u"]).join(of("v"), ["ref", "v"]).where("mu <> mv")
+        now = stored(moved.select("ref", F.least("mu", "mv").alias("u"), F.greatest("mu", "mv").alias("v")).distinct(), "edges")
+    found = steps.pop() if steps else now.withColumnRenamed("v", "m")
+    for step in reversed(steps):  # later steps are smaller, and a label that takes no part in them stays
+        later = found.select("ref", F.col("u").alias("m"), F.col("m").alias("root"))
+        found = step.join(later, ["ref", "m"], "left").select("ref", "u", F.coalesce("root", "m").alias("m"))
+    return found.withColumnRenamed("m", "root")
+
+
+def _usable(edges: DataFrame) -> DataFrame:
+    """Edges with a designation and two nodes, the labels of these beside them."""
+    known = edges.where("ref is not null and a is not null and b is not null")
+    kinds = dict(edges.dtypes)
+    return known.withColumn("u", _scattered("a", kinds["a"])).withColumn("v", _scattered("b", kinds["b"]))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """ref, node, piece: the smallest node that the designation's edges (ref, a, b) connect each node with.
 
-    Edges are contracted: in turns every node's larger neighbours, then its smaller ones, are linked with the smallest
-    node beside it, until nothing changes; that takes a number of rounds in the order of the logarithm of the longest
-    chain, squared at worst. Every round is written, so a lost executor costs one round. Edges without a designation
-    or a node are left out.
+    Edges without a designation or a node are left out. Both ends are of one kind.
     """
-    usable = edges.where("ref is not null and a is not null and b is not null")
-    nodes = usable.select("ref", F.explode(F.array("a", "b")).alias("node")).distinct()
-    now = stored(usable.where("a <> b").select("ref", F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = None
-    while True:
-        both = now.unionByName(now.select("ref", F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("ref", "u").agg(F.min("v").alias("m")).select("ref", "u", F.least("u", "m").alias("m"))
-        large = both.join(low, ["ref", "u"]).where("v > u and v <> m").select("ref", F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("ref", "u").agg(F.min("v").alias("m"))
-        small = large.join(low, ["ref", "u"]).where("v <> m").select("ref", F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stored(small.unionByName(low.select("ref", "u", F.col("m").alias("v"))).distinct(), "edges")
-        seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("ref", "u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if seen == state or not seen["n"]:
-            break
-        state = seen
-    label = now.select("ref", F.col("u").alias("node"), F.col("v").alias("piece"))
-    return nodes.join(label, ["ref", "node"], "left").select("ref", "node", F.coalesce("piece", "node").alias("piece"))
+    usable = _usable(edges)
+    side = lambda node, u: F.struct(F.col(node).alias("node"), F.col(u).alias("u"))
+    nodes = usable.select("ref", F.explode(F.array(side("a", "u"), side("b", "v"))).alias("p")).select("ref", "p.*").distinct()
+    rooted = stored(nodes.join(_contracted(usable), ["ref", "u"], "left").select("ref", "node", F.coalesce("root", "u").alias("root")), "roots")
+    least = rooted.groupBy("ref", "root").agg(F.min("node").alias("piece"))
+    return rooted.join(least, ["ref", "root"]).select("ref", "node", "piece")
 
 
 def pieces(edges: DataFrame) -> DataFrame:
-    """ref, piece, nodes, edges, km, ends, junctions, kind, lo, hi of every connected piece.
+    """ref, piece, nodes, edges, km, ends, junctions, kind, lo, hi of every connected piece, named by its smallest node.
 
     ``edges`` are (ref, a, ax, b, bx, km). A ring has no end and no junction, a chain two ends and no junction; what
-    else there is has branches. An edge from a node to itself is a ring.
+    else there is has branches. An edge from a node to itself is a ring. Edges without a designation or a node connect
+    nothing.
     """
+    kinds = dict(edges.dtypes)
+    whole = F.col("a").isNotNull() & F.col("b").isNotNull()
     side = lambda node, x: F.struct(F.col(node).alias("node"), F.col(x).alias("x"))
-    each = edges.select("ref", "km", F.explode(F.array(side("a", "ax"), side("b", "bx"))).alias("p"))
-    met = each.groupBy("ref", F.col("p.node").alias("node")).agg(F.count("*").alias("degree"), F.min("p.x").alias("x"), F.sum("km").alias("km"))
-    found = met.join(components(edges), ["ref", "node"]).groupBy("ref", "piece").agg(
-        F.count("*").alias("nodes"), (F.sum("degree") / 2).cast("long").alias("edges"), (F.sum("km") / 2).cast(LENGTH).alias("km"),
+    each = edges.where("ref is not null").select("ref", "km", whole.alias("whole"), F.explode(F.array(side("a", "ax"), side("b", "bx"))).alias("p")).where("p.node is not null").select("ref", "km", "whole", "p.*")
+    met = each.groupBy("ref", _scattered("node", kinds["a"]).alias("u")).agg(F.min("node").alias("node"), F.count("*").alias("degree"), F.min("x").alias("x"), F.sum("km").alias("km"), F.count_if("whole").alias("whole")).where("whole > 0")
+    rooted = met.join(_contracted(_usable(edges)), ["ref", "u"], "left").withColumn("root", F.coalesce("root", "u"))
+    found = rooted.groupBy("ref", "root").agg(
+        F.min("node").alias("piece"), F.count("*").alias("nodes"), (F.sum("degree") / 2).cast("long").alias("edges"), (F.sum("km") / 2).cast(LENGTH).alias("km"),
         F.count_if(F.col("degree") == 1).alias("ends"), F.count_if(F.col("degree") > 2).alias("junctions"), F.min("x").alias("lo"), F.max("x").alias("hi"),
     )
     kind = F.when(F.col("junctions") > 0, "branched").when(F.col("ends") == 0, "ring").otherwise("chain")
-    return found.withColumn("kind", kind)
+    return found.drop("root").withColumn("kind", kind)
 
 
 def gaps(found: DataFrame) -> DataFrame:
@@ -60,7 +98,7 @@ def gaps(found: DataFrame) -> DataFrame:
 
     The first piece of a designation has none; pieces that overlap have a gap of 0.
     """
-    placed = before(stored(ranked(found.select("ref", "piece", "lo", "hi"), "ref", "lo", "piece"), "pieces"), "ref", "piece", "hi")
+    placed = followed(found.select("ref", "lo", "piece", "hi"), ["ref", "lo", "piece"], "ref", "piece", "hi")
     return placed.where("ref = prev_ref").select("ref", "piece", F.col("prev_piece").alias("after"), F.greatest(F.col("lo") - F.col("prev_hi"), F.lit(0)).alias("gap"))
 
 

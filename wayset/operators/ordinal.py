@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,3 +50,42 @@ def before(df: DataFrame, *columns: str) -> DataFrame:
     """Rows with ``prev_<column>`` of the row one place before them: a join of places, not a window over all rows."""
     last = df.select((F.col("pos") + 1).alias("pos"), *(F.col(c).alias(f"prev_{c}") for c in columns))
     return df.join(last, "pos", "left")
+
+
+def followed(df: DataFrame, keys: list[str], *columns: str) -> DataFrame:
+    """Rows with ``prev_<column>`` of the row before them in the order of ``keys``, which should be total; null for the first.
+
+    Rows move once: they are dealt by ranges and sorted, each task carries the last row along, and only the last rows of
+    the tasks (one each) reach the driver, which hands each to the first row of the next task.
+    """
+    spark = df.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(tasks, *keys).sortWithinPartitions(*keys).withColumn("__task", F.spark_partition_id())
+    kinds = dict(df.dtypes)
+    earlier = [f"prev_{c}" for c in columns]
+
+    def carried(batches):
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            given = pa.Table.from_batches([batch])
+            one = given.slice(0, 1).select(list(columns))
+            before = last if last is not None else pa.table([pa.nulls(1, one.schema.field(c).type) for c in columns], schema=one.schema)
+            shifted = pa.concat_tables([before, given.slice(0, batch.num_rows - 1).select(list(columns))])
+            head = pa.array([last is None] + [False] * (batch.num_rows - 1))
+            last = given.slice(batch.num_rows - 1, 1).select(list(columns))
+            for name, c in zip(earlier, columns, strict=True):
+                given = given.append_column(name, shifted.column(c))
+            yield from given.append_column("__head", head).append_column("__tail", pa.array([False] * batch.num_rows)).combine_chunks().to_batches()
+        if last is not None:  # the task's last row once more, for the next task
+            extra = given.slice(given.num_rows - 1, 1)
+            yield from extra.append_column("__head", pa.array([False])).append_column("__tail", pa.array([True])).combine_chunks().to_batches()
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in df.columns) + ", __task int, " + ", ".join(f"`{e}` {kinds[c]}" for e, c in zip(earlier, columns, strict=True)) + ", __head boolean, __tail boolean"
+    held = stored(dealt.mapInArrow(carried, schema), "followed")
+    tails = sorted(held.where("__tail").select("__task", *columns).collect(), key=lambda r: r["__task"])  # a row for each task
+    rows = held.where("not __tail").select(*df.columns, *earlier, "__task", "__head")
+    handed = spark.createDataFrame([(after["__task"], *tuple(tail)[1:]) for tail, after in zip(tails, tails[1:], strict=False)], "__task int, " + ", ".join(f"`__{c}` {kinds[c]}" for c in columns))
+    both = rows.join(F.broadcast(handed), "__task", "left")  # likewise
+    return both.select(*df.columns, *(F.when(F.col("__head"), F.col(f"__{c}")).otherwise(F.col(e)).alias(e) for c, e in zip(columns, earlier, strict=True)))
