@@ -72,6 +72,24 @@ def test_odd_points_and_boxes(spark):
     assert spatial.point_hits(p, s.where("false")).count() == 0 == spatial.point_hits(p.where("false"), s).count()
 
 
+def test_deepest_hits_pair_places_and_extents(spark):
+    """Copies on both sides: the rows are those of all pairs, the plan sends no side to all tasks."""
+    r = random.Random(6)
+    given = [(i, r.randint(1, 3), *b[1:]) for i, b in enumerate(boxes(7, 20, 300, 3) * 4)]
+    asked = [(i, x, y) for i, (_, x, y) in enumerate(points(8, 30) * 5)] + [(900, None, 1.0)]
+    p, s = spark.createDataFrame(asked, "point long, x double, y double"), spark.createDataFrame(given, "id long, n int, w double, s double, e double, t double")
+    expected = []
+    for point, x, y in asked:
+        met = [b for b in given if x is not None and inside((point, x, y), (b[0], *b[2:]))]
+        if met:
+            best = min(met, key=lambda b: (-b[1], b[0]))
+            expected.append((point, len(met), best[0], best[1]))
+    assert sorted(tuple(x) for x in spatial.deepest_hits(p, s).select("point", "hits", "id", "n").collect()) == sorted(expected)
+    plan = spatial.candidates(p, s)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin [__key" in plan
+    assert spatial.deepest_hits(p.where("false"), s).count() == 0 == spatial.deepest_hits(p, s.where("false")).count()
+
+
 def drawn(b, zoom, box):
     side = max((b[3] - b[1]) / WORLD.width(), (b[4] - b[2]) / WORLD.height())
     meets = b[1] <= box[2] and b[3] >= box[0] and b[2] <= box[3] and b[4] >= box[1]

@@ -25,9 +25,7 @@ def points(spark, sf_dir):
 def point_probe(spark, sf_dir):
     """What a click at each part's place shows: how many small segments lie there, and the deepest of them."""
     small = segments(spark, sf_dir, "nation").where("e - w <= 2D and t - s <= 0.02D").select("id", "n", "w", "s", "e", "t")
-    hits = spatial.point_hits(points(spark, sf_dir), small).select("point", "id", "n")
-    counted = hits.groupBy("point").agg(F.count("*").alias("hits"))
-    return aggregate.deepest(hits, "point").join(counted, "point").select("point", "hits", "id", "n")
+    return spatial.deepest_hits(points(spark, sf_dir), small).select("point", "hits", "id", "n")
 
 
 #: Views: zoom and box. The lower the zoom, the larger a segment must be to be drawn.
