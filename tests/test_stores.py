@@ -38,6 +38,17 @@ def test_before_is_the_row_one_place_earlier(spark):
     assert sorted((x["v"], x["prev_v"]) for x in found.collect() if x["v"]) == [(v, v - 3) for v in range(3, 30, 3)]
 
 
+def test_followed_rows_move_once(spark):
+    """Each row has the one before it, across tasks and from the first on; one shuffle by ranges, no join of places."""
+    rows = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k"), F.concat(F.lit("v"), F.col("id")).alias("v")).repartition(5)
+    found = ordinal.followed(rows, ["k"], "k", "v")
+    of = {k: f"v{i}" for i, k in ((i, i * 7 % 1000) for i in range(1000))}
+    assert sorted((x["k"], x["prev_k"], x["prev_v"]) for x in found.where("k > 0").collect()) == [(k, k - 1, of[k - 1]) for k in range(1, 1000)]
+    assert [tuple(x) for x in found.where("k = 0").collect()] == [(0, "v0", None, None)]
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert ordinal.followed(rows.where("false"), ["k"], "v").collect() == []
+
+
 # The document
 
 
