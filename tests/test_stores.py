@@ -158,3 +158,12 @@ def test_line_items_do_not_move_to_their_suppliers(spark, sf_dir, monkeypatch):
         assert found.exceptAll(model.designated(spark, sf_dir)).count() == 0 < found.count()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_the_document_sums_without_counting_names(spark, sf_dir, tmp_path, monkeypatch):
+    def unwanted(segs):
+        raise AssertionError("names are counted for columns that the document has not")
+
+    monkeypatch.setattr(aggregate, "combine", unwanted)
+    stores._write(spark, sf_dir, str(tmp_path / "doc"))
+    assert document.read_document(spark, str(tmp_path / "doc")).relation("combinations").count() > 0

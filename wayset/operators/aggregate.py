@@ -16,15 +16,20 @@ def top_one(rows: DataFrame, key: str | list[str], *order: str | Column) -> Data
     return rows.withColumn("__first", first).where("__first = 1").drop("__first")
 
 
+def extents_by_set(segs: DataFrame) -> DataFrame:
+    """refs, n, km, arcs and extent of every distinct set."""
+    return segs.groupBy("refs").agg(
+        F.max("n").alias("n"), F.sum("km").cast(LENGTH).alias("km"), F.count("*").alias("arcs"), F.min("w").alias("w"), F.min("s").alias("s"), F.max("e").alias("e"), F.max("t").alias("t"),
+    )
+
+
 def combine(segs: DataFrame) -> DataFrame:
     """One row per distinct set: refs, n, km, arcs, number of distinct names and the first of them, extent.
 
     Sets must be sorted and without repeats. Names are counted, not gathered; ``with_names`` lists those of rows that
     are shown. Sums and names are aggregated apart, so that sums need no sort.
     """
-    summed = segs.groupBy("refs").agg(
-        F.max("n").alias("n"), F.sum("km").cast(LENGTH).alias("km"), F.count("*").alias("arcs"), F.min("w").alias("w"), F.min("s").alias("s"), F.max("e").alias("e"), F.max("t").alias("t"),
-    )
+    summed = extents_by_set(segs)
     names = segs.where("name <> ''").select("refs", "name").distinct()
     counted = names.groupBy("refs").agg(F.count("*").alias("n_names"))
     first = top_one(names, "refs", "name").withColumnRenamed("name", "first_name")

@@ -8,7 +8,7 @@ from ..operators import aggregate, ordinal, sets, spatial
 from ..sources import document, regional
 from ..sources import segments as model
 from ..sources.segments import ENDPOINTS_SQL, WORLD, segments, sums, table, tiles
-from ..sources.store import fresh_path, once
+from ..sources.store import fresh_path, once, stored
 from .builds import CUT, POINTS, extracts, placed
 from .registry import COMBOS, LIST, NATION_COMBOS, NATIONS, REGION_COMBOS, REGIONS, joined, km, query
 
@@ -94,9 +94,9 @@ def written(spark, sf_dir) -> document.Document:
 
 def _write(spark, sf_dir, path: str) -> None:
     segs = segments(spark, sf_dir)
-    combos = aggregate.combine(segs).select("refs", "n", F.col("km").cast("double").alias("km"), "arcs", document.box(*"wset"))
+    combos = aggregate.extents_by_set(segs).select("refs", "n", F.col("km").cast("double").alias("km"), "arcs", document.box(*"wset"))
     placed_combos, names = document.placed_combinations(combos, segs, [F.desc("n"), F.desc("km"), F.asc("refs")])
-    ends = placed(model.endpoints(spark, sf_dir).select(F.ascii("ref").alias("ref"), "place"))
+    ends = stored(placed(model.endpoints(spark, sf_dir).select(F.ascii("ref").alias("ref"), "place")).distinct(), "ends")  # four readers, and few rows
     where = ends.select("place", "lon", "lat").distinct()
     shared = ordinal.ranked(sets.shared_ends(ends).join(where, "place"), F.desc(F.size("refs")), F.asc("lon"), F.asc("lat"))
     single = ordinal.ranked(sets.single_ends(ends).join(where, "place"), "ref", "lon", "lat")
