@@ -48,6 +48,41 @@ def test_pieces_and_gaps(spark):
     assert sorted((x["ref"], x["piece"], x["after"], x["gap"]) for x in gaps.collect()) == [("r", 10, 1, 7.0), ("r", 20, 10, 8.0)]
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_pieces_of_any_shape(spark, kind):
+    """Chains, rings, branches, hubs, doubled edges, loops and edges without an end, against a dictionary."""
+    r = random.Random(5)
+    rows = [(r.choice("xy"), r.randint(100, 400), r.randint(100, 400), r.randint(1, 9)) for _ in range(220)] + [("x", 250, 250, 4), ("y", 999, 999, 4)]
+    rows += [("hub", 500, 501 + k % 40, k) for k in range(60)] + [("long", 100 + k, 101 + k, 1) for k in range(150)] + [("ring", 600 + k, 600 + (k + 1) % 9, 2) for k in range(9)]
+    half = [("x", 101 + k, None, 3) for k in range(0, 300, 7)] + [("z", 1, None, 3)]
+    made = spark.createDataFrame([(x, a, float(a), b, float(b) if b else None, float(km)) for x, a, b, km in rows + half], EDGES)
+    found = {(x["ref"], int(x["piece"])): tuple(x)[2:] for x in chains.pieces(made.withColumns({c: F.col(c).cast(kind) for c in "ab"})).collect()}
+    degree, km, members = Counter(), Counter(), defaultdict(list)
+    for x, a, b, length in rows + half:
+        for node in (a, b):
+            if node is not None:
+                degree[x, node] += 1
+                km[x, node] += length
+    for (x, node), piece in union_find(rows).items():
+        members[x, piece].append((x, node))
+    expected = {}
+    for (x, piece), of in members.items():
+        ends, junctions = sum(degree[n] == 1 for n in of), sum(degree[n] > 2 for n in of)
+        name = "branched" if junctions else "chain" if ends else "ring"
+        expected[x, piece] = (len(of), sum(degree[n] for n in of) // 2, sum(km[n] for n in of) / 2, ends, junctions, float(min(of)[1]), float(max(of)[1]), name)
+    assert {k: (*v[:2], float(v[2]), *v[3:]) for k, v in found.items()} == expected
+
+
+def test_pieces_of_one_round_are_not_stored(spark, monkeypatch):
+    """Pieces that are whole after the first round take no part in the rounds, so nothing of them is written there."""
+    written = []
+    monkeypatch.setattr(chains, "stored", lambda df, name: written.append(df.localCheckpoint()) or written[-1])
+    rows = [("r", 10 * k, 10 * k + 1, 1) for k in range(200)]
+    found = chains.pieces(edges(spark, rows)).collect()
+    assert sorted((x["piece"], x["nodes"], x["edges"], x["ends"]) for x in found) == [(10 * k, 2, 1, 2) for k in range(200)]
+    assert sum(w.count() for w in written) == 0
+
+
 def test_audit_puts_the_most_broken_first(spark):
     rows = [("whole", k, k + 1, 1) for k in range(5)] + [("two", 1, 2, 1), ("two", 5, 6, 4)] + [("three", k, k + 1, 1) for k in (1, 10, 20)]
     found = chains.audit(chains.pieces(edges(spark, rows))).orderBy("place").collect()

@@ -42,8 +42,9 @@ def _contracted(edges: DataFrame) -> DataFrame:
         both = now.unionByName(now.select("ref", F.col("v").alias("u"), F.col("u").alias("v")))
         step = stored(both.groupBy("ref", "u").agg(F.min("v").alias("m")).select("ref", "u", F.least("u", "m").alias("m")), "steps")
         steps.append(step)
-        of = lambda c: step.select("ref", F.col("u").alias(c), F.col("m").alias(f"m{c}"))  # noqa: B023, E731
-        moved = now.join(of("u"), ["ref", "u"]).join(of("v"), ["ref", "v"]).where("mu <> mv")
+        of = lambda c: step.select("ref", F.col("u").alias(f"k{c}"), F.col("m").alias(f"m{c}"))  # noqa: B023, E731  both renamed alike: Spark moves them once
+        ends = now.select("ref", F.col("u").alias("ku"), F.col("v").alias("kv"))
+        moved = ends.join(of("u"), ["ref", "ku"]).join(of("v"), ["ref", "kv"]).where("mu <> mv")
         now = stored(moved.select("ref", F.least("mu", "mv").alias("u"), F.greatest("mu", "mv").alias("v")).distinct(), "edges")
     found = steps.pop() if steps else now.withColumnRenamed("v", "m")
     for step in reversed(steps):  # later steps are smaller, and a label that takes no part in them stays
@@ -72,25 +73,56 @@ def components(edges: DataFrame) -> DataFrame:
     return rooted.join(least, ["ref", "root"]).select("ref", "node", "piece")
 
 
+def _sided(edges: DataFrame, *also: str) -> DataFrame:
+    """Every edge from both of its ends: ref, ``also``, node, x, and v, the other end's label if both ends are known."""
+    kinds = dict(edges.dtypes)
+    whole = F.col("a").isNotNull() & F.col("b").isNotNull()
+    side = lambda node, x, other: F.struct(F.col(node).alias("node"), F.col(x).alias("x"), F.when(whole, _scattered(other, kinds["a"])).alias("v"))
+    return edges.where("ref is not null").select("ref", *also, F.explode(F.array(side("a", "ax", "b"), side("b", "bx", "a"))).alias("p")).where("p.node is not null").select("ref", *also, "p.*")
+
+
+def _neared(met: DataFrame, kind: str) -> DataFrame:
+    """``met`` with m, the least label of a node and its neighbours (whose least is v); nodes of no whole edge are left out."""
+    return met.where("v is not null").withColumn("m", F.least(_scattered("node", kind), "v")).drop("v")
+
+
+def _first_round(edges: DataFrame) -> DataFrame:
+    """ref, u, v: edges (ref, a, b) between what their nodes become in the first round; most have become one.
+
+    It works on the nodes as they are, which are shorter than their labels when they move, and stores nothing.
+    """
+    near = _neared(_sided(edges).groupBy("ref", "node").agg(F.min("v").alias("v")), dict(edges.dtypes)["a"])
+    of = lambda c: near.select("ref", F.col("node").alias(f"k{c}"), F.col("m").alias(f"m{c}"))  # noqa: E731  as in _contracted
+    ends = edges.where("ref is not null and a <> b").select("ref", F.col("a").alias("ka"), F.col("b").alias("kb"))
+    return ends.join(of("a"), ["ref", "ka"]).join(of("b"), ["ref", "kb"]).select("ref", F.col("ma").alias("u"), F.col("mb").alias("v"))
+
+
+def _summed(parts: DataFrame, by: str) -> DataFrame:
+    sums = [F.sum(c).alias(c) for c in ("nodes", "degree", "km", "ends", "junctions")]
+    return parts.groupBy("ref", by).agg(F.min("piece").alias("piece"), *sums, F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
 def pieces(edges: DataFrame) -> DataFrame:
     """ref, piece, nodes, edges, km, ends, junctions, kind, lo, hi of every connected piece, named by its smallest node.
 
     ``edges`` are (ref, a, ax, b, bx, km). A ring has no end and no junction, a chain two ends and no junction; what
     else there is has branches. An edge from a node to itself is a ring. Edges without a designation or a node connect
     nothing.
+
+    Nodes are summed by what they become in the first round. Most sums are whole pieces then; only those that edges
+    still join move on to their root.
     """
-    kinds = dict(edges.dtypes)
-    whole = F.col("a").isNotNull() & F.col("b").isNotNull()
-    side = lambda node, x: F.struct(F.col(node).alias("node"), F.col(x).alias("x"))
-    each = edges.where("ref is not null").select("ref", "km", whole.alias("whole"), F.explode(F.array(side("a", "ax"), side("b", "bx"))).alias("p")).where("p.node is not null").select("ref", "km", "whole", "p.*")
-    met = each.groupBy("ref", _scattered("node", kinds["a"]).alias("u")).agg(F.min("node").alias("node"), F.count("*").alias("degree"), F.min("x").alias("x"), F.sum("km").alias("km"), F.count_if("whole").alias("whole")).where("whole > 0")
-    rooted = met.join(_contracted(_usable(edges)), ["ref", "u"], "left").withColumn("root", F.coalesce("root", "u"))
-    found = rooted.groupBy("ref", "root").agg(
-        F.min("node").alias("piece"), F.count("*").alias("nodes"), (F.sum("degree") / 2).cast("long").alias("edges"), (F.sum("km") / 2).cast(LENGTH).alias("km"),
-        F.count_if(F.col("degree") == 1).alias("ends"), F.count_if(F.col("degree") > 2).alias("junctions"), F.min("x").alias("lo"), F.max("x").alias("hi"),
+    roots = stored(_contracted(_first_round(edges)), "roots")
+    met = _sided(edges, "km").groupBy("ref", "node").agg(F.count("*").alias("degree"), F.min("x").alias("x"), F.sum("km").alias("km"), F.min("v").alias("v"))
+    nodes = _neared(met, dict(edges.dtypes)["a"]).select(
+        "ref", "m", F.col("node").alias("piece"), F.lit(1).alias("nodes"), "degree", "km", (F.col("degree") == 1).cast("int").alias("ends"), (F.col("degree") > 2).cast("int").alias("junctions"),
+        F.col("x").alias("lo"), F.col("x").alias("hi"),
     )
+    parts = _summed(nodes.where("m is not null"), "m")
+    joined = roots.select("ref", F.col("u").alias("m"), "root").hint("shuffle_hash")  # a row a key, and fewer than the parts: those are not sorted
+    found = parts.join(joined, ["ref", "m"], "left_anti").drop("m").unionByName(_summed(parts.join(joined, ["ref", "m"]), "root").drop("root"))
     kind = F.when(F.col("junctions") > 0, "branched").when(F.col("ends") == 0, "ring").otherwise("chain")
-    return found.drop("root").withColumn("kind", kind)
+    return found.select("ref", "piece", "nodes", (F.col("degree") / 2).cast("long").alias("edges"), (F.col("km") / 2).cast(LENGTH).alias("km"), "ends", "junctions", "lo", "hi").withColumn("kind", kind)
 
 
 def gaps(found: DataFrame) -> DataFrame:
