@@ -86,6 +86,44 @@ def test_packed_columns():
     assert op._unpack(op._pack(values, 5), 5, 5).tolist() == values.tolist()
 
 
+def test_payloads_of_stretches():
+    """Stretches are packed apart and unpacked together; none make no payload."""
+    wide, low = np.array([3, -1, 2**40, 7, 0]), np.array([1, 2, 3, 4, 5])
+    edges = op._edges(np.array([4, 4, 9, 9, 9]))
+    sizes, (first, second) = op._unpacked(op._packed([(wide, 8), (low, 1)], edges), [8, 1])
+    assert (sizes.tolist(), first.tolist(), second.tolist()) == ([2, 3], wide.tolist(), low.tolist())
+    assert op._packed([(wide[:0], 8)], op._edges(wide[:0])) == []
+    assert op._unpacked(op._packed([(wide[:0], 8)]), [8])[1][0].tolist() == []
+
+
+def test_payloads_grow_with_the_corpus():
+    """Every group has something for every bucket: 12 times the text makes some 12 times as many payloads, not 144."""
+    payloads = lambda size: (lambda groups, buckets, parts: groups * buckets)(*op.layout(size))
+    assert payloads(12 * 10**9) <= 12.5 * payloads(10**9)
+    for size in (0, 1, 10**9, 10**10, 10**14):
+        groups, buckets, parts = op.layout(size)
+        assert size / groups <= op.LARGEST * op.GROUP_BYTES and size / buckets <= op.LARGEST * 16 * op.BUCKET_ANCHORS
+        assert size / (3 * buckets * parts) <= 16 * op.BUCKET_ANCHORS / 3 + 1  # what is sorted at once stays as small
+
+
+@pytest.mark.parametrize("wide", [20_000, 1])
+def test_larger_groups_and_parts(spark, monkeypatch, wide):
+    """With groups and buckets of a corpus that counts as large, whose bytes are sorted in parts."""
+    monkeypatch.setattr(op, "FEW_BYTES", 1000)
+    monkeypatch.setattr(op, "GROUP_BYTES", 500)
+    monkeypatch.setattr(op, "BUCKET_ANCHORS", 20)
+    monkeypatch.setattr(op, "HOT_FROM", 10**9)
+    monkeypatch.setattr(op, "WIDE", wide)
+    random.seed(11)
+    some = lambda n: "".join(random.choice("abcdefgh é") for _ in range(n))
+    s = [some(140) for _ in range(6)]
+    rows = [(d, some(30) + random.choice(s)[random.randrange(60) :] + some(30) + random.choice(s)[: random.randrange(50, 140)]) for d in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    size = sum(len(t.encode()) for _, t in rows)
+    assert op.layout(size)[2] > 2 and min(op.layout(size)[:2]) > 4
+    check(docs)
+
+
 def test_wide_families_of_shared_ids(spark, monkeypatch):
     monkeypatch.setattr(op, "WIDE", 1)
     monkeypatch.setattr(op, "HOT_FROM", 10**9)

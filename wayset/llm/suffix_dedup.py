@@ -19,6 +19,7 @@ group of documents before they travel, so that no bucket gathers what a hot pass
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +30,9 @@ from pyspark.sql import functions as F
 from ._shared import documents, fresh, mix64, partitions, seeds
 
 WINDOW, GRAM = 50, 20
-#: Bytes of text in a group of documents, and anchors in a bucket, about.
-GROUP_BYTES, BUCKET_ANCHORS = 3_000_000, 300_000
+#: Bytes of text in a group of documents, and anchors in a bucket, about, of a corpus of up to FEW_BYTES of text.
+#: Larger ones have groups and buckets larger by the root of their size, up to LARGEST times.
+GROUP_BYTES, BUCKET_ANCHORS, FEW_BYTES, LARGEST = 3_000_000, 300_000, 1_000_000_000, 8
 #: Documents that are looked at for hot anchors (times the cube root of millions of documents), bytes of text a
 #: document among them at most on average, and in how many of them an anchor must be to be hot.
 HOT_SAMPLE, HOT_BYTES, HOT_FROM = 10_000, 32_768, 6
@@ -213,31 +215,39 @@ def repeated_windows(texts: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
 # Packed columns: little-endian byte planes, so that the shuffle's compression sees equal high bytes together.
 
 
-def _pack(values: np.ndarray, width: int) -> bytes:
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+def _pack(values: np.ndarray, width: int) -> np.ndarray:
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
 
 
-def _unpack(data: bytes, width: int, n: int) -> np.ndarray:
+def _unpack(data: bytes | np.ndarray, width: int, n: int) -> np.ndarray:
     out = np.zeros((n, 8), dtype=np.uint8)
     out[:, :width] = np.frombuffer(data, np.uint8, width * n).reshape(width, n).T
     return out.reshape(-1).view("<u8").astype(np.int64)
 
 
-def _pack_all(columns: list[tuple[np.ndarray, int]]) -> bytes:
-    return len(columns[0][0]).to_bytes(8, "little") + b"".join(_pack(v, w) for v, w in columns)
+def _packed(columns: list[tuple[np.ndarray, int]], edges: np.ndarray | None = None) -> list[bytes]:
+    """Payloads of the columns' stretches that begin at ``edges`` (none: of them whole)."""
+    planes = np.concatenate([_pack(v, w) for v, w in columns])
+    bounds = [*([0] if edges is None else edges.tolist()), planes.shape[1]]
+    return [(b - a).to_bytes(8, "little") + planes[:, a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
-def _unpack_all(data: bytes, widths: list[int]) -> list[np.ndarray]:
-    n, at, out = int.from_bytes(data[:8], "little"), 8, []
-    for w in widths:
-        out.append(_unpack(data[at : at + w * n], w, n))
-        at += w * n
-    return out
+def _unpacked(payloads: list[bytes], widths: list[int]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """How many rows each payload has, and the columns of all of them, one after the other."""
+    sizes, deep = np.array([int.from_bytes(p[:8], "little") for p in payloads], dtype=np.int64), sum(widths)
+    planes = np.concatenate([np.frombuffer(p, np.uint8, deep * n, 8).reshape(deep, n) for p, n in zip(payloads, sizes.tolist(), strict=True)], axis=1)
+    at = np.cumsum([0, *widths])
+    return sizes, [_unpack(planes[a : a + w], w, planes.shape[1]) for a, w in zip(at, widths, strict=False)]
+
+
+def _edges(values: np.ndarray) -> np.ndarray:
+    """Where stretches of equal values begin."""
+    return np.flatnonzero(np.concatenate([np.ones(min(1, len(values)), dtype=bool), values[1:] != values[:-1]]))
 
 
 _ROUTED = "key long, grp long, kind int, payload binary"
 _RUNS, _FLAGS, _ASKED, _BYTES = 0, 1, 2, 3
-_RUN_WIDTHS, _FLAG_WIDTHS, _ASK_WIDTHS = [4, 8, 3, 8, 5, 2], [4, 5, 5], [4, 5, 5, 8, 8]
+_RUN_WIDTHS, _FLAG_WIDTHS, _ASK_WIDTHS, _SPAN_WIDTHS = [4, 8, 4, 7, 5, 2], [4, 5, 5], [4, 5, 5, 8, 4], [4, 8, 5, 5, 1]
 _WIDE_BUCKET = (1 << 62) - 1
 
 
@@ -280,12 +290,13 @@ def _send_runs(buckets: int, hot):
         least = owner[np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else owner
         again = order[owner > least]
         keep = np.sort(order[owner == least])
-        rows = [(-1 - grp, grp, _FLAGS, _pack_all(list(zip(_merge(r.doc[again], r.start[again], r.count[again]), _FLAG_WIDTHS, strict=True))))]
+        rows = [(-1 - grp, grp, _FLAGS, *_packed(list(zip(_merge(r.doc[again], r.start[again], r.count[again]), _FLAG_WIDTHS, strict=True))))]
         bucket = (mix64(r.anchor[keep]) % _U(buckets)).astype(np.int64)
-        for b in np.unique(bucket):
-            k = keep[bucket == b]
-            rows.append((b, grp, _RUNS, _pack_all([(r.doc[k], 4), (ids[r.doc[k]], 8), (r.anchor[k] & _U(0xFFFFFF), 3), (r.content[k], 8), (r.start[k], 5), (r.count[k], 2)])))
-        return _routed(rows)
+        dealt = np.argsort(bucket, kind="stable")
+        k, bucket = keep[dealt], bucket[dealt]
+        edges = _edges(bucket)
+        payloads = _packed(list(zip((r.doc[k], ids[r.doc[k]], r.anchor[k], r.content[k], r.start[k], r.count[k]), _RUN_WIDTHS, strict=True)), edges)
+        return _routed([*rows, *((b, grp, _RUNS, p) for b, p in zip(bucket[edges].tolist(), payloads, strict=True))])
 
     return run
 
@@ -301,9 +312,8 @@ def _settle(most: int):
         if b < 0:
             return pdf
         fresh()
-        parts = [_unpack_all(p, _RUN_WIDTHS) for p in pdf["payload"]]
-        grp = np.repeat(pdf["grp"].to_numpy(), [len(p[0]) for p in parts])
-        doc, ids, anchor, content, start, count = (np.concatenate(c) for c in zip(*parts, strict=True))
+        sizes, (doc, ids, anchor, content, start, count) = _unpacked(list(pdf["payload"]), _RUN_WIDTHS)
+        grp = np.repeat(pdf["grp"].to_numpy(), sizes)
         order = np.lexsort((ids, content, anchor))
         grp, doc, ids, anchor, content, start, count = (x[order] for x in (grp, doc, ids, anchor, content, start, count))
         family = np.concatenate([[True], anchor[1:] != anchor[:-1]])
@@ -313,21 +323,21 @@ def _settle(most: int):
         kinds = np.add.reduceat(kind.astype(np.int64), np.flatnonzero(family))[np.cumsum(family) - 1]
         low, high = (f.reduceat(ids, np.flatnonzero(family))[np.cumsum(family) - 1] for f in (np.minimum, np.maximum))
         again, open_ = ids > least, (ids == least) & (kinds > 1) & (low < high)
+        to = np.where(kinds > most, _WIDE_BUCKET, b)
         rows = []
-        for g in np.unique(grp[again | open_]):
-            mine = grp == g
-            if (k := np.flatnonzero(mine & again)).size:
-                rows.append((-1 - g, g, _FLAGS, _pack_all([(doc[k], 4), (start[k], 5), (count[k], 5)])))
-            if (k := np.flatnonzero(mine & open_)).size:
-                rows.append((-1 - g, g, _ASKED, _pack_all([(doc[k], 4), (start[k], 5), (count[k], 5), (np.where(kinds[k] > most, _WIDE_BUCKET, b), 8), (anchor[k], 8)])))
+        for what, of, columns in ((_FLAGS, again, [(doc, 4), (start, 5), (count, 5)]), (_ASKED, open_, list(zip((doc, start, count, to, anchor), _ASK_WIDTHS, strict=True)))):
+            k = np.flatnonzero(of)
+            k = k[np.argsort(grp[k], kind="stable")]
+            edges = _edges(grp[k])
+            rows += [(-1 - g, g, what, p) for g, p in zip(grp[k[edges]].tolist(), _packed([(c[k], w) for c, w in columns], edges), strict=True)]
         return _routed(rows)
 
     return run
 
 
 def _flags_of(pdf: pd.DataFrame) -> tuple[np.ndarray, ...]:
-    parts = [_unpack_all(p, _FLAG_WIDTHS) for p, k in zip(pdf["payload"], pdf["kind"], strict=True) if k == _FLAGS]
-    return _merge(*(np.concatenate(c) for c in zip(*parts, strict=True))) if parts else (np.zeros(0, np.int64),) * 3
+    told = list(pdf["payload"][pdf["kind"] == _FLAGS])
+    return _merge(*_unpacked(told, _FLAG_WIDTHS)[1]) if told else (np.zeros(0, np.int64),) * 3
 
 
 def _windows(texts: list[bytes], ids: np.ndarray, runs) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
@@ -341,17 +351,19 @@ def _windows(texts: list[bytes], ids: np.ndarray, runs) -> tuple[list[tuple[int,
     return sent, again
 
 
-def _answer(buckets: int):
+def _answer(buckets: int, parts: int):
+    """Bytes that a group is asked for, to the buckets that sort them, each in ``parts``."""
+
     def run(key: tuple, docs: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         if not len(docs):
             return _routed([])
         grp = int(key[0])
         _, texts, ids = _group(docs)
         flags, rows = [_flags_of(replies)], []
-        asked = [_unpack_all(p, _ASK_WIDTHS) for p, k in zip(replies["payload"], replies["kind"], strict=True) if k == _ASKED]
+        asked = list(replies["payload"][replies["kind"] == _ASKED])
         if asked:
-            doc, start, count, bucket, anchor = (np.concatenate(c) for c in zip(*asked, strict=True))
-            to = (mix64((bucket * (1 << 24) + anchor).astype(_U)) % _U(buckets)).astype(np.int64)
+            doc, start, count, bucket, anchor = _unpacked(asked, _ASK_WIDTHS)[1]
+            to = (mix64((bucket * (1 << 32) + anchor).astype(_U)) % _U(buckets * parts)).astype(np.int64)
             wide = bucket == _WIDE_BUCKET
             spans = [texts[d][s : s + n + WINDOW - 1] for d, s, n in zip(doc[~wide], start[~wide], count[~wide], strict=True)]
             doc_, start_, count_, to = doc[~wide], start[~wide], count[~wide], to[~wide]
@@ -362,14 +374,17 @@ def _answer(buckets: int):
                 many = np.array(sent, dtype=np.int64).reshape(-1, 2)
                 doc_, start_, count_ = np.append(doc_, many[:, 0]), np.append(start_, many[:, 1]), np.append(count_, np.ones(len(many), np.int64))
                 hashes = np.array([int.from_bytes(hashlib.blake2b(w, digest_size=7).digest(), "little") for w in windows], dtype=np.int64)
-                to = np.append(to, hashes % buckets)
+                to = np.append(to, hashes % (buckets * parts))
                 more = np.array(again, dtype=np.int64).reshape(-1, 2)
                 flags.append((more[:, 0], more[:, 1], np.ones(len(more), np.int64)))
-            for b in np.unique(to):
-                k = np.flatnonzero(to == b)
-                rows.append((b, grp, _BYTES, _pack_all([(doc_[k], 4), (ids[doc_[k]], 8), (start_[k], 5), (count_[k], 5)]) + b"".join([spans[i] for i in k])))
+            k, part_ = np.argsort(to, kind="stable"), to % parts
+            to = to[k] // parts
+            edges = _edges(to)
+            heads = _packed(list(zip((doc_[k], ids[doc_[k]], start_[k], count_[k], part_[k]), _SPAN_WIDTHS, strict=True)), edges)
+            held = [b"".join([spans[i] for i in some]) for some in np.split(k, edges[1:])]
+            rows = [(b, grp, _BYTES, head + text) for b, head, text in zip(to[edges].tolist(), heads, held, strict=True)]
         merged = _merge(*(np.concatenate(c) for c in zip(*flags, strict=True)))
-        return _routed([(-1 - grp, grp, _FLAGS, _pack_all(list(zip(merged, _FLAG_WIDTHS, strict=True)))), *rows])
+        return _routed([(-1 - grp, grp, _FLAGS, *_packed(list(zip(merged, _FLAG_WIDTHS, strict=True)))), *rows])
 
     return run
 
@@ -379,28 +394,27 @@ def _sort_suffixes(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     if int(key[0]) < 0:
         return pdf
     fresh()
+    sizes, (doc, ids, start, count, part) = _unpacked(list(pdf["payload"]), _SPAN_WIDTHS)
+    grp = np.repeat(pdf["grp"].to_numpy(), sizes)
     texts: list[bytes] = []
-    parts = []
-    for payload in pdf["payload"]:
-        columns = _unpack_all(payload, [4, 8, 5, 5])
-        at = 8 + 22 * len(columns[0])
-        for n in columns[3]:
-            texts.append(payload[at : at + n + WINDOW - 1])
-            at += n + WINDOW - 1
-        parts.append(columns)
-    grp = np.repeat(pdf["grp"].to_numpy(), [len(p[0]) for p in parts])
-    doc, ids, start, _ = (np.concatenate(c) for c in zip(*parts, strict=True))
-    flags = repeated_windows(texts, ids)
-    sizes = np.array([len(f) for f in flags])
-    flat = np.concatenate(flags)
-    row = np.repeat(np.arange(len(sizes)), sizes)[flat]
-    place = (np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[flat]
-    out = []
-    for g in np.unique(grp[row]):
-        k = grp[row] == g
-        merged = _merge(doc[row[k]], start[row[k]] + place[k], np.ones(k.sum(), np.int64))
-        out.append((-1 - g, g, _FLAGS, _pack_all(list(zip(merged, _FLAG_WIDTHS, strict=True)))))
-    return _routed(out)
+    ends = np.cumsum(count + WINDOW - 1)
+    for payload, n, stop in zip(pdf["payload"], sizes.tolist(), np.cumsum(sizes).tolist(), strict=True):
+        base = 8 + sum(_SPAN_WIDTHS) * n - (int(ends[stop - n - 1]) if stop > n else 0)
+        texts += [payload[base + a : base + b] for a, b in zip((ends[stop - n : stop] - count[stop - n : stop] - WINDOW + 1).tolist(), ends[stop - n : stop].tolist(), strict=True)]
+    found = []
+    for p in np.unique(part):  # one after the other, so that a sort needs no more memory in a larger bucket
+        k = np.flatnonzero(part == p)
+        flags = np.concatenate(repeated_windows([texts[i] for i in k], ids[k]))
+        again = np.repeat(k, count[k])[flags]
+        place = (np.arange(len(flags)) - np.repeat(np.cumsum(count[k]) - count[k], count[k]))[flags]
+        found.append((again, start[again] + place))
+    again, at = (np.concatenate(c) for c in zip(*found, strict=True))
+    owner = (grp[again] << 32) | doc[again]
+    owners, own = np.unique(owner, return_inverse=True)
+    own, at, n = _merge(own, at, np.ones(len(at), np.int64))
+    grp, doc = owners[own] >> 32, owners[own] & 0xFFFFFFFF
+    edges = _edges(grp)
+    return _routed([(-1 - g, g, _FLAGS, p) for g, p in zip(grp[edges].tolist(), _packed(list(zip((doc, at, n), _FLAG_WIDTHS, strict=True)), edges), strict=True)])
 
 
 def _finish(columns: list[str], with_text: bool):
@@ -462,6 +476,16 @@ def hot_share(n: int, size: int) -> float:
     return min(1.0, sample / max(1, n), sample * HOT_BYTES / max(1, size))
 
 
+def layout(size: int) -> tuple[int, int, int]:
+    """Groups of documents, buckets of anchors, and parts that a bucket's bytes are sorted in, for ``size`` bytes of text.
+
+    Every group has something for every bucket, so both grow with the root of the corpus, up to LARGEST times: then as
+    many payloads move for each byte as in a small one.
+    """
+    scale = min(LARGEST, max(1.0, (size / FEW_BYTES) ** 0.5))
+    return max(4, math.ceil(size / (GROUP_BYTES * scale))), max(4, math.ceil(size / (BUCKET_ANCHORS * 16 * scale))), math.ceil(scale)
+
+
 def remove_repeats(docs: DataFrame, carry: list[str] | None = None, with_text: bool = False) -> DataFrame:
     """doc_id, the columns of ``carry``, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``docs``.
 
@@ -482,15 +506,14 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None, with_text: b
     at = F.coalesce("doc_id", F.lit(_LAST)).alias("at")
     rows = docs.select("doc_id", at, F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("bytes"), *carry)
     n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("bytes")), F.lit(0))).first()
-    groups = max(4, -(-size // GROUP_BYTES))
-    buckets = max(4, -(-size // (BUCKET_ANCHORS * 16)))
+    groups, buckets, parts = layout(size)
     hot = spark.sparkContext.broadcast(_hot_anchors(rows, hot_share(n, size)))  # HOT_MOST hashes at most
     spread = F.xxhash64(F.coalesce("doc_id", F.xxhash64("bytes")))
-    dealt = rows.withColumn("grp", F.pmod(spread, F.lit(int(groups)))).repartition(partitions(spark), "grp")
+    dealt = rows.withColumn("grp", F.pmod(spread, F.lit(groups))).repartition(partitions(spark), "grp")
     by_group = dealt.groupBy("grp")
-    runs = by_group.applyInPandas(_send_runs(int(buckets), hot), _ROUTED)
+    runs = by_group.applyInPandas(_send_runs(buckets, hot), _ROUTED)
     settled = runs.groupBy("key").applyInPandas(_settle(WIDE), _ROUTED)
-    sent = by_group.cogroup(settled.groupBy("grp")).applyInPandas(_answer(3 * int(buckets)), _ROUTED)
+    sent = by_group.cogroup(settled.groupBy("grp")).applyInPandas(_answer(3 * buckets, parts), _ROUTED)
     told = sent.groupBy("key").applyInPandas(_sort_suffixes, _ROUTED)
     schema = [f"{f.name} {f.dataType.simpleString()}" for f in rows.select("doc_id", *carry).schema]
     schema += ["n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string", *(["kept_text string", "spans array<array<long>>"] if with_text else [])]
