@@ -72,6 +72,40 @@ def test_odd_points_and_boxes(spark):
     assert spatial.point_hits(p, s.where("false")).count() == 0 == spatial.point_hits(p.where("false"), s).count()
 
 
+def _copies(n_points, n_segs):
+    """Points at 4 places, and 5 extents of segments, each in many copies, in mixed order."""
+    r = random.Random(9)
+    asked = [(i, float(100 * (i % 4)), float(i % 4)) for i in range(n_points)]
+    given = [(i, 100.0 * (i % 5) - 150, 0.0, 100.0 * (i % 5) + 50, float(i % 5)) for i in range(n_segs)]
+    r.shuffle(asked)
+    r.shuffle(given)
+    return asked, given
+
+
+def test_hits_come_as_runs_of_a_segment(spark):
+    """A segment's hits at one place follow one another, so that files hold them as a run."""
+    asked, given = _copies(400, 200)
+    p, s = spark.createDataFrame(asked, "point long, x double, y double").repartition(3), spark.createDataFrame(given, BOXES).repartition(3)
+    found = [r["id"] for r in spatial.point_hits(p, s).select("point", "id").collect()]
+    assert len(found) == sum(inside(a, b) for a in asked for b in given) > 10_000
+    assert 1 + sum(a != b for a, b in zip(found, found[1:], strict=False)) <= len(found) / 100  # a place has 100 points
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 1000])
+def test_hits_carry_all_columns_whatever_is_gathered(spark, monkeypatch, chunk):
+    """Chunks of any size, repeated rows, null ids, arrays, and points of coordinates alone."""
+    monkeypatch.setattr(spatial, "CHUNK", chunk)
+    asked, given = _copies(30, 25)
+    asked = [(None if a[0] % 7 == 0 else a[0], *a[1:], f"p{a[0] % 3}") for a in asked + asked[:5]] + [(99, None, 1.0, "n"), (98, 1.0, None, "n")]
+    given = [(None if b[0] % 6 == 0 else b[0], [b[0] % 2, 5], *b[1:]) for b in given + given[:4]] + [(77, [1], 9.0, 0.0, 1.0, 9.0)]
+    p, s = spark.createDataFrame(asked, "point long, x double, y double, tag string"), spark.createDataFrame(given, "id long, refs array<int>, w double, s double, e double, t double")
+    found = spatial.point_hits(p, s)
+    assert found.columns == [*p.columns, *s.columns]
+    expected = [(*a, *b) for a in asked for b in given if None not in a[1:3] and inside(a, (b[0], *b[2:]))]
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, expected)) and expected
+    assert spatial.point_hits(p.select("y", "x"), s.select("w", "s", "e", "t")).count() == len(expected)
+
+
 def test_deepest_hits_pair_places_and_extents(spark):
     """Copies on both sides: the rows are those of all pairs, the plan sends no side to all tasks."""
     r = random.Random(6)
